@@ -1,6 +1,6 @@
 """All catalogued queries."""
 
-from plumbline.catalog import columns, daily, relations
+from plumbline.catalog import columns, daily, geography, kinds, relations, texts
 
-MODULES = [columns, relations, daily]
+MODULES = [columns, kinds, relations, daily, geography, texts]
 QUERIES = {query.name: query for module in MODULES for query in module.QUERIES}

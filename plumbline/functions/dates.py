@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.expressions import col
@@ -10,13 +12,26 @@ from plumbline.functions.expressions import col
 LONGEST_DATE = 40
 
 
+def _shape(fmt: str) -> str:
+    """The characters that a text in the format consists of, as a regular expression."""
+    if fmt == "iso":
+        return r"\d{4}(-\d{1,2}(-\d{1,2}([T ].*)?)?)?"
+    parts = re.findall(r"y+|M+|d+|[^yMd]+", fmt)
+    shapes = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    return "".join(shapes.get(part, re.escape(part)) for part in parts)
+
+
 def parsed_as(text: Column, fmt: str) -> Column:
-    """The text as a timestamp in one format, null where it does not fit."""
+    """The text as a timestamp in one format, null where it does not fit.
+
+    Texts are matched against the shape of the format first: a failing date
+    parser costs an exception per cell, a failing match next to nothing.
+    """
     short = F.when(F.length(text) <= LONGEST_DATE, F.trim(text))
+    shaped = F.when(short.rlike(f"^{_shape(fmt)}$"), short)
     if fmt == "iso":
-        dated = F.when(short.rlike(r"^\d{4}(-\d{1,2})?(-\d{1,2}([T ].*)?)?$"), short)
-        return dated.try_cast("timestamp")
-    moment = F.try_to_timestamp(short, F.lit(fmt))
+        return shaped.try_cast("timestamp")
+    moment = F.try_to_timestamp(shaped, F.lit(fmt))
     if "yyyy" in fmt:
         return moment
     # Two-digit years: 69 to 99 belong to the last century.

@@ -79,38 +79,29 @@ def _pearson(sxy: Column, sx: Column, sy: Column, sxx: Column, syy: Column, n: C
 
 def _pair_sums(centred: DataFrame, p: int, full: list[bool]) -> DataFrame:
     """One aggregate: sums of squares per column, sums of products per pair."""
-    aggregates: dict[str, Column] = {}
-
-    def once(name: str, expression: Column) -> Column:
-        aggregates.setdefault(name, expression.alias(name))
-        return F.col(name)
-
-    structs = []
+    sums: dict[str, str] = {"n": "count(1)"}
+    rows = []
     for i in range(p):
         for j in range(i, p):
-            x, y = F.col(f"x{i}"), F.col(f"x{j}")
+            x, y = f"x{i}", f"x{j}"
             if full[i] and full[j]:
-                own = {
-                    "n": once("n", F.count(F.lit(1))),
-                    "sx": once(f"s_{i}", F.sum(x)),
-                    "sy": once(f"s_{j}", F.sum(y)),
-                    "sxx": once(f"p_{i}_{i}", F.sum(x * x)),
-                    "syy": once(f"p_{j}_{j}", F.sum(y * y)),
-                }
+                own = {"n": "n", "sx": f"s_{i}", "sy": f"s_{j}", "sxx": f"p_{i}_{i}", "syy": f"p_{j}_{j}"}
+                sums[f"s_{i}"], sums[f"s_{j}"] = f"sum({x})", f"sum({y})"
+                sums[f"p_{i}_{i}"], sums[f"p_{j}_{j}"] = f"sum({x} * {x})", f"sum({y} * {y})"
             else:
-                has_x, has_y = x.isNotNull(), y.isNotNull()
-                own = {
-                    "n": once(f"n_{i}_{j}", F.count(F.when(has_x & has_y, 1))),
-                    "sx": once(f"sx_{i}_{j}", F.sum(F.when(has_y, x))),
-                    "sy": once(f"sy_{i}_{j}", F.sum(F.when(has_x, y))),
-                    "sxx": once(f"sxx_{i}_{j}", F.sum(F.when(has_y, x * x))),
-                    "syy": once(f"syy_{i}_{j}", F.sum(F.when(has_x, y * y))),
-                }
-            own["sxy"] = once(f"p_{i}_{j}", F.sum(x * y))
-            structs.append(
-                F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[e.alias(k) for k, e in own.items()])
-            )
-    return centred.agg(*aggregates.values()).select(F.inline(F.array(*structs)))
+                own = {name: f"{name}_{i}_{j}" for name in ("n", "sx", "sy", "sxx", "syy")}
+                sums[own["n"]] = f"count({x} * {y})"
+                sums[own["sx"]] = f"sum(CASE WHEN {y} IS NOT NULL THEN {x} END)"
+                sums[own["sy"]] = f"sum(CASE WHEN {x} IS NOT NULL THEN {y} END)"
+                sums[own["sxx"]] = f"sum(CASE WHEN {y} IS NOT NULL THEN {x} * {x} END)"
+                sums[own["syy"]] = f"sum(CASE WHEN {x} IS NOT NULL THEN {y} * {y} END)"
+            own["sxy"] = f"p_{i}_{j}"
+            sums[f"p_{i}_{j}"] = f"sum({x} * {y})"
+            fields = ", ".join(f"'{name}', {of}" for name, of in own.items())
+            rows.append(f"named_struct('i', {i}, 'j', {j}, {fields})")
+    return centred.agg(*[F.expr(e).alias(name) for name, e in sums.items()]).select(
+        F.expr(f"inline(array({', '.join(rows)}))")
+    )
 
 
 def _wide_sums(centred: DataFrame, p: int) -> DataFrame:
