@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.expressions import col
+from plumbline.functions.lexicon import DATE_FORMATS
 
 # No supported format is longer, so longer texts skip the parser.
 LONGEST_DATE = 40
@@ -21,6 +22,12 @@ def _shape(fmt: str) -> str:
     return "".join(shapes.get(part, re.escape(part)) for part in parts)
 
 
+def looks_dated(text: Column) -> Column:
+    """Whether the text has the shape of any supported format."""
+    shapes = "|".join(_shape(fmt) for fmt in DATE_FORMATS)
+    return F.coalesce((F.length(text) <= LONGEST_DATE) & F.trim(text).rlike(f"^({shapes})$"), F.lit(False))
+
+
 def parsed_as(text: Column, fmt: str) -> Column:
     """The text as a timestamp in one format, null where it does not fit.
 

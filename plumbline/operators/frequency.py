@@ -67,7 +67,8 @@ def _with_texts(df: DataFrame, columns: Sequence[str], ranked: DataFrame, bounde
     if bounded:  # at most k x columns digests
         digests = ranked.where(F.length("key") == DIGEST_LENGTH).select("column_pos", "key")
         long_cells = long_cells.join(F.broadcast(digests), ["column_pos", "key"], "left_semi")
-    texts = long_cells.groupBy("column_pos", "key").agg(F.min("value").alias("text"))
+    # Each digest stands for one text; as a distinct it is reduced by hashing on the map side.
+    texts = long_cells.select("column_pos", "key", F.col("value").alias("text")).distinct()
     return ranked.join(texts, ["column_pos", "key"], "left").select(
         "column_pos", F.coalesce("text", "key").alias("value"), "n", "rank"
     )

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +18,7 @@ from plumbline.functions.expressions import col, number, numeric_columns
 
 # Random seed, most clusters tried, trees, leading components.
 SEED, MOST_CLUSTERS, TREES, LEADING_COMPONENTS = 42, 10, 100, 3
+FITS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -133,12 +135,15 @@ def cluster(table: DataFrame | Features, rule: str = "late") -> Clustering:
     features = _features(table)
     if len(features.columns) < 2:
         raise ValueError("clustering needs two numeric columns")
-    models = {
-        k: KMeans(k=k, seed=SEED).fit(features.vectors)
-        for k in range(2, min(MOST_CLUSTERS, features.n_rows // 2) + 1)
-    }
-    if not models:
+    tried = range(2, min(MOST_CLUSTERS, features.n_rows // 2) + 1)
+    if not tried:
         raise ValueError("clustering needs at least four rows")
+    vectors = features.vectors
+    vectors.count()  # fill the cache once, before the fits share it
+    # The fits are independent and short of work per job, so a few run side by side.
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        fits = {k: pool.submit(inheritable_thread_target(KMeans(k=k, seed=SEED).fit), vectors) for k in tried}
+        models = {k: fit.result() for k, fit in fits.items()}
     costs = {k: m.summary.trainingCost for k, m in models.items()}
     best = elbow(list(costs.values()), rule)
     return Clustering(costs, best, models[best])

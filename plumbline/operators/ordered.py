@@ -17,16 +17,24 @@ from plumbline.functions.storage import cut_lineage
 
 # Rows per block in which neighbours are looked up.
 BLOCK = 100_000
+SEED = 42
 # Shortest table with a profile, longest period, values reported.
 ENOUGH_ROWS, LONGEST_PERIOD, REPORTED = 30, 30, 5
 
 
 def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Rows sorted across partitions; ``part`` and ``seq`` tell their place."""
+    """Rows sorted across partitions; ``part`` and ``seq`` tell their place.
+
+    A random last sort key spreads rows that are equal in the whole order, so
+    that no partition has to take all copies.
+    """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.col("__spread").asc()
     return cut_lineage(
-        df.repartitionByRange(partitions, *order)
-        .sortWithinPartitions(*order)
+        df.withColumn("__spread", F.rand(SEED))
+        .repartitionByRange(partitions, *order, spread)
+        .sortWithinPartitions(*order, spread)
+        .drop("__spread")
         .withColumn("part", F.spark_partition_id())
         .withColumn("seq", F.monotonically_increasing_id())
     )
@@ -42,7 +50,7 @@ def forward_fill(
     """
     keys = list(keys)
     order = [col(k).asc_nulls_first() for k in keys] + [col(order_by).asc_nulls_last()]
-    # The other columns break ties, so that equal order values can be split too.
+    # Within equal order values, known values come first.
     ties = [col(c).asc_nulls_last() for c in columns]
     laid = lay_out(df, order + ties)
     here = W.partitionBy("part", *[col(k) for k in keys]).orderBy("seq")

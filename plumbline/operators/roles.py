@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.dates import is_temporal, parsed_as
+from plumbline.functions.dates import is_temporal, looks_dated, parsed_as
 from plumbline.functions.expressions import (
     categorical_columns,
     col,
     group_key,
     numeric_columns,
-    ratio,
     string_columns,
     unfold,
 )
@@ -95,8 +94,8 @@ def role_evidence(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
     (column, column_pos, role, n_rows, date_format, date_share, any_date,
     mean_length, is_date, is_text, is_class_target, is_regression_target).
-    One scan collects date hits, lengths and sketched distinct counts; columns
-    whose sketch is near a limit get an exact count in a second one.
+    One scan collects date-like cells, lengths and sketched distinct counts;
+    only columns near a limit are counted exactly, only date-like ones parsed.
     ``exclude`` names columns that may not become targets.
     """
     columns = df.columns
@@ -107,16 +106,10 @@ def role_evidence(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
         if c not in exclude and (c in categorical or c in numeric) and may_be_target(c, c in numeric)
     ]
 
-    aggregates: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
+    aggregates: list[Column] = [F.count(F.lit(1)).alias("n_rows"), *_dated_cells(df)]
     for i, c in enumerate(columns):
         if c in strings:
             aggregates.append(F.avg(F.length(col(c))).alias(f"length{i}"))
-            aggregates += [
-                F.count(parsed_as(col(c), fmt)).alias(f"date{i}_{j}")
-                for j, fmt in enumerate(DATE_FORMATS)
-            ]
-        elif is_temporal(df, c):
-            aggregates.append(F.count(col(c)).alias(f"date{i}"))
         if c in candidates:
             aggregates.append(F.approx_count_distinct(group_key(df, c)).alias(f"distinct{i}"))
     row = df.agg(*aggregates).first().asDict()
@@ -128,17 +121,12 @@ def role_evidence(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
             *[F.count_distinct(group_key(df, c)).alias(f"d{i}") for i, c in enumerate(unsure)]
         ).first()
         distinct.update({c: exact[f"d{i}"] for i, c in enumerate(unsure)})
+    dates = _date_formats(df, row)
 
     n_rows = row["n_rows"]
     evidence = []
     for i, c in enumerate(columns):
-        hits, fmt = 0, None
-        if c in strings:
-            per_format = [row[f"date{i}_{j}"] for j in range(len(DATE_FORMATS))]
-            hits = max(per_format)
-            fmt = DATE_FORMATS[per_format.index(hits)] if hits else None
-        elif is_temporal(df, c):
-            hits, fmt = row[f"date{i}"], "native"
+        hits, fmt = dates.get(c, (0, None))
         length = row.get(f"length{i}")
         share = hits / n_rows if n_rows else None
         values = distinct.get(c)
@@ -161,42 +149,57 @@ def role_evidence(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _dated_cells(df: DataFrame) -> list[Column]:
+    """Per column that may hold dates, the number of cells that look like one."""
+    strings = set(string_columns(df))
+    cells = []
+    for i, c in enumerate(df.columns):
+        if c in strings:
+            cells.append(F.count_if(looks_dated(col(c))).alias(f"dated{i}"))
+        elif is_temporal(df, c):
+            cells.append(F.count(col(c)).alias(f"dated{i}"))
+    return cells
+
+
+def _date_formats(df: DataFrame, dated: dict) -> dict[str, tuple[int, str]]:
+    """(parsed cells, format) per column, from the counts of date-like cells.
+
+    Only text columns with a date-like cell are parsed at all, in one scan for
+    all columns and formats; the first of equally good formats wins.
+    """
+    found = {c: (dated[f"dated{i}"], "native") for i, c in enumerate(df.columns) if is_temporal(df, c)}
+    texts = [c for i, c in enumerate(df.columns) if c not in found and dated.get(f"dated{i}")]
+    if texts:
+        hits = df.agg(
+            *[
+                F.count(parsed_as(col(c), fmt)).alias(f"h{i}_{j}")
+                for i, c in enumerate(texts)
+                for j, fmt in enumerate(DATE_FORMATS)
+            ]
+        ).first()
+        for i, c in enumerate(texts):
+            per_format = [hits[f"h{i}_{j}"] for j in range(len(DATE_FORMATS))]
+            best = max(per_format)
+            found[c] = (best, DATE_FORMATS[per_format.index(best)])
+    return {c: (n, fmt) for c, (n, fmt) in found.items() if n}
+
+
 def detect_date_columns(df: DataFrame, mode: str = "majority") -> DataFrame:
     """(column, column_pos, date_format, date_share).
 
     ``majority`` asks that more than half of all rows parse in the column's
     best format, ``any`` that at least one does.
     """
-    strings = [c for c in df.columns if c in set(string_columns(df))]
-    dated = [c for c in df.columns if c in strings or is_temporal(df, c)]
-    formats = {c: ["native"] if is_temporal(df, c) else DATE_FORMATS for c in dated}
-
-    def best(i: int, c: str) -> list[Column]:
-        counted = [
-            F.struct(
-                F.count(col(c) if fmt == "native" else parsed_as(col(c), fmt)).alias("hits"),
-                F.lit(-j).alias("preference"),
-                F.lit(fmt).alias("fmt"),
-            )
-            for j, fmt in enumerate(formats[c])
-        ]
-        return [F.array_max(F.array(*counted)).alias(f"best_{i}")]
-
-    wide = df.agg(
-        F.count(F.lit(1)).alias("n_rows"), *[e for i, c in enumerate(dated) for e in best(i, c)]
-    )
-    if not dated:
-        return df.sparkSession.createDataFrame(
-            [], "column string, column_pos int, date_format string, date_share double"
-        )
-    positions = {c: i for i, c in enumerate(df.columns)}
-    found = unfold(wide, dated, ["best"], ["n_rows"]).select(
-        "column",
-        F.create_map(*[e for c in dated for e in (F.lit(c), F.lit(positions[c]))])[F.col("column")].alias("column_pos"),
-        F.col("best.fmt").alias("date_format"),
-        ratio(F.col("best.hits"), F.col("n_rows")).alias("date_share"),
+    row = df.agg(F.count(F.lit(1)).alias("n_rows"), *_dated_cells(df)).first().asDict()
+    least = DATE_SHARE if mode == "majority" else 0
+    rows = [
+        (c, df.columns.index(c), fmt, hits / row["n_rows"])
+        for c, (hits, fmt) in _date_formats(df, row).items()
+        if hits / row["n_rows"] > least
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, column_pos int, date_format string, date_share double"
     )
-    return found.where(F.col("date_share") > (DATE_SHARE if mode == "majority" else 0))
 
 
 def detect_text_columns(df: DataFrame) -> DataFrame:
