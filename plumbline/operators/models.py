@@ -141,8 +141,9 @@ def cluster(table: DataFrame | Features, rule: str = "late") -> Clustering:
     vectors = features.vectors
     vectors.count()  # fill the cache once, before the fits share it
     # The fits are independent and short of work per job, so a few run side by side.
+    inherit = inheritable_thread_target(vectors.sparkSession)
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        fits = {k: pool.submit(inheritable_thread_target(KMeans(k=k, seed=SEED).fit), vectors) for k in tried}
+        fits = {k: pool.submit(inherit(KMeans(k=k, seed=SEED).fit), vectors) for k in tried}
         models = {k: fit.result() for k, fit in fits.items()}
     costs = {k: m.summary.trainingCost for k, m in models.items()}
     best = elbow(list(costs.values()), rule)
