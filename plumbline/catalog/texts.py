@@ -5,6 +5,7 @@ from __future__ import annotations
 from plumbline.catalog.base import Query, r, rounded, union
 from plumbline.functions.lexicon import NEGATIVE_WORDS, POSITIVE_WORDS
 from plumbline.operators import text
+from plumbline.sources.tables import spread_out
 
 # The white space of the word rule, as a character class of the checking engine.
 SPACE = (
@@ -21,7 +22,7 @@ TEXTS = [("documents", "text"), ("conversations", "text")]
 
 
 def _both(load, make):
-    parts = [make(load(table), [column]).drop("column", "column_pos") for table, column in TEXTS]
+    parts = [make(spread_out(load(table)), [column]).drop("column", "column_pos") for table, column in TEXTS]
     return parts[0].unionByName(parts[1])
 
 
@@ -69,11 +70,11 @@ LEFT JOIN (
 QUERIES = [
     Query("text_stats", lambda load: rounded(_both(load, text.text_stats), 5), TEXT_STATS),
     Query("vocabulary_stats", lambda load: rounded(_both(load, text.vocabulary_stats)), VOCABULARY),
-    Query("common_words", lambda load: rounded(text.common_words(load("documents"), ["text"])), COMMON),
+    Query("common_words", lambda load: rounded(text.common_words(spread_out(load("documents")), ["text"])), COMMON),
     Query("lexicon_sentiment", lambda load: rounded(_both(load, text.lexicon_sentiment)), SENTIMENT),
     Query(
         "text_histograms",
-        lambda load: rounded(text.text_histograms(load("documents")), 4),
+        lambda load: rounded(text.text_histograms(spread_out(load("documents"))), 4),
         _lengths("chars", "length(text)") + "\nUNION ALL\n" + _lengths("words", f"len({tokens('text')})"),
     ),
 ]

@@ -19,8 +19,9 @@ DIGEST_LENGTH = 64
 
 # Fixed value: every character that str.split() and str.strip() treat as white space.
 WHITESPACE = (
-    r"[\u0009-\u000d\u001c-\u0020\u0085\u00a0\u1680"
-    r"\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020\u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -65,12 +66,18 @@ def group_key(df: DataFrame, name: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    """White-space separated tokens; an empty text has none."""
-    return F.filter(F.split(text, WHITESPACE + "+"), lambda token: token != "")
+    """White-space separated tokens; an empty text has none.
+
+    All white space is mapped to the plain space first: splitting at one
+    character is several times faster than at a regular expression.
+    """
+    spaced = F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+    return F.filter(F.split(spaced, " "), lambda token: token != "")
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+def is_blank(text: Column) -> Column:
+    """No character but white space; decided at the first other character."""
+    return ~text.rlike(f"[^{WHITESPACE}]")
 
 
 def per_column(

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, copysign, floor, log1p
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -111,30 +111,32 @@ def _brackets(targets: Sequence[_Target]) -> dict[tuple[str, float, float], list
     return grouped
 
 
-def _members(df: DataFrame, brackets) -> DataFrame:
-    """Rows (bracket, value, lo, hi) of the values that fall into any bracket."""
+def _members(df: DataFrame, brackets, scale=float) -> DataFrame:
+    """Rows (bracket, value, low, high) of the values that fall into any bracket,
+    its ends on the given scale."""
     columns = list(dict.fromkeys(c for c, _, _ in brackets))
     cells = F.array(
         *[F.struct(F.lit(i).cast("bigint").alias("col"), number(c).alias("value")) for i, c in enumerate(columns)]
     )
     known = _table(
-        df, "col, bracket, lo, hi",
-        [(columns.index(c), i, float(lo), float(hi)) for i, (c, lo, hi) in enumerate(brackets)],
+        df, "col, bracket, first, last, low, high",
+        [(columns.index(c), i, float(lo), float(hi), scale(lo), scale(hi)) for i, (c, lo, hi) in enumerate(brackets)],
     )
     return (
         df.select(F.inline(cells))
         .join(F.broadcast(known), "col")  # at most six brackets per column
-        .where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .select("bracket", "value", "lo", "hi")
+        .where(F.col("value").between(F.col("first"), F.col("last")))
+        .select("bracket", "value", "low", "high")
     )
 
 
-def _signed_log(x: Column) -> Column:
-    return F.signum(x) * F.log1p(F.abs(x))
+def _signed_log(x: float) -> float:
+    return copysign(log1p(abs(x)), x)
 
 
-def _bin(x: Column, low: Column, high: Column) -> Column:
+def _bin(x: Column) -> Column:
     """Bin number of x; halves are compared, so that no difference overflows."""
+    low, high = F.col("low"), F.col("high")
     share = F.coalesce(F.try_divide(x / 2 - low / 2, high / 2 - low / 2), F.lit(0.0))
     return F.least(F.greatest(F.floor(share * BINS), F.lit(0)), F.lit(BINS - 1))
 
@@ -142,12 +144,12 @@ def _bin(x: Column, low: Column, high: Column) -> Column:
 def _narrow(df: DataFrame, targets: Sequence[_Target], spread_out: bool) -> None:
     """Replace every target's bracket by the bin that holds its rank."""
     brackets = _brackets(targets)
-    ends = [F.col("value"), F.col("lo"), F.col("hi")]
+    x, scale = F.col("value"), float
     if spread_out:  # the first bins are even in magnitude, so heavy tails do not crowd one bin
-        ends = [_signed_log(e) for e in ends]
+        x, scale = F.signum(x) * F.log1p(F.abs(x)), _signed_log
     bins = (
-        _members(df, brackets)
-        .groupBy("bracket", _bin(*ends).alias("bin"))
+        _members(df, brackets, scale)
+        .groupBy("bracket", _bin(x).alias("bin"))
         .agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     )
     # At most BINS rows per bracket, so one window partition per bracket is small.

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from plumbline.functions.expressions import col, per_column, ratio, stripped, words
+from plumbline.functions.expressions import col, is_blank, per_column, ratio, words
 from plumbline.functions.lexicon import NEGATIVE_WORDS, POSITIVE_WORDS
 from plumbline.operators.roles import detect_text_columns
 
@@ -76,7 +76,7 @@ def vocabulary_stats(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     blank = per_column(
         df,
         columns,
-        {"empty_ratio": lambda c: F.avg((stripped(col(c).cast("string")) == "").cast("double"))},
+        {"empty_ratio": lambda c: F.avg(is_blank(col(c).cast("string")).cast("double"))},
     ).select("column", "empty_ratio")
     vocabulary = word_counts(df, columns).groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_words"), F.sum("n").alias("total_words")

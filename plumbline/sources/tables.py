@@ -99,6 +99,17 @@ def _typed(text: DataFrame, schema: T.StructType | str | None) -> DataFrame:
     return text.select(*typed)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Give every core a part of a small table that was read from a file or two.
+
+    A scan with as many splits as cores, which any large table has, is left as
+    it is. Meant for tables just read: the number of splits is then known
+    without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def validate(df: DataFrame) -> DataFrame:
     """The table itself; an empty one is an error."""
     if df.isEmpty():
