@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.expressions import col, floating_columns, group_key
+from plumbline.functions.storage import stored
 
 # Fixed value: a column with a larger share of missing values is dropped.
 SPARSE_SHARE = 0.5
+# At most this many row hashes (8 bytes each) are sent to every executor.
+BROADCAST_HASHES = 2_000_000
 
 
 def missing(df: DataFrame, name: str) -> Column:
@@ -33,10 +36,25 @@ def drop_sparse_columns(df: DataFrame, threshold: float = SPARSE_SHARE) -> DataF
 def dedup_rows(df: DataFrame) -> DataFrame:
     """Keep one of each set of equal rows; null equals null.
 
-    Copies are merged on the map side before the shuffle, so a row repeated
-    very often does not load one task.
+    Only 64-bit row hashes are shuffled at first. Rows whose hash occurs once
+    have no copy and stay where they are; the others are compared in full, so
+    a chance collision does no harm. If too many hashes repeat to be broadcast,
+    all rows are compared in full. Either way copies are merged on the map side
+    before a shuffle, so a row repeated very often does not load one task.
     """
-    return df.dropDuplicates()
+    row_hash = F.xxhash64(*[col(c) for c in df.columns])
+    repeated = stored(
+        df.groupBy(row_hash.alias("__hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__hash")
+    )
+    n_repeated = repeated.count()
+    if n_repeated == 0:
+        return df
+    if n_repeated > BROADCAST_HASHES:
+        return df.dropDuplicates()
+    hashed, known = df.withColumn("__hash", row_hash), F.broadcast(repeated)
+    single = hashed.join(known, "__hash", "left_anti").drop("__hash")
+    copied = hashed.join(known, "__hash", "left_semi").drop("__hash")
+    return single.unionByName(copied.dropDuplicates())
 
 
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

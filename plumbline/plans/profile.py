@@ -281,16 +281,19 @@ def run_profile(
     source: str | DataFrame,
     only: list[str] | None = None,
     exclude: tuple[str, ...] = (),
+    cleaned: bool = False,
 ) -> Profile:
     """Load, clean and analyse a table; a failing analysis leaves the others alone.
 
     The cleaned table is written once to the checkpoint folder as a columnar
     table, so analyses neither repeat the cleaning nor read columns that they
-    do not use. ``only`` overrides the choice of analyses.
+    do not use. ``cleaned=True`` takes the table as it is, without that copy.
+    ``only`` overrides the choice of analyses.
     """
     profile = Profile(spark)
     try:
-        table = Table(stored(clean.clean(validate(read_table(spark, source)))), exclude)
+        df = validate(read_table(spark, source))
+        table = Table(df if cleaned else stored(clean.clean(df)), exclude)
         chosen = relevant_analyses(table.types) if only is None else only
     except Exception as error:  # as with any analysis, the reason goes to the status table
         profile.record("load", error)

@@ -1,5 +1,7 @@
 from math import inf, nan
 
+import pytest
+
 from plumbline.operators import clean
 from plumbline.operators.readiness import quality_recommendations, quality_warnings
 
@@ -15,12 +17,28 @@ def test_nan_counts_as_missing(spark):
     assert clean.drop_sparse_columns(df).columns == ["a"]
 
 
-def test_null_rows_are_duplicates_of_each_other(spark):
+@pytest.mark.parametrize("limit", [10, 1])
+def test_null_rows_are_duplicates_of_each_other(spark, monkeypatch, limit):
+    monkeypatch.setattr(clean, "BROADCAST_HASHES", limit)
     df = spark.createDataFrame([(1, None), (1, None), (None, "x"), (None, "x"), (2, "y")], "a int, b string")
-    assert clean.dedup_rows(df).count() == 3
+    found = clean.dedup_rows(df).collect()
+    assert {tuple(r) for r in found} == {(1, None), (None, "x"), (2, "y")} and len(found) == 3
     assert clean.duplicate_count(df).first().asDict() == {"n_rows": 5, "n_distinct": 3, "n_duplicates": 2}
 
 
+def test_rows_of_equal_hash_are_compared_in_full(spark):
+    # Nulls leave the hash as it is, so these two different rows share one.
+    df = spark.createDataFrame([("x", None), (None, "x"), (None, "x")], "a string, b string")
+    assert clean.dedup_rows(df).count() == 2
+
+
+def test_table_without_copies_is_left_alone(spark):
+    df = spark.createDataFrame([(0.0, 1), (1.0, 1)], "a double, b int")
+    assert clean.dedup_rows(df).count() == 2
+    zeros = spark.createDataFrame([(0.0,), (-0.0,)], "a double")
+    assert clean.dedup_rows(zeros).count() == 1
+
+
 def test_long_texts_are_compared_whole(spark):
     long = "x" * 500
     df = spark.createDataFrame([(long + "a",), (long + "b",), (long + "a",)], "t string")
