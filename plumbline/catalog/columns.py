@@ -130,14 +130,14 @@ def _sparse(load):
     return load("orders").select(
         "o_orderkey",
         "o_totalprice",
-        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("half"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("double")).alias("half"),
         F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("third"),
         F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("two_thirds"),
     )
 
 
 SPARSE = """
-WITH t AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS half,
+WITH t AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DOUBLE) END AS half,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS two_thirds FROM orders)
 SELECT * FROM t"""
 

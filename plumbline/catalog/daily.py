@@ -53,7 +53,7 @@ around AS (
          later AS (PARTITION BY metric ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 series AS (
   SELECT metric, day, pos, CASE WHEN value IS NOT NULL THEN value WHEN v0 IS NULL THEN NULL WHEN v1 IS NULL THEN v0
-         ELSE v0 + (v1 - v0) * (pos - p0) / (p1 - p0) END AS value FROM around)"""
+         ELSE (v1 - v0) / (p1 - p0) * (pos - p0) + v0 END AS value FROM around)"""
 
 
 DECOMPOSED = """sized AS (
@@ -186,14 +186,14 @@ def _with_gaps(load):
     return load("orders").select(
         "o_orderkey", "o_orderpriority",
         F.when(F.col("o_orderkey") % 3 == 1, F.col("o_totalprice")).alias("price"),
-        F.when(F.col("o_orderkey") % 7 == 5, F.col("o_custkey")).alias("customer"),
+        F.when(F.col("o_orderkey") % 7 == 5, F.col("o_custkey").cast("double")).alias("customer"),
     )
 
 
 def fill_sql(partition: str) -> str:
     return f"""
 WITH t AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice END AS price,
-  CASE WHEN o_orderkey % 7 = 5 THEN o_custkey END AS customer FROM orders)
+  CASE WHEN o_orderkey % 7 = 5 THEN CAST(o_custkey AS DOUBLE) END AS customer FROM orders)
 SELECT o_orderkey, o_orderpriority, last_value(price IGNORE NULLS) OVER w AS price,
   last_value(customer IGNORE NULLS) OVER w AS customer
 FROM t WINDOW w AS ({partition} ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""

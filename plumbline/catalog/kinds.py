@@ -155,6 +155,14 @@ GEO = f"WITH {PLACES}\n" + union(["region", "country", "c_mktsegment"], lambda i
     f"SELECT '{c}' AS \"column\", {str(i < 2).lower()} AS is_location, {str(i < 2).lower()} AS is_geographic, "
     f"count(DISTINCT {c}) AS n_distinct FROM places"))
 
+def _coordinates(load):
+    df = places(load)
+    return rounded(stats.null_counts(df, list(roles.coordinate_columns(df))))
+
+
+COORDINATES = f"WITH {PLACES}\n" + union(["latitude", "longitude"], lambda i, c: (
+    f"SELECT '{c}' AS \"column\", CAST({i} AS BIGINT) AS column_pos, count(*) - count({c}) AS n_null, count(*) AS n_rows FROM places"))
+
 QUERIES = [
     Query("dataset_types", lambda load: _labelled(load, roles.dataset_types), f"WITH {types_sql()}\nSELECT * FROM types"),
     Query("plan_analyses", lambda load: _labelled(load, profile.plan_analyses), f"WITH {types_sql()}" + PLAN),
@@ -176,6 +184,7 @@ QUERIES = [
         _targets("regression"),
     ),
     Query("detect_geo_columns", _geo, GEO),
+    Query("detect_coordinates", _coordinates, COORDINATES),
     Query(
         "detect_date_columns",
         lambda load: rounded(roles.detect_date_columns(_dated(load))),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.base import LINEITEM_NUMBERS, PLACES, Query, places, r, rounded, union
 from plumbline.catalog.columns import counts_sql, outliers_sql
 from plumbline.catalog.kinds import _labelled, types_sql
+from plumbline.catalog.modelling import SUGGESTED
 from plumbline.catalog.relations import WITH_LINKED, _linked, _linked_matrix
 from plumbline.operators import models, readiness, stats
 from plumbline.plans import profile, report
@@ -21,8 +22,7 @@ def _key_stats(load):
 KEY_STATS = outliers_sql("lineitem", LINEITEM_NUMBERS) + ", moments AS (" + union(LINEITEM_NUMBERS, lambda i, c: (
     f"SELECT '{c}' AS \"column\", {r(f'avg({c})', 4)} AS mean, {r(f'stddev_samp({c})', 4)} AS std, "
     f"{r(f'min({c})')} AS min, {r(f'max({c})')} AS max FROM lineitem"
-)) + f""") SELECT m."column", mean, std, min, max, CASE WHEN n_outliers > 0 THEN n_outliers END AS n_outliers,
-CASE WHEN n_outliers > 0 THEN {r('pct', 2)} END AS pct FROM moments m JOIN outliers o ON m."column" = o."column" """
+)) + f""") SELECT m."column", mean, std, min, max, n_outliers, {r('pct', 2)} AS pct FROM moments m JOIN outliers o ON m."column" = o."column" """
 
 
 def _key_patterns(load):
@@ -64,6 +64,22 @@ DISTRIBUTION = outliers_sql("orders", ["o_totalprice"]) + ", d AS (" + counts_sq
     ]
 )
 
+IMPLICATIONS = f"""
+WITH suggested AS ({SUGGESTED})
+SELECT 'data_quality' AS topic, 'completeness' AS key,
+  CAST(1 - avg((CASE WHEN p_partkey IS NULL THEN 1.0 ELSE 0.0 END + CASE WHEN p_name IS NULL THEN 1.0 ELSE 0.0 END
+    + CASE WHEN p_brand IS NULL THEN 1.0 ELSE 0.0 END + CASE WHEN p_type IS NULL THEN 1.0 ELSE 0.0 END
+    + CASE WHEN p_size IS NULL THEN 1.0 ELSE 0.0 END + CASE WHEN p_retailprice IS NULL THEN 1.0 ELSE 0.0 END) / 6) AS VARCHAR) AS value
+FROM part
+UNION ALL SELECT 'data_quality', 'consistency', 'true'
+UNION ALL SELECT 'predictive_potential', 'suitable_for_ml', CASE WHEN count(*) >= 100 THEN 'true' ELSE 'false' END FROM part
+UNION ALL SELECT 'predictive_potential', 'suggested_approach', suggestion FROM suggested
+UNION ALL """ + union(["p_name", "p_brand", "p_type"], lambda i, c: (
+    f"SELECT 'data_quality', 'recommendation', 'High cardinality in {c} might need grouping' "
+    f"FROM part HAVING count(DISTINCT {c}) / count(*) > 0.5 UNION ALL "
+    f"SELECT 'data_quality', 'recommendation', 'Consider addressing imbalance in {c}' "
+    f"FROM (SELECT count(*) AS n FROM part GROUP BY {c}) HAVING max(n) / sum(n) > 0.8"))
+
 SUMMARY = f"""{outliers_sql('linked', ['price', 'discounted', 'quantity', 'tax', 'part'], WITH_LINKED.removeprefix('WITH ') + ',')}
 SELECT (SELECT count(*) FROM linked) AS n_rows, CAST(5 AS BIGINT) AS n_columns, CAST(5 AS BIGINT) AS n_numeric,
   CAST(0 AS BIGINT) AS n_categorical, false AS has_missing, (SELECT bool_or(n_outliers > 0) FROM outliers) AS has_outliers,
@@ -129,7 +145,7 @@ QUERIES = [
         lambda load: rounded(report.key_relationships(_linked_matrix(load)), 3),
         WITH_LINKED + f"SELECT var1, var2, {r('r', 3)} AS strength FROM matrix WHERE pos1 < pos2 AND abs(r) > 0.5",
     ),
-    Query("implications", _implications),
+    Query("implications", _implications, IMPLICATIONS),
     Query("column_distribution", _distribution, DISTRIBUTION),
     Query(
         "find_correlations",

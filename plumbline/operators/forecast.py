@@ -98,8 +98,8 @@ def adf_test(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return tested.withColumn("is_stationary", stationary).withColumn("needs_differencing", ~stationary)
 
 
-def _strength(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return seasonality_strength(seasonal_decompose(series, keys), keys)
+def _strength(series: DataFrame, keys: Sequence[str], decomposed: DataFrame | None) -> DataFrame:
+    return seasonality_strength(seasonal_decompose(series, keys) if decomposed is None else decomposed, keys)
 
 
 def series_quality(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -111,13 +111,15 @@ def series_quality(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def forecast_readiness(series: DataFrame, keys: Sequence[str] = (), stationarity: bool = True) -> DataFrame:
+def forecast_readiness(
+    series: DataFrame, keys: Sequence[str] = (), stationarity: bool = True, decomposed: DataFrame | None = None
+) -> DataFrame:
     """Quality, autocorrelation, seasonality, stationarity and suitability per series."""
     ids = series_ids(keys)
     ready = (
         series_quality(series, keys)
         .join(lag1_autocorr(series, keys), ids)
-        .join(_strength(series, keys), ids, "left")
+        .join(_strength(series, keys, decomposed), ids, "left")
     )
     if stationarity:
         ready = ready.join(adf_test(series, keys).drop("statistic", "lags"), ids)
@@ -133,7 +135,9 @@ def forecast_readiness(series: DataFrame, keys: Sequence[str] = (), stationarity
     )
 
 
-def suggest_forecast_models(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def suggest_forecast_models(
+    series: DataFrame, keys: Sequence[str] = (), decomposed: DataFrame | None = None
+) -> DataFrame:
     """(metric, position, model): kinds of model in order of mention."""
     ids = series_ids(keys)
     facts = (
@@ -143,7 +147,7 @@ def suggest_forecast_models(series: DataFrame, keys: Sequence[str] = ()) -> Data
             F.regr_slope("value", F.col("pos").cast("double")).alias("slope"),
             F.stddev_samp("value").alias("deviation"),
         )
-        .join(_strength(series, keys), ids, "left")
+        .join(_strength(series, keys, decomposed), ids, "left")
     )
     n = F.col("n")
     trended = (n >= 10) & (F.abs("slope") > TREND_SHARE * F.col("deviation"))

@@ -88,7 +88,8 @@ def interpolate_linear(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     step = ratio(
         F.col("after.value") - F.col("before.value"), F.col("after.pos") - F.col("before.pos")
     )
-    line = F.col("before.value") + step * (F.col("pos") - F.col("before.pos"))
+    # Slope first, as linear interpolation is customarily computed: ties depend on the rounding.
+    line = step * (F.col("pos") - F.col("before.pos")) + F.col("before.value")
     value = (
         F.when(F.col("value").isNotNull(), F.col("value"))
         .when(F.col("before").isNull(), F.lit(None))

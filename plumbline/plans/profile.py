@@ -182,8 +182,8 @@ def _trend(t: Table) -> Tables:
 
 def _forecasting(t: Table) -> Tables:
     return {
-        "forecast_readiness": forecast.forecast_readiness(t.daily),
-        "forecast_models": forecast.suggest_forecast_models(t.daily),
+        "forecast_readiness": forecast.forecast_readiness(t.daily, decomposed=t.decomposed),
+        "forecast_models": forecast.suggest_forecast_models(t.daily, decomposed=t.decomposed),
     }
 
 

@@ -15,9 +15,9 @@ from plumbline.plans.profile import Profile
 
 
 def key_stats(summary: DataFrame, outliers: DataFrame) -> DataFrame:
-    """(column, mean, std, min, max, n_outliers, pct): outliers only where there are any."""
-    found = outliers.where("n_outliers > 0").select("column", "n_outliers", F.round("pct", 2).alias("pct"))
-    return summary.select("column", "mean", "std", "min", "max").join(F.broadcast(found), "column", "left")
+    """(column, mean, std, min, max, n_outliers, pct), the percentage to two decimals."""
+    found = outliers.select("column", "n_outliers", F.round("pct", 2).alias("pct"))
+    return summary.select("column", "mean", "std", "min", "max").join(F.broadcast(found), "column")
 
 
 def key_patterns(cluster_profile: DataFrame | None, dimensionality: DataFrame | None) -> DataFrame:
@@ -271,11 +271,17 @@ def suggest_visualization(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+# The questions by name, with the JSON type of their argument.
 DRILL_DOWNS = {
     "analyze_column_distribution": column_distribution,
     "find_correlations": find_correlations,
     "suggest_visualization": suggest_visualization,
 }
+DRILL_DOWN_PARAMETERS = {
+    "analyze_column_distribution": {"column_name": "string"},
+    "find_correlations": {"target_column": "string"},
+    "suggest_visualization": {"columns": "array of string"},
+}
 
 
 def drill_down(df: DataFrame, name: str, arguments: dict | str) -> DataFrame:
