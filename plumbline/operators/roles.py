@@ -10,7 +10,6 @@ from plumbline.functions.dates import is_temporal, looks_dated, parsed_as
 from plumbline.functions.expressions import (
     categorical_columns,
     col,
-    group_key,
     numeric_columns,
     string_columns,
     unfold,
@@ -111,14 +110,14 @@ def role_evidence(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
         if c in strings:
             aggregates.append(F.avg(F.length(col(c))).alias(f"length{i}"))
         if c in candidates:
-            aggregates.append(F.approx_count_distinct(group_key(df, c)).alias(f"distinct{i}"))
+            aggregates.append(F.approx_count_distinct(col(c)).alias(f"distinct{i}"))
     row = df.agg(*aggregates).first().asDict()
 
     distinct = {c: row[f"distinct{i}"] for i, c in enumerate(columns) if c in candidates}
     unsure = [c for c, n in distinct.items() if n < CERTAIN]
     if unsure:
         exact = df.agg(
-            *[F.count_distinct(group_key(df, c)).alias(f"d{i}") for i, c in enumerate(unsure)]
+            *[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(unsure)]
         ).first()
         distinct.update({c: exact[f"d{i}"] for i, c in enumerate(unsure)})
     dates = _date_formats(df, row)

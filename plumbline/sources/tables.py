@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.expressions import col
@@ -30,13 +29,16 @@ def read_table(
     if isinstance(source, DataFrame):
         return nullify_nan(source)
     lowered = source.lower().rstrip("/")
-    if lowered.endswith(".parquet"):
-        return nullify_nan(spark.read.parquet(source))
-    if not lowered.endswith(".csv"):
+    if not lowered.endswith((".csv", ".parquet")):
         raise ValueError(f"not a CSV or Parquet table: {source}")
-    if "://" not in source and not os.path.exists(source):
-        raise FileNotFoundError(source)
-    text = _read_csv(spark, source, "UTF-8", multiline)
+    try:
+        if lowered.endswith(".parquet"):
+            return nullify_nan(spark.read.parquet(source))
+        text = _read_csv(spark, source, "UTF-8", multiline)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(source) from error
+        raise
     if _badly_decoded(text):
         text = _read_csv(spark, source, "ISO-8859-1", multiline)
     return nullify_nan(_typed(text, schema))
