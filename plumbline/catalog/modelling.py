@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.ml.functions import vector_to_array
 
 from plumbline.catalog.base import (
+    LINEITEM_NUMBERS,
     LINEITEM_WITH_NULLS,
     NULLED_NUMBERS,
     Query,
@@ -124,6 +125,21 @@ def _suggested(load):
     )
 
 
+def _pca_moments(load):
+    """Sums of powers of the variance shares: the traces of powers of the correlation matrix."""
+    shares = models.pca_variance(spread_out(load("lineitem")))
+    return rounded(shares.agg(
+        F.count("ratio").alias("n"), *[F.sum(F.pow("ratio", F.lit(k))).alias(f"power_{k}") for k in (1, 2, 3, 4)]), 5)
+
+
+SCALED = f"""WITH {matrix_sql('lineitem', LINEITEM_NUMBERS)},
+m AS (SELECT pos1 AS i, pos2 AS j, r / {len(LINEITEM_NUMBERS)} AS v FROM matrix),
+squared AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT CAST({len(LINEITEM_NUMBERS)} AS BIGINT) AS n, {r('(SELECT sum(v) FROM m WHERE i = j)', 5)} AS power_1,
+  {r('(SELECT sum(v) FROM squared WHERE i = j)', 5)} AS power_2,
+  {r('(SELECT sum(a.v * b.v) FROM squared a JOIN m b ON a.j = b.i AND a.i = b.j)', 5)} AS power_3,
+  {r('(SELECT sum(a.v * b.v) FROM squared a JOIN squared b ON a.j = b.i AND a.i = b.j)', 5)} AS power_4"""
+
 QUERIES = [
     Query(
         "impute_mean",
@@ -149,6 +165,7 @@ QUERIES = [
     Query("kmeans_elbow", lambda load: rounded(models.kmeans_elbow(spread_out(load("orders")).drop("o_orderkey")))),
     Query("cluster_profile", lambda load: rounded(models.cluster_profile(spread_out(load("orders")).drop("o_orderkey")))),
     Query("pca_variance", lambda load: rounded(models.pca_variance(spread_out(load("lineitem"))))),
+    Query("pca_moments", _pca_moments, SCALED),
     Query("dimensionality", lambda load: rounded(models.dimensionality(spread_out(load("lineitem"))))),
     Query("pca_feature_weights", lambda load: rounded(models.pca_feature_weights(spread_out(load("lineitem"))))),
     Query("pca_projection", lambda load: models.pca_projection(spread_out(load("part")))),

@@ -206,7 +206,11 @@ def heatmap_table(matrix: DataFrame, k: int = 15) -> DataFrame:
 
 def correlation_importance(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """(variable, importance): mean abs(r) after mean imputation, top k."""
-    matrix = correlation_matrix(df, columns, impute=True)
+    return importance_of(correlation_matrix(df, columns, impute=True), k)
+
+
+def importance_of(matrix: DataFrame, k: int = 10) -> DataFrame:
+    """(variable, importance): mean abs(r) in a correlation matrix, top k."""
     return top_correlated_features(matrix, k).select(
         "variable", F.col("mean_abs_r").alias("importance")
     )

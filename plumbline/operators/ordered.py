@@ -53,7 +53,9 @@ def forward_fill(
     # Within equal order values, known values come first.
     ties = [col(c).asc_nulls_last() for c in columns]
     laid = lay_out(df, order + ties)
-    here = W.partitionBy("part", *[col(k) for k in keys]).orderBy("seq")
+    here = (
+        W.partitionBy("part", *[col(k) for k in keys]).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
     filled = laid.select(
         "*", *[F.last(col(c), ignorenulls=True).over(here).alias(f"__last{i}") for i, c in enumerate(columns)]
     )
@@ -113,7 +115,7 @@ def row_series_profile(
         last = p["own"] if p["own"] is not None else last
     carried = df.sparkSession.createDataFrame(offsets, "part int, offset bigint, carry double")
 
-    here = W.partitionBy("part").orderBy("seq")
+    here = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = laid.join(F.broadcast(carried), "part").select(
         (F.col("offset") + F.sum("n").over(here) - F.col("n")).alias("first"),
         (F.col("offset") + F.sum("n").over(here) - 1).alias("last"),

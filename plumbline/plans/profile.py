@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import cached_property
+from threading import RLock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.dates import is_temporal, parse_date
 from plumbline.functions.expressions import numeric_columns
@@ -52,6 +54,26 @@ def plan_analyses(df: DataFrame, evidence: DataFrame | None = None) -> DataFrame
     return df.sparkSession.createDataFrame(list(enumerate(names)), "position int, analysis string")
 
 
+# Analyses that run side by side: most are short jobs that leave cores idle.
+ANALYSES_AT_ONCE = 4
+
+
+class shared:
+    """A property computed once per table, also when several analyses ask at once."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __set_name__(self, owner: type, name: str) -> None:
+        self.name = name
+
+    def __get__(self, table, owner: type | None = None):
+        with table.locks.setdefault(self.name, RLock()):
+            if self.name not in table.__dict__:
+                table.__dict__[self.name] = self.make(table)
+            return table.__dict__[self.name]
+
+
 class Table:
     """A cleaned table with the results that several analyses share.
 
@@ -63,40 +85,49 @@ class Table:
     def __init__(self, df: DataFrame, exclude: tuple[str, ...] = ()):
         self.df = df
         self.exclude = exclude
+        self.locks: dict[str, RLock] = {}
 
-    @cached_property
+    @shared
     def evidence(self) -> DataFrame:
         return roles.role_evidence(self.df, self.exclude)
 
-    @cached_property
+    @shared
     def types(self) -> list[str]:
         return roles.dataset_type_names(self.df, self.evidence)
 
-    @cached_property
+    @shared
     def summary(self) -> DataFrame:
         return stats.numeric_summary(self.df)
 
-    @cached_property
+    @shared
     def outliers(self) -> DataFrame:
         return cut_lineage(stats.iqr_outliers(self.df, summary=self.summary))
 
-    @cached_property
+    @shared
     def matrix(self) -> DataFrame:
         return cut_lineage(correlate.correlation_matrix(self.df))
 
-    @cached_property
+    @shared
+    def imputed_matrix(self) -> DataFrame:
+        """Correlations after mean imputation; without nulls they are the ones at hand."""
+        n_rows = self.evidence.first()["n_rows"]
+        if self.summary.where(F.col("count") < n_rows).isEmpty():
+            return self.matrix
+        return correlate.correlation_matrix(self.df, impute=True)
+
+    @shared
     def features(self) -> models.Features:
         return models.Features(self.df)
 
-    @cached_property
+    @shared
     def clustering(self) -> models.Clustering:
         return models.cluster(self.features)
 
-    @cached_property
+    @shared
     def pca(self):
         return models.components(self.features)
 
-    @cached_property
+    @shared
     def dated(self) -> tuple[DataFrame, str] | None:
         """The table with its first date column parsed, and that column's name."""
         found = self.evidence.where("is_date").orderBy("column_pos").first()
@@ -106,14 +137,14 @@ class Table:
             return self.df, found["column"]
         return parse_date(self.df, found["column"], found["date_format"]), found["column"]
 
-    @cached_property
+    @shared
     def daily(self) -> DataFrame:
         if self.dated is None or not numeric_columns(self.df):
             raise ValueError("a daily series needs a date and a numeric column")
         df, date_column = self.dated
         return stored(series.daily_metrics(df, date_column))
 
-    @cached_property
+    @shared
     def decomposed(self) -> DataFrame:
         return stored(seasonal.seasonal_decompose(self.daily))
 
@@ -219,7 +250,7 @@ def _feature_importance(t: Table) -> Tables:
     if len(numeric_columns(t.df)) < 2:
         return {}
     return {
-        "correlation_importance": correlate.correlation_importance(t.df),
+        "correlation_importance": correlate.importance_of(t.imputed_matrix),
         "variance_importance": correlate.variance_importance(t.df),
         "forest_importance": models.forest_importance(t.df),
     }
@@ -300,12 +331,18 @@ def run_profile(
         return profile
     profile.table = table
     profile.record("load")
-    for name in chosen:
-        try:
-            for key, result in ANALYSES[name](table).items():
-                profile.tables[key] = cut_lineage(result)
-            profile.record(name)
-        except Exception as error:
-            profile.record(name, error)
+
+    def analyse(name: str) -> Tables:
+        return {key: cut_lineage(result) for key, result in ANALYSES[name](table).items()}
+
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(ANALYSES_AT_ONCE) as pool:
+        running = {name: pool.submit(inherit(analyse), name) for name in chosen}
+        for name, analysis in running.items():
+            try:
+                profile.tables.update(analysis.result())
+                profile.record(name)
+            except Exception as error:
+                profile.record(name, error)
     table.release()
     return profile
