@@ -25,7 +25,6 @@ LONG_WORD = 256
 def _odd_table(seed: int) -> tuple[np.ndarray, int]:
     random = np.random.default_rng(seed)
     table = random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    table[IS_SPACE] = 0
     return table, int(random.integers(1 << 62, dtype=np.uint64)) * 4 + 5
 
 

@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.expressions import col
-from plumbline.llm.bytesops import IS_SPACE, Hashing, edges, ragged, text_bytes, text_groups
+from plumbline.llm.bytesops import IS_SPACE, edges, ragged, text_bytes, text_groups
+from plumbline.llm.pieces import PieceMemo
 
 TIERS = (2048, 1024, 512, 256, 128, 64)
 # Rows of all partitions get different sequence ids as long as one partition has fewer sequences than this.
 SEQUENCES_PER_PARTITION = 1 << 36
-# Words whose ids a worker remembers, and bytes of text tokenized at a time.
-REMEMBERED = 4_000_000
+# Bytes of text tokenized at a time.
 TEXT_AT_A_TIME = 4 << 20
 
 PIECES = pa.schema([
@@ -67,7 +67,7 @@ class WordTokenizer:
 
     The library's pre-tokenizer never joins what white space separates, nor a
     letter and a sign after it, so every such piece has its ids once and for
-    all. Pieces are told apart by a 64-bit hash; only new ones reach the library.
+    all, and only new pieces reach the library.
     """
 
     _loaded: dict[str, "WordTokenizer"] = {}
@@ -83,15 +83,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hashing = Hashing(11)
         self.letters = _byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.empty(0, dtype=np.uint64)
-        self.starts = np.empty(0, dtype=np.int64)
-        self.lengths = np.empty(0, dtype=np.int64)
-        self.flat = np.empty(0, dtype=np.int32)
+        self.memo = PieceMemo(self._piece)
 
     def _piece(self, piece: bytes) -> list[int]:
         text = piece.decode("utf-8", "replace")
@@ -112,31 +105,7 @@ class WordTokenizer:
             letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
             cuts = np.flatnonzero(letter[:-1] & _SIGN[data[1:]]) + 1
         starts, ends = edges(solid, bounds, cuts)
-        if len(starts) == 0:
-            return np.empty(0, dtype=np.int32), np.zeros(len(bounds), dtype=np.int64)
-        hashes, first, back = np.unique(self.hashing.words(data, starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, hashes)
-        found = np.zeros(len(hashes), dtype=bool)
-        found[at < len(self.known)] = self.known[at[at < len(self.known)]] == hashes[at < len(self.known)]
-        new = np.flatnonzero(~found)
-        if len(new):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.forget()
-                new = np.arange(len(hashes))
-            made = [self._piece(data[starts[i]:ends[i]].tobytes()) for i in first[new]]
-            lengths = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-            begin = len(self.flat) + np.cumsum(lengths) - lengths
-            self.flat = np.concatenate([self.flat, np.fromiter((i for m in made for i in m), dtype=np.int32)])
-            known = np.concatenate([self.known, hashes[new]])
-            order = np.argsort(known, kind="stable")
-            self.known = known[order]
-            self.starts = np.concatenate([self.starts, begin])[order]
-            self.lengths = np.concatenate([self.lengths, lengths])[order]
-            at = np.searchsorted(self.known, hashes)
-        lengths = self.lengths[at][back]
-        ids = self.flat[ragged(self.starts[at][back], lengths)]
-        before = np.zeros(len(lengths) + 1, dtype=np.int64)
-        np.cumsum(lengths, out=before[1:])
+        ids, before = self.memo.ids(data, starts, ends)
         return ids, before[np.searchsorted(starts, bounds)]
 
 

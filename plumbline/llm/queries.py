@@ -6,11 +6,15 @@ The operators keep their own interfaces; a query derives digests and picks colum
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm.byte_bpe import encode_documents
+from plumbline.llm.exact_dedup import content_groups
+from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,5 +26,43 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing,)}
-ORACLES: dict[str, str] = {}
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(_table(spark, folder, "documents"), BYTE_RANKS, digests=True)
+
+
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = drop_repeated_lines(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return content_groups(_table(spark, folder, "documents"), keep="largest")
+
+
+# A-Z, and the six characters that are stripped or separate words.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_STRIPPED = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP6_SQL = f"""
+WITH split_lines AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_STRIPPED})")} AS key FROM split_lines),
+common AS (
+  SELECT key, max(doc_id) AS last_id FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_id AS dropped
+  FROM keyed k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+OP10_SQL = f"""
+WITH lowered AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS body FROM documents),
+grouped AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM lowered GROUP BY body)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
+FROM lowered JOIN grouped USING (body)"""
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op6_line_dedup, op10_exact_dedup)}
+ORACLES = {"op6_line_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL}
