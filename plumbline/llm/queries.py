@@ -12,6 +12,7 @@ from plumbline.llm.byte_bpe import encode_documents
 from plumbline.llm.exact_dedup import content_groups
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.substring_dedup import remove_repeated_windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +36,11 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_repeated_windows(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return content_groups(_table(spark, folder, "documents"), keep="largest")
 
@@ -58,11 +64,32 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+OP7_SQL = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+windows AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 19], ' ') AS body
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM words WHERE len(words) >= 20)),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS n FROM windows)
+  WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS place FROM later),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM words),
+kept AS (
+  SELECT p.doc_id, count(*) FILTER (g.place IS NOT NULL) AS n_removed,
+         string_agg(word, ' ' ORDER BY p.place) FILTER (g.place IS NULL) AS body
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.place = g.place GROUP BY p.doc_id)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id"""
+
 OP10_SQL = f"""
 WITH lowered AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS body FROM documents),
 grouped AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM lowered GROUP BY body)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
 FROM lowered JOIN grouped USING (body)"""
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op6_line_dedup, op10_exact_dedup)}
-ORACLES = {"op6_line_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op6_line_dedup, op7_substring_dedup, op10_exact_dedup)}
+ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
