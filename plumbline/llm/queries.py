@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.byte_bpe import encode_documents
+from plumbline.llm.embedding_dedup import near_vector_groups
 from plumbline.llm.exact_dedup import content_groups
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.simhash_dedup import near_duplicate_groups
 from plumbline.llm.substring_dedup import remove_repeated_windows
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +33,14 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(_table(spark, folder, "documents"), BYTE_RANKS, digests=True)
 
 
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vector_groups(_table(spark, folder, "embeddings"))
+
+
+def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_groups(_table(spark, folder, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = drop_repeated_lines(_table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -91,5 +101,7 @@ grouped AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM low
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
 FROM lowered JOIN grouped USING (body)"""
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op6_line_dedup, op7_substring_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_byte_bpe, op4_embedding_dedup, op5_simhash_dedup, op6_line_dedup, op7_substring_dedup, op10_exact_dedup,
+)}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
