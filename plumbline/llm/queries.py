@@ -13,8 +13,10 @@ from plumbline.llm.embedding_dedup import near_vector_groups
 from plumbline.llm.exact_dedup import content_groups
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.quality import score_quality, train_quality
 from plumbline.llm.simhash_dedup import near_duplicate_groups
 from plumbline.llm.substring_dedup import remove_repeated_windows
+from plumbline.llm.toxicity import grade_toxicity, train_toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,6 +35,11 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(_table(spark, folder, "documents"), BYTE_RANKS, digests=True)
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return grade_toxicity(docs, train_toxicity(docs, _table(spark, folder, "labels")))
+
+
 def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vector_groups(_table(spark, folder, "embeddings"))
 
@@ -51,6 +58,11 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return score_quality(docs, train_quality(docs, _table(spark, folder, "labels")))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return content_groups(_table(spark, folder, "documents"), keep="largest")
 
@@ -102,6 +114,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 FROM lowered JOIN grouped USING (body)"""
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_byte_bpe, op4_embedding_dedup, op5_simhash_dedup, op6_line_dedup, op7_substring_dedup, op10_exact_dedup,
+    op1_packing, op2_byte_bpe, op3_toxicity, op4_embedding_dedup, op5_simhash_dedup, op6_line_dedup, op7_substring_dedup,
+    op9_quality, op10_exact_dedup,
 )}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
