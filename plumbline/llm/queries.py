@@ -12,6 +12,7 @@ from plumbline.llm.byte_bpe import encode_documents
 from plumbline.llm.embedding_dedup import near_vector_groups
 from plumbline.llm.exact_dedup import content_groups
 from plumbline.llm.line_dedup import drop_repeated_lines
+from plumbline.llm.lm_scoring import BIGRAM_WEIGHT, SMOOTHING, score_documents
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality import score_quality, train_quality
 from plumbline.llm.simhash_dedup import near_duplicate_groups
@@ -58,6 +59,13 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    # Adding zero turns a rounded -0.0 into 0.0.
+    losses = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss", "difference")]
+    return scored.select("doc_id", "n_tokens", *losses)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return score_quality(docs, train_quality(docs, _table(spark, folder, "labels")))
@@ -107,6 +115,52 @@ SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(body, '')) AS kept_sha256
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id"""
 
+OP8_SQL = f"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good
+  FROM documents),
+-- A word is told from the marks by the letter before it.
+sequences AS (
+  SELECT doc_id, good, list_concat(['begin'], list_transform(words, lambda w: 'w' || w), ['end']) AS tokens FROM words),
+placed AS (
+  SELECT doc_id, good, tokens[place - 1] AS before, tokens[place] AS token
+  FROM (SELECT doc_id, good, tokens, unnest(range(2, len(tokens) + 1)) AS place FROM sequences)),
+own AS (SELECT doc_id, good, token, count(*) AS n FROM placed GROUP BY ALL),
+own_pairs AS (SELECT doc_id, good, before, token, count(*) AS n FROM placed GROUP BY ALL),
+own_before AS (SELECT doc_id, before, count(*) AS n FROM placed GROUP BY ALL),
+unigrams AS (SELECT token, sum(n) AS every, coalesce(sum(n) FILTER (good), 0) AS target FROM own GROUP BY token),
+bigrams AS (SELECT before, token, sum(n) AS every, coalesce(sum(n) FILTER (good), 0) AS target FROM own_pairs GROUP BY ALL),
+contexts AS (SELECT before, sum(every) AS every, sum(target) AS target FROM bigrams GROUP BY before),
+sizes AS (SELECT count(*) AS words, sum(every) AS every, sum(target) AS target FROM unigrams),
+lengths AS (SELECT doc_id, good, count(*) AS n_tokens FROM placed GROUP BY ALL),
+seen AS (
+  SELECT p.doc_id, l.n_tokens, p.n AS times, s.words,
+         u.every - o.n AS u_every, u.target - CASE WHEN p.good THEN o.n ELSE 0 END AS u_target,
+         b.every - p.n AS b_every, b.target - CASE WHEN p.good THEN p.n ELSE 0 END AS b_target,
+         c.every - q.n AS c_every, c.target - CASE WHEN p.good THEN q.n ELSE 0 END AS c_target,
+         s.every - l.n_tokens AS s_every, s.target - CASE WHEN p.good THEN l.n_tokens ELSE 0 END AS s_target
+  FROM own_pairs p JOIN lengths l ON p.doc_id = l.doc_id JOIN own o ON p.doc_id = o.doc_id AND p.token = o.token
+  JOIN own_before q ON p.doc_id = q.doc_id AND p.before = q.before
+  JOIN unigrams u ON p.token = u.token JOIN bigrams b ON p.before = b.before AND p.token = b.token
+  JOIN contexts c ON p.before = c.before CROSS JOIN sizes s),
+chances AS (
+  SELECT doc_id, n_tokens, times,
+         CASE WHEN c_every > 0 THEN {BIGRAM_WEIGHT} ELSE 0.0 END::DOUBLE AS k_every,
+         CASE WHEN c_target > 0 THEN {BIGRAM_WEIGHT} ELSE 0.0 END::DOUBLE AS k_target,
+         b_every::DOUBLE / greatest(c_every, 1)::DOUBLE AS p_every, b_target::DOUBLE / greatest(c_target, 1)::DOUBLE AS p_target,
+         (u_every::DOUBLE + {SMOOTHING}::DOUBLE) / (s_every::DOUBLE + {SMOOTHING}::DOUBLE * words) AS base_every,
+         (u_target::DOUBLE + {SMOOTHING}::DOUBLE) / (s_target::DOUBLE + {SMOOTHING}::DOUBLE * words) AS base_target
+  FROM seen),
+losses AS (
+  SELECT doc_id, n_tokens,
+         sum(-log2(k_target * p_target + (1 - k_target) * base_target) * times) / n_tokens AS target_loss,
+         sum(-log2(k_every * p_every + (1 - k_every) * base_every) * times) / n_tokens AS background_loss
+  FROM chances GROUP BY doc_id, n_tokens)
+SELECT doc_id, n_tokens, round(target_loss, 6) + 0.0 AS target_loss, round(background_loss, 6) + 0.0 AS background_loss,
+       round(target_loss - background_loss, 6) + 0.0 AS difference
+FROM losses"""
+
 OP10_SQL = f"""
 WITH lowered AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS body FROM documents),
 grouped AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM lowered GROUP BY body)
@@ -115,6 +169,6 @@ FROM lowered JOIN grouped USING (body)"""
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_byte_bpe, op3_toxicity, op4_embedding_dedup, op5_simhash_dedup, op6_line_dedup, op7_substring_dedup,
-    op9_quality, op10_exact_dedup,
+    op8_lm_scoring, op9_quality, op10_exact_dedup,
 )}
-ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_lm_scoring": OP8_SQL, "op10_exact_dedup": OP10_SQL}
