@@ -32,7 +32,7 @@ GRADES = 3  # above harmless
 # shrink with the size of the sample, by its root and by itself, as chance does.
 CHOOSING, WEIGHING = (0.08, 1.2), (0.005, 0.24)
 # A word must stand in so many rows of the sample, and in no smaller or larger share of them.
-LEAST_ROWS, LEAST_SHARE, LARGEST_SHARE = 3, 5e-4, 0.1
+LEAST_ROWS, LEAST_SHARE, LARGEST_SHARE = 3, 5e-4, 0.5
 ROUNDS = 400
 MARKER_ROWS, MARKER_LIFT = 3, 10.0  # toxic texts a marker stands in at least, and how much more often than in others
 TEXT_AT_A_TIME = 2 << 20
