@@ -39,7 +39,7 @@ def test_simhash_query(spark, rows):
 
 
 def test_embedding_query(spark):
-    from test_models import all_pairs
+    from test_learned import all_pairs
 
     vectors = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()]
     want = all_pairs(sorted(vectors))
