@@ -107,20 +107,16 @@ DISTINCT = union(LINEITEM, lambda i, c: (
 ))
 
 
-def counts_sql(table: str, columns: list[str], k: int, texts: tuple[str, ...] = ()) -> str:
-    """Top values; long texts are tied by digest as the operator does."""
-    def key(c: str) -> str:
-        text = f"CAST({c} AS VARCHAR)"
-        return f"CASE WHEN length({text}) < 64 THEN {text} ELSE sha256({text}) END" if c in texts else text
-
+def counts_sql(table: str, columns: list[str], k: int) -> str:
+    """Top values, ties by value."""
     cells = union(columns, lambda i, c: (
-        f"SELECT '{c}' AS \"column\", {i} AS column_pos, {key(c)} AS key, CAST({c} AS VARCHAR) AS value "
+        f"SELECT '{c}' AS \"column\", {i} AS column_pos, CAST({c} AS VARCHAR) AS value "
         f"FROM {table} WHERE {c} IS NOT NULL"
     ))
     return f"""SELECT "column", CAST(column_pos AS BIGINT) AS column_pos, value, n, rank FROM (
-  SELECT "column", column_pos, min(value) AS value, count(*) AS n,
-         row_number() OVER (PARTITION BY column_pos ORDER BY count(*) DESC, key) AS rank
-  FROM ({cells}) GROUP BY "column", column_pos, key) WHERE rank <= {k}"""
+  SELECT "column", column_pos, value, count(*) AS n,
+         row_number() OVER (PARTITION BY column_pos ORDER BY count(*) DESC, value) AS rank
+  FROM ({cells}) GROUP BY "column", column_pos, value) WHERE rank <= {k}"""
 
 
 DEDUP_COLUMNS = "text, lang, source, n_chars"
@@ -264,7 +260,7 @@ QUERIES = [
     Query(
         "value_counts",
         lambda load: rounded(frequency.value_counts(load("documents"), ["text", "lang", "source"])),
-        counts_sql("documents", ["text", "lang", "source"], 10, ("text", "lang", "source")),
+        counts_sql("documents", ["text", "lang", "source"], 10),
     ),
     Query(
         "value_shares",

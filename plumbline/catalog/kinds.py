@@ -157,7 +157,7 @@ GEO = f"WITH {PLACES}\n" + union(["region", "country", "c_mktsegment"], lambda i
 
 def _coordinates(load):
     df = places(load)
-    return rounded(stats.null_counts(df, list(roles.coordinate_columns(df))))
+    return rounded(stats.null_counts(df, list(roles.detect_coordinates(df).first())))
 
 
 COORDINATES = f"WITH {PLACES}\n" + union(["latitude", "longitude"], lambda i, c: (

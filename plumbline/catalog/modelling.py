@@ -17,7 +17,6 @@ from plumbline.catalog.base import (
 from plumbline.catalog.columns import summary_sql
 from plumbline.catalog.relations import IMPUTED, LINKED, LINKED_SQL, _linked, matrix_sql
 from plumbline.operators import models, readiness, stats
-from plumbline.sources.tables import spread_out
 
 KEYED = ["l_orderkey", "l_linenumber"]
 
@@ -127,7 +126,7 @@ def _suggested(load):
 
 def _pca_moments(load):
     """Sums of powers of the variance shares: the traces of powers of the correlation matrix."""
-    shares = models.pca_variance(spread_out(load("lineitem")))
+    shares = models.pca_variance(load("lineitem"))
     return rounded(shares.agg(
         F.count("ratio").alias("n"), *[F.sum(F.pow("ratio", F.lit(k))).alias(f"power_{k}") for k in (1, 2, 3, 4)]), 5)
 
@@ -162,14 +161,14 @@ QUERIES = [
         _matrix,
         f"WITH {KEYED_SQL},\n{FILLED}\nSELECT l_orderkey, l_linenumber, {STANDARDIZED} FROM filled",
     ),
-    Query("kmeans_elbow", lambda load: rounded(models.kmeans_elbow(spread_out(load("orders")).drop("o_orderkey")))),
-    Query("cluster_profile", lambda load: rounded(models.cluster_profile(spread_out(load("orders")).drop("o_orderkey")))),
-    Query("pca_variance", lambda load: rounded(models.pca_variance(spread_out(load("lineitem"))))),
+    Query("kmeans_elbow", lambda load: rounded(models.kmeans_elbow(load("orders")))),
+    Query("cluster_profile", lambda load: rounded(models.cluster_profile(load("orders")))),
+    Query("pca_variance", lambda load: rounded(models.pca_variance(load("lineitem")))),
     Query("pca_moments", _pca_moments, SCALED),
-    Query("dimensionality", lambda load: rounded(models.dimensionality(spread_out(load("lineitem"))))),
-    Query("pca_feature_weights", lambda load: rounded(models.pca_feature_weights(spread_out(load("lineitem"))))),
-    Query("pca_projection", lambda load: models.pca_projection(spread_out(load("part")))),
-    Query("forest_importance", lambda load: models.forest_importance(spread_out(load("lineitem")), "l_extendedprice")),
+    Query("dimensionality", lambda load: rounded(models.dimensionality(load("lineitem")))),
+    Query("pca_feature_weights", lambda load: rounded(models.pca_feature_weights(load("lineitem")))),
+    Query("pca_projection", lambda load: models.pca_projection(load("part"))),
+    Query("forest_importance", lambda load: models.forest_importance(load("lineitem"), "l_extendedprice")),
     Query(
         "class_distribution",
         lambda load: readiness.class_distribution(load("conversations"), "role"),

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from plumbline.functions.expressions import col
 from plumbline.functions.lexicon import DATE_FORMATS
 
-# No supported format is longer, so longer texts skip the parser.
-LONGEST_DATE = 40
-
 
 def _shape(fmt: str) -> str:
     """The characters that a text in the format consists of, as a regular expression."""
@@ -25,7 +22,7 @@ def _shape(fmt: str) -> str:
 def looks_dated(text: Column) -> Column:
     """Whether the text has the shape of any supported format."""
     shapes = "|".join(_shape(fmt) for fmt in DATE_FORMATS)
-    return F.coalesce((F.length(text) <= LONGEST_DATE) & F.trim(text).rlike(f"^({shapes})$"), F.lit(False))
+    return F.coalesce(F.trim(text).rlike(f"^({shapes})$"), F.lit(False))
 
 
 def parsed_as(text: Column, fmt: str) -> Column:
@@ -34,8 +31,8 @@ def parsed_as(text: Column, fmt: str) -> Column:
     Texts are matched against the shape of the format first: a failing date
     parser costs an exception per cell, a failing match next to nothing.
     """
-    short = F.when(F.length(text) <= LONGEST_DATE, F.trim(text))
-    shaped = F.when(short.rlike(f"^{_shape(fmt)}$"), short)
+    trimmed = F.trim(text)
+    shaped = F.when(trimmed.rlike(f"^{_shape(fmt)}$"), trimmed)
     if fmt == "iso":
         return shaped.try_cast("timestamp")
     moment = F.try_to_timestamp(shaped, F.lit(fmt))

@@ -31,8 +31,10 @@ def col(name: str) -> Column:
 
 
 def number(name: str) -> Column:
-    """A numeric column as double, so that decimals and integers behave alike."""
-    return col(name).cast("double")
+    """A numeric column as double, so that decimals and integers behave alike;
+    NaN and infinities are missing values."""
+    x = col(name).cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

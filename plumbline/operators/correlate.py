@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from plumbline.functions.expressions import number, numeric_columns, per_column, ratio
 
 MATRIX_SCHEMA = "var1 string, var2 string, pos1 int, pos2 int, r double"
-# With more columns the pair sums outgrow generated code; numpy blocks take over.
-WIDE = 24
 # Thresholds on abs(r).
 STRONG, REDUNDANT, NOTABLE, NEAR_IDENTICAL = 0.5, 0.8, 0.3, 0.95
 
@@ -39,14 +37,13 @@ def correlation_matrix(
     ).first()
     n, p = first["n"], len(columns)
     means = [first[f"mean{i}"] for i in range(p)]
-    full = [impute or first[f"n{i}"] == n for i in range(p)]
     varied = [first[f"n{i}"] > 0 and first[f"lo{i}"] < first[f"hi{i}"] for i in range(p)]
 
     # Centred columns; a constant one is left out, as rounding could make its sum of squares positive.
     centred = df.select(*[
         _centred(c, means[i], impute, varied[i]).alias(f"x{i}") for i, c in enumerate(columns)
     ])
-    sums = _wide_sums(centred, p) if p > WIDE else _pair_sums(centred, p, full)
+    sums = _block_sums(centred, p)
     names = F.array(*[F.lit(c) for c in columns])
     half = sums.select(
         "i", "j", _pearson(F.col("sxy"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.col("n")).alias("r")
@@ -77,35 +74,8 @@ def _pearson(sxy: Column, sx: Column, sy: Column, sxx: Column, syy: Column, n: C
     return F.when(~flat, ratio(covariation, F.sqrt(spread_x) * F.sqrt(spread_y)))
 
 
-def _pair_sums(centred: DataFrame, p: int, full: list[bool]) -> DataFrame:
-    """One aggregate: sums of squares per column, sums of products per pair."""
-    sums: dict[str, str] = {"n": "count(1)"}
-    rows = []
-    for i in range(p):
-        for j in range(i, p):
-            x, y = f"x{i}", f"x{j}"
-            if full[i] and full[j]:
-                own = {"n": "n", "sx": f"s_{i}", "sy": f"s_{j}", "sxx": f"p_{i}_{i}", "syy": f"p_{j}_{j}"}
-                sums[f"s_{i}"], sums[f"s_{j}"] = f"sum({x})", f"sum({y})"
-                sums[f"p_{i}_{i}"], sums[f"p_{j}_{j}"] = f"sum({x} * {x})", f"sum({y} * {y})"
-            else:
-                own = {name: f"{name}_{i}_{j}" for name in ("n", "sx", "sy", "sxx", "syy")}
-                sums[own["n"]] = f"count({x} * {y})"
-                sums[own["sx"]] = f"sum(CASE WHEN {y} IS NOT NULL THEN {x} END)"
-                sums[own["sy"]] = f"sum(CASE WHEN {x} IS NOT NULL THEN {y} END)"
-                sums[own["sxx"]] = f"sum(CASE WHEN {y} IS NOT NULL THEN {x} * {x} END)"
-                sums[own["syy"]] = f"sum(CASE WHEN {x} IS NOT NULL THEN {y} * {y} END)"
-            own["sxy"] = f"p_{i}_{j}"
-            sums[f"p_{i}_{j}"] = f"sum({x} * {y})"
-            fields = ", ".join(f"'{name}', {of}" for name, of in own.items())
-            rows.append(f"named_struct('i', {i}, 'j', {j}, {fields})")
-    return centred.agg(*[F.expr(e).alias(name) for name, e in sums.items()]).select(
-        F.expr(f"inline(array({', '.join(rows)}))")
-    )
-
-
-def _wide_sums(centred: DataFrame, p: int) -> DataFrame:
-    """The same sums for many columns: one block of p x p sums per task, added up by Spark."""
+def _block_sums(centred: DataFrame, p: int) -> DataFrame:
+    """Sums, squares and products of all pairs: one block of p x p sums per task, added up by Spark."""
     fields = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

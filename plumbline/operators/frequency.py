@@ -40,37 +40,44 @@ def value_counts(
     """(column, column_pos, value, n, rank): the k most frequent non-null values.
 
     Ties go to the smaller value. Counting pre-aggregates on the map side, and
-    each task keeps only its k best before the final ranking. Long texts are
-    counted by digest; only the k winners are looked up again, so full texts
-    are never shuffled. ``k=None`` returns every value.
+    long texts are counted by digest. Only values as frequent as the k-th best
+    can be among the k; their texts alone are looked up again and compared.
+    ``k=None`` returns every value.
     """
     columns = categorical_columns(df) if columns is None else list(columns)
     if not columns:
         return df.sparkSession.createDataFrame([], FREQUENCY_SCHEMA)
     counts = _cells(df, columns).groupBy("column_pos", "key").agg(F.count(F.lit(1)).alias("n"))
     if k is None:
-        ranked = counts.withColumn("rank", F.lit(None).cast("int"))
+        ranked = _with_texts(df, columns, counts).withColumn("rank", F.lit(None).cast("int"))
     else:
-        best = W.partitionBy("column_pos").orderBy(F.desc("n"), "key")
-        ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return _with_texts(df, columns, ranked, bounded=k is not None).select(
-        _named(columns).alias("column"), "column_pos", "value", "n", "rank"
-    )
+        by_count = W.partitionBy("column_pos").orderBy(F.desc("n"))
+        least = (
+            counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= k)
+            .groupBy("column_pos").agg(F.min("n").alias("least"))
+        )
+        near = counts.join(F.broadcast(least), "column_pos").where("n >= least").drop("least")  # one row per column
+        best = W.partitionBy("column_pos").orderBy(F.desc("n"), "value")
+        ranked = (
+            _with_texts(df, columns, near).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        )
+    return ranked.select(_named(columns).alias("column"), "column_pos", "value", "n", "rank")
 
 
-def _with_texts(df: DataFrame, columns: Sequence[str], ranked: DataFrame, bounded: bool) -> DataFrame:
+def _with_texts(df: DataFrame, columns: Sequence[str], counts: DataFrame) -> DataFrame:
     """Replace digests by the texts they stand for."""
     strings = [c for c in columns if dict(df.dtypes)[c] == "string"]
     if not strings:
-        return ranked.withColumnRenamed("key", "value")
-    long_cells = _cells(df, columns).where(F.length("value") >= DIGEST_LENGTH)
-    if bounded:  # at most k x columns digests
-        digests = ranked.where(F.length("key") == DIGEST_LENGTH).select("column_pos", "key")
-        long_cells = long_cells.join(F.broadcast(digests), ["column_pos", "key"], "left_semi")
+        return counts.withColumnRenamed("key", "value")
+    digests = counts.where(F.length("key") == DIGEST_LENGTH).select("column_pos", "key")
     # Each digest stands for one text; as a distinct it is reduced by hashing on the map side.
-    texts = long_cells.select("column_pos", "key", F.col("value").alias("text")).distinct()
-    return ranked.join(texts, ["column_pos", "key"], "left").select(
-        "column_pos", F.coalesce("text", "key").alias("value"), "n", "rank"
+    texts = (
+        _cells(df, columns).where(F.length("value") >= DIGEST_LENGTH)
+        .join(digests, ["column_pos", "key"], "left_semi")
+        .select("column_pos", "key", F.col("value").alias("text")).distinct()
+    )
+    return counts.join(texts, ["column_pos", "key"], "left").select(
+        "column_pos", F.coalesce("text", "key").alias("value"), "n"
     )
 
 

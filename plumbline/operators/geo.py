@@ -10,7 +10,9 @@ from plumbline.functions.expressions import col, number, numeric_columns, per_co
 from plumbline.operators.frequency import value_counts
 from plumbline.operators.roles import coordinate_columns, location_columns
 
-FIRST_METRICS = 3
+REGIONAL_SCHEMA = (
+    "metric string, location string, mean double, std double, min double, max double, n bigint, rank int"
+)
 
 
 def regional_stats(
@@ -18,14 +20,20 @@ def regional_stats(
     location: str | None = None,
     metrics: Sequence[str] | None = None,
     k: int = 10,
+    first: int | None = None,
 ) -> DataFrame:
     """(metric, location, mean, std, min, max, n): per metric the k largest regions.
 
+    All numeric columns unless ``metrics`` names some or ``first`` limits them;
+    without a location column or a metric there are no rows.
+
     All metrics are aggregated in one group-by; the pre-aggregated groups, not
     the rows, are unfolded and ranked, ties by location name.
     """
-    location = location or location_columns(df)[0]
-    metrics = numeric_columns(df)[:FIRST_METRICS] if metrics is None else list(metrics)
+    location = location or next(iter(location_columns(df)), None)
+    metrics = numeric_columns(df)[:first] if metrics is None else list(metrics)
+    if location is None or not metrics:
+        return df.sparkSession.createDataFrame([], REGIONAL_SCHEMA)
     wide = (
         df.where(col(location).isNotNull())
         .groupBy(col(location).alias("location"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -111,6 +112,21 @@ def _features(table: DataFrame | Features, columns: Sequence[str] | None = None)
     return table if isinstance(table, Features) else Features(table, columns)
 
 
+def _released(function):
+    """Features made for one call only are released at its end."""
+
+    @wraps(function)
+    def call(table: DataFrame | Features, *args, **kwargs):
+        features = _features(table)
+        try:
+            return function(features, *args, **kwargs)
+        finally:
+            if features is not table:
+                features.release()
+
+    return call
+
+
 def elbow(costs: Sequence[float], rule: str = "late") -> int:
     """Number of clusters from the costs of k = 2, 3, ...
 
@@ -130,9 +146,9 @@ class Clustering:
     model: KMeansModel
 
 
-def cluster(table: DataFrame | Features, rule: str = "late") -> Clustering:
+@_released
+def cluster(features: DataFrame | Features, rule: str = "late") -> Clustering:
     """Fit k-means for every k tried; the model of the chosen k is kept, not refitted."""
-    features = _features(table)
     if len(features.columns) < 2:
         raise ValueError("clustering needs two numeric columns")
     tried = range(2, min(MOST_CLUSTERS, features.n_rows // 2) + 1)
@@ -150,9 +166,9 @@ def cluster(table: DataFrame | Features, rule: str = "late") -> Clustering:
     return Clustering(costs, best, models[best])
 
 
-def kmeans_elbow(table: DataFrame | Features, clustering: Clustering | None = None) -> DataFrame:
+@_released
+def kmeans_elbow(features: DataFrame | Features, clustering: Clustering | None = None) -> DataFrame:
     """(k, inertia, second_difference, is_chosen)."""
-    features = _features(table)
     found = clustering or cluster(features)
     by_k = W.orderBy("k")  # at most nine rows
     costs = features.source.sparkSession.createDataFrame(
@@ -162,9 +178,9 @@ def kmeans_elbow(table: DataFrame | Features, clustering: Clustering | None = No
     return costs.select("k", "inertia", bend.alias("second_difference"), (F.col("k") == found.best).alias("is_chosen"))
 
 
-def cluster_profile(table: DataFrame | Features, clustering: Clustering | None = None) -> DataFrame:
+@_released
+def cluster_profile(features: DataFrame | Features, clustering: Clustering | None = None) -> DataFrame:
     """(cluster, size, column, column_pos, center) with centres in original units."""
-    features = _features(table)
     found = clustering or cluster(features)
     spark = features.source.sparkSession
     centers = spark.createDataFrame(
@@ -185,16 +201,16 @@ def cluster_profile(table: DataFrame | Features, clustering: Clustering | None =
     )
 
 
-def components(table: DataFrame | Features, k: int | None = None) -> PCAModel:
-    features = _features(table)
+@_released
+def components(features: DataFrame | Features, k: int | None = None) -> PCAModel:
     if len(features.columns) < 3 and k is None:
         raise ValueError("component analysis needs three numeric columns")
     return PCA(k=k or len(features.columns), inputCol="features", outputCol="scores").fit(features.vectors)
 
 
-def pca_variance(table: DataFrame | Features, model: PCAModel | None = None) -> DataFrame:
+@_released
+def pca_variance(features: DataFrame | Features, model: PCAModel | None = None) -> DataFrame:
     """(component, ratio, cumulative) of the explained variance, all components."""
-    features = _features(table)
     model = model or components(features)
     shares = features.source.sparkSession.createDataFrame(
         [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)],
@@ -204,9 +220,9 @@ def pca_variance(table: DataFrame | Features, model: PCAModel | None = None) ->
     return shares.withColumn("cumulative", F.sum("ratio").over(running))
 
 
-def dimensionality(table: DataFrame | Features, model: PCAModel | None = None) -> DataFrame:
+@_released
+def dimensionality(features: DataFrame | Features, model: PCAModel | None = None) -> DataFrame:
     """(total_features, components_95, components_90, reduction_ratio, high_potential)."""
-    features = _features(table)
     total = len(features.columns)
     variance = pca_variance(features, model)
 
@@ -225,9 +241,9 @@ def dimensionality(table: DataFrame | Features, model: PCAModel | None = None) -
     )
 
 
-def pca_feature_weights(table: DataFrame | Features, model: PCAModel | None = None, k: int = 5) -> DataFrame:
+@_released
+def pca_feature_weights(features: DataFrame | Features, model: PCAModel | None = None, k: int = 5) -> DataFrame:
     """(column, weight): mean abs(loading) over the first three components, top k."""
-    features = _features(table)
     model = model or components(features)
     loadings = model.pc.toArray()[:, :LEADING_COMPONENTS]  # columns x 3
     return (
@@ -240,10 +256,10 @@ def pca_feature_weights(table: DataFrame | Features, model: PCAModel | None = No
     )
 
 
-def pca_projection(table: DataFrame | Features, clustering: Clustering | None = None) -> DataFrame:
+@_released
+def pca_projection(features: DataFrame | Features, clustering: Clustering | None = None) -> DataFrame:
     """(kind, cluster, pc1, pc2, pct1, pct2): every row and every cluster centre on
     the plane of the first two components."""
-    features = _features(table)
     found = clustering or cluster(features)
     model = components(features, 2)
     pct = [float(v) * 100 for v in model.explainedVariance]

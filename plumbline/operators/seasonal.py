@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions.expressions import ratio
 from plumbline.operators.series import daily_metrics, in_order, series_ids, whole
@@ -108,29 +107,23 @@ def seasonal_trend(decomposed: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 def spectrum(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(metric, k, n, magnitude) of the discrete Fourier transform, 0 <= k <= n/2.
 
-    One series is as long as its calendar; the transform of each runs in the
-    task that holds it, on Arrow batches.
+    One sum of cosines and one of sines per frequency; a series is as long as
+    its calendar, and the sums of a series spread over the tasks by frequency.
     """
     ids = series_ids(keys)
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("pos")["value"].dropna().to_numpy()
-        magnitude = np.abs(np.fft.rfft(values))
-        out = pd.DataFrame({"k": np.arange(len(magnitude)), "n": len(values), "magnitude": magnitude})
-        for name in reversed(ids):
-            out.insert(0, name, pdf[name].iloc[0])
-        return out
-
-    schema = T.StructType(
-        [series.schema[i] for i in ids]
-        + [T.StructField("k", T.LongType()), T.StructField("n", T.LongType()),
-           T.StructField("magnitude", T.DoubleType())]
+    in_days = W.partitionBy(*ids).orderBy("pos")
+    known = series.where("value is not null").select(
+        *ids, "value",
+        (F.row_number().over(in_days) - 1).cast("long").alias("at"),
+        F.count(F.lit(1)).over(W.partitionBy(*ids)).alias("n"),
     )
+    # The angle is taken from the whole number at * k modulo n, so that it stays exact.
+    angle = 2 * math.pi * ((F.col("at") * F.col("k")) % F.col("n")) / F.col("n")
     return (
-        series.where("value is not null")
-        .select(*ids, "pos", "value")
-        .groupBy(*ids)
-        .applyInPandas(transform, schema)
+        known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))).alias("k"))
+        .groupBy(*ids, "k", "n")
+        .agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
+        .select(*ids, "k", "n", F.hypot("re", "im").alias("magnitude"))
     )
 
 

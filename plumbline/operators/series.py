@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions.expressions import col, number, numeric_columns, ratio
 
-FIRST_METRICS = 3
 # Fixed value: a volatility below this is called stable.
 STABLE = 0.1
 # Fixed value: day-to-day changes beyond this many deviations are significant.
@@ -38,13 +37,16 @@ def daily_series(
     date_column: str,
     metrics: Sequence[str] | None = None,
     keys: Sequence[str] = (),
+    first: int | None = None,
 ) -> DataFrame:
     """Mean per calendar day; days without rows are present with a null value.
 
+    All numeric columns unless ``metrics`` names some or ``first`` limits them.
+
     Rows without a date are ignored. Gap days come from the next observed day,
     so no calendar table is joined.
     """
-    metrics = numeric_columns(df)[:FIRST_METRICS] if metrics is None else list(metrics)
+    metrics = numeric_columns(df)[:first] if metrics is None else list(metrics)
     days = (
         df.where(col(date_column).isNotNull())
         .groupBy(*[col(k) for k in keys], F.to_date(col(date_column)).alias("day"))

@@ -10,16 +10,18 @@ from plumbline.functions.expressions import col, is_blank, per_column, ratio, wo
 from plumbline.functions.lexicon import NEGATIVE_WORDS, POSITIVE_WORDS
 from plumbline.operators.roles import detect_text_columns
 
+HISTOGRAM_SCHEMA = "measure string, bin int, left double, right double, n bigint"
 
-def text_columns(df: DataFrame, first: int) -> list[str]:
-    """The first few columns of long text, in column order."""
+
+def text_columns(df: DataFrame, first: int | None = None) -> list[str]:
+    """The columns of long text in column order, all or the first few."""
     found = detect_text_columns(df).orderBy("column_pos").collect()  # one row per column
     return [r["column"] for r in found][:first]
 
 
 def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, avg/max/min words, avg/max/min chars) of the non-null texts."""
-    columns = text_columns(df, 3) if columns is None else list(columns)
+    columns = text_columns(df) if columns is None else list(columns)
 
     def n_words(c: str):
         return F.size(words(col(c).cast("string")))
@@ -53,7 +55,7 @@ def word_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     Frequent words are added up on the map side, so the most common word costs
     one row per task in the shuffle.
     """
-    columns = text_columns(df, 3) if columns is None else list(columns)
+    columns = text_columns(df) if columns is None else list(columns)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, word string, n bigint")
     texts = F.array(
@@ -72,7 +74,7 @@ def word_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def vocabulary_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, unique_words, total_words, vocabulary_density, empty_ratio)."""
-    columns = text_columns(df, 3) if columns is None else list(columns)
+    columns = text_columns(df) if columns is None else list(columns)
     blank = per_column(
         df,
         columns,
@@ -102,7 +104,7 @@ def lexicon_sentiment(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     A text scores one for every lexicon word that it holds as a whole token,
     however often; punctuation is part of a token.
     """
-    columns = text_columns(df, 2) if columns is None else list(columns)
+    columns = text_columns(df) if columns is None else list(columns)
     positive = F.array(*[F.lit(w) for w in POSITIVE_WORDS])
     negative = F.array(*[F.lit(w) for w in NEGATIVE_WORDS])
     scored = df.select(
@@ -136,9 +138,12 @@ def lexicon_sentiment(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def text_histograms(df: DataFrame, column: str | None = None, bins: int = 50) -> DataFrame:
-    """(measure, bin, left, right, n): lengths in characters and in words of one text column."""
+    """(measure, bin, left, right, n): lengths in characters and in words of one
+    text column, the first unless named; no rows without any."""
+    if column is None:
+        column = next(iter(text_columns(df, 1)), None)
     if column is None:
-        column = text_columns(df, 1)[0]
+        return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
     text = col(column).cast("string")
     measured = F.array(
         F.struct(F.lit("chars").alias("measure"), F.length(text).alias("length")),

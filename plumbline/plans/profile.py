@@ -148,9 +148,10 @@ class Table:
     def decomposed(self) -> DataFrame:
         return stored(seasonal.seasonal_decompose(self.daily))
 
-    def text_columns(self, first: int) -> list[str]:
+    @shared
+    def text_columns(self) -> list[str]:
         rows = self.evidence.where("is_text").orderBy("column_pos").collect()  # one row per column
-        return [r["column"] for r in rows][:first]
+        return [r["column"] for r in rows]
 
     def release(self) -> None:
         if "features" in self.__dict__:
@@ -166,6 +167,8 @@ def _basic_stats(t: Table) -> Tables:
         "null_counts": stats.null_counts(t.df),
         "numeric_summary": t.summary,
         "categorical_summary": frequency.categorical_summary(t.df),
+        "quality_warnings": readiness.quality_warnings(t.df, t.matrix if len(numeric_columns(t.df)) > 1 else None),
+        "quality_recommendations": readiness.quality_recommendations(t.df),
     }
 
 
@@ -234,7 +237,7 @@ def _regional(t: Table) -> Tables:
 
 
 def _text(t: Table) -> Tables:
-    columns = t.text_columns(3)
+    columns = t.text_columns
     return {
         "text_stats": text.text_stats(t.df, columns),
         "vocabulary_stats": text.vocabulary_stats(t.df, columns),
@@ -243,7 +246,7 @@ def _text(t: Table) -> Tables:
 
 
 def _sentiment(t: Table) -> Tables:
-    return {"lexicon_sentiment": text.lexicon_sentiment(t.df, t.text_columns(2))}
+    return {"lexicon_sentiment": text.lexicon_sentiment(t.df, t.text_columns)}
 
 
 def _feature_importance(t: Table) -> Tables:

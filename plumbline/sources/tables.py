@@ -16,15 +16,15 @@ def read_table(
     spark: SparkSession,
     source: str | DataFrame,
     schema: T.StructType | str | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """A CSV file or folder, a Parquet file or folder, or an existing DataFrame.
 
     CSV cells that hold a missing marker become null and column types follow
     from the remaining values, or from ``schema``, which saves the pass over the
-    data. Files that are not valid UTF-8 are read as ISO-8859-1. One file of
-    quoted line breaks cannot be split: ``multiline=False`` reads large files
-    in parallel when no cell spans lines.
+    data. Files that are not valid UTF-8 are read as ISO-8859-1. Large files are
+    read in parallel; ``multiline=True`` allows quoted cells to span lines, but a
+    file then cannot be split.
     """
     if isinstance(source, DataFrame):
         return nullify_nan(source)
@@ -39,8 +39,9 @@ def read_table(
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(source) from error
         raise
-    if _badly_decoded(text):
-        text = _read_csv(spark, source, "ISO-8859-1", multiline)
+    raw = _read_csv(spark, source, "ISO-8859-1", multiline)
+    if _not_utf8(text, raw):
+        text = raw
     return nullify_nan(_typed(text, schema))
 
 
@@ -52,13 +53,28 @@ def _read_csv(spark: SparkSession, path: str, encoding: str, multiline: bool) ->
     return raw.select(*[F.when(~col(c).isin(MISSING_MARKERS), col(c)).alias(c) for c in raw.columns])
 
 
-def _badly_decoded(text: DataFrame) -> bool:
-    if any(REPLACEMENT in c for c in text.columns):
-        return True
-    bad = F.lit(False)
+def _any_cell(text: DataFrame, test) -> bool:
+    found = F.lit(False)
     for c in text.columns:
-        bad = bad | F.coalesce(F.contains(col(c), F.lit(REPLACEMENT)), F.lit(False))
-    return not text.where(bad).isEmpty()
+        found = found | F.coalesce(test(col(c)), F.lit(False))
+    return not text.where(found).isEmpty()
+
+
+def _not_utf8(text: DataFrame, raw: DataFrame) -> bool:
+    """Whether the file is no valid UTF-8. ``text`` is its content read as UTF-8, ``raw`` byte by byte.
+
+    A decoder puts U+FFFD where it fails, but a valid file may hold that
+    character too; only then are the bytes themselves looked at.
+    """
+    marked = any(REPLACEMENT in c for c in text.columns)
+    if not marked and not _any_cell(text, lambda c: F.contains(c, F.lit(REPLACEMENT))):
+        return False
+    for name in raw.columns:
+        try:
+            name.encode("latin-1").decode()
+        except UnicodeError:
+            return True
+    return _any_cell(raw, lambda c: ~F.is_valid_utf8(F.encode(c, "ISO-8859-1").cast("string")))
 
 
 # Narrowest type first. A column takes the first type that all its values fit.
@@ -101,17 +117,6 @@ def _typed(text: DataFrame, schema: T.StructType | str | None) -> DataFrame:
     return text.select(*typed)
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Give every core a part of a small table that was read from a file or two.
-
-    A scan with as many splits as cores, which any large table has, is left as
-    it is. Meant for tables just read: the number of splits is then known
-    without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def validate(df: DataFrame) -> DataFrame:
     """The table itself; an empty one is an error."""
     if df.isEmpty():

@@ -28,7 +28,7 @@ def test_whole_profile(spark, sales):
         "time_series", "geographic", "text_heavy", "classification", "regression", "high_dimensional"])]
     assert found.tables["strong_correlations"].first()["var2"] == "b"
     assert found.tables["coordinate_stats"].count() == 1
-    assert found.tables["linear_trend"].count() == 3
+    assert found.tables["linear_trend"].count() == 6
     assert found.tables["lexicon_sentiment"].first()["positive"] == 1.0
     facts = {(r["section"], r["key"]): r["value"] for r in report.report_findings(found).collect()}
     assert facts["dataset", "rows"] == "300" and facts["dimensionality", "total_features"] == "6"

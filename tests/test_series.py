@@ -218,3 +218,16 @@ def test_row_series(spark, monkeypatch, block, n):
 def test_row_series_of_few_rows(spark):
     df = spark.createDataFrame([(date(2024, 1, i + 1), float(i)) for i in range(29)], "day date, x double")
     assert ordered.row_series_profile(df, "day").isEmpty()
+
+
+def test_every_metric_has_a_series(spark):
+    df = spark.createDataFrame([(date(2024, 1, i), *[float(i + j) for j in range(5)]) for i in (1, 3)], "d date, a double, b double, c double, e double, f double")
+    assert series.daily_series(df, "d").select("metric").distinct().count() == 5
+    assert series.daily_series(df, "d", first=2).select("metric").distinct().count() == 2
+
+
+def test_padded_dates_are_parsed(spark):
+    from plumbline.functions.dates import parse_date
+
+    df = spark.createDataFrame([(" " * 50 + "2024-01-02" + " " * 50,), ("x" * 60,)], "t string")
+    assert [r["d"] for r in parse_date(df, "t", alias="d").collect()] == [datetime(2024, 1, 2), None]

@@ -20,7 +20,7 @@ CSV = (
 
 
 def test_types_and_missing_markers(spark, tmp_path):
-    df = read_table(spark, _write(tmp_path / "t.csv", CSV))
+    df = read_table(spark, _write(tmp_path / "t.csv", CSV), multiline=True)
     assert dict(df.dtypes) == {
         "id": "bigint", "name": "string", "score": "double", "when": "date", "flag": "boolean", "note": "string"}
     rows = df.orderBy("id").collect()
@@ -74,8 +74,15 @@ def test_findings_as_json(spark, tmp_path):
         [(1, 2.5, datetime(2024, 3, 4, 5), True, [1.0], None)],
         "i int, x double, t timestamp, ok boolean, v array<double>, none string")
     write_findings(df, str(tmp_path / "out"))
-    line = next(p for p in (tmp_path / "out").iterdir() if p.name.endswith(".json")).read_text()
+    line = "".join(p.read_text() for p in (tmp_path / "out").iterdir() if p.name.endswith(".json"))
     wanted = {"i": 1, "x": 2.5, "t": "2024-03-04", "ok": True, "v": [1.0], "none": None}
     assert json.loads(line) == wanted and json.loads(as_json(df).first()["json"]) == wanted
     write_findings(df, str(tmp_path / "table"), "parquet")
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+
+
+def test_replacement_character_in_valid_utf8(spark, tmp_path):
+    path = tmp_path / "marked.csv"
+    _write(path, "name,note\nZoë,lost \ufffd\n")
+    row = read_table(spark, str(path)).first()
+    assert (row["name"], row["note"]) == ("Zoë", "lost \ufffd")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -100,20 +102,42 @@ def test_constant_within_the_shared_rows_has_no_correlation(spark):
     assert _matrix(df)["a", "b"] is None
 
 
-def test_wide_tables_agree_with_narrow_ones(spark, monkeypatch):
+@pytest.mark.parametrize("width", [2, 6, 30])
+def test_correlation_of_any_width(spark, width):
     generator = np.random.default_rng(3)
-    pdf = pd.DataFrame(generator.normal(size=(300, 6)) + 1e6, columns=list("abcdef"))
+    pdf = pd.DataFrame(generator.normal(size=(300, width)) + 1e6, columns=[f"c{i}" for i in range(width)])
     pdf = pdf.mask(generator.random(pdf.shape) < 0.2)
     df = spark.createDataFrame(pdf).selectExpr(*[f"nullif({c}, 'NaN'::double) AS {c}" for c in pdf])
-    narrow = _matrix(df)
-    monkeypatch.setattr(correlate, "WIDE", 2)
-    wide = _matrix(df)
     wanted = pdf.corr()
-    for pair, r in narrow.items():
-        assert wide[pair] == pytest.approx(r, abs=1e-9)
+    for pair, r in _matrix(df).items():
         assert r == pytest.approx(wanted.loc[pair], abs=1e-8)
 
 
+def test_values_that_are_no_numbers_are_missing(spark):
+    rows = [(float(i), float(i * i)) for i in range(1, 101)]
+    odd = [(math.nan, 1.0), (math.inf, 2.0), (-math.inf, 3.0), (None, 4.0)]
+    plain, mixed = (spark.createDataFrame(r, "a double, b double") for r in (rows, rows + odd))
+    for operator in (stats.numeric_summary, stats.iqr_outliers, stats.histogram):
+        arguments = ["a"] if operator is stats.histogram else [["a"]]
+        want = [r.asDict() for r in operator(plain, *arguments).collect()]
+        got = [r.asDict() for r in operator(mixed, *arguments).collect()]
+        for w, g in zip(want, got, strict=True):
+            assert {k: v for k, v in g.items() if k not in ("pct", "n_rows")} == {k: v for k, v in w.items() if k not in ("pct", "n_rows")}
+    assert _matrix(mixed)["a", "b"] == pytest.approx(_matrix(plain)["a", "b"])
+
+
+def test_quartiles_of_many_rows_with_nan(spark):
+    df = spark.range(120_000).selectExpr("if(id % 2 = 0, cast(id AS double), if(id % 4 = 1, 'NaN', 'Infinity')::double) AS a")
+    row = stats.numeric_summary(df).first()
+    assert (row["count"], row["q25"], row["q50"], row["q75"]) == (60_000, 29_999.5, 59_999.0, 89_998.5)
+
+
+def test_ties_of_long_texts_go_to_the_smaller_value(spark):
+    texts = [(c * 70,) for c in "dbca"] + [(c,) for c in "zyx"]
+    got = frequency.value_counts(spark.createDataFrame(texts, "t string"), k=2).orderBy("rank").collect()
+    assert [r["value"] for r in got] == ["a" * 70, "b" * 70]
+
+
 def test_single_column_has_no_second_correlation(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "a double")
     links = correlate.target_relationships(correlate.correlation_matrix(df), "a").first()

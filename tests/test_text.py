@@ -66,3 +66,14 @@ def test_length_histograms(spark):
     assert len(rows) == 8 and sum(r["n"] for r in rows) == 4
     single = text.text_histograms(spark.createDataFrame([("ab",)], "t string"), "t", 4).collect()
     assert sum(r["n"] for r in single) == 2
+
+
+def test_every_text_column_is_analysed(spark):
+    long = "some words that make a long enough text to count as one, and then a few more of them"
+    df = spark.createDataFrame([(long,) * 5], ", ".join(f"t{i} string" for i in range(5)))
+    assert text.text_stats(df).count() == text.lexicon_sentiment(df).count() == text.vocabulary_stats(df).count() == 5
+
+
+def test_no_text_column(spark):
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    assert text.text_histograms(df).collect() == []
