@@ -1,6 +1,6 @@
 """All catalogued queries."""
 
-from plumbline.catalog import columns, daily, geography, kinds, modelling, relations, reports, texts
+from plumbline.catalog import columns, daily, files, geography, kinds, modelling, relations, reports, texts
 
-MODULES = [columns, kinds, relations, daily, geography, texts, modelling, reports]
+MODULES = [files, columns, kinds, relations, daily, geography, texts, modelling, reports]
 QUERIES = {query.name: query for module in MODULES for query in module.QUERIES}

@@ -31,12 +31,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, ending: str) -> str:
+    """A new path next to the checkpoints."""
+    return f"{_checkpoint_folder(spark)}/table-{uuid4().hex}{ending}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows as a Parquet table next to the checkpoints and read it back.
 
     Unlike a checkpoint the table stays columnar: later scans read only the
     columns they need.
     """
-    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid4().hex}.parquet"
+    path = scratch_path(df.sparkSession, ".parquet")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
