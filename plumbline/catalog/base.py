@@ -70,6 +70,15 @@ def lineitem_with_nulls(load: Load) -> DataFrame:
     )
 
 
+def lineitem_non_finite(load: Load) -> DataFrame:
+    """The same table with NaN and infinities in the places of the nulls of its doubles."""
+    odd = F.when(F.col("l_orderkey") % 3 == 0, float("nan")).when(F.col("l_orderkey") % 3 == 1, float("inf")).otherwise(float("-inf"))
+    table = lineitem_with_nulls(load)
+    return table.select(*[
+        F.coalesce(f.name, odd).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name for f in table.schema
+    ])
+
+
 LINEITEM_WITH_NULLS = """lineitem_with_nulls AS (
   SELECT l_orderkey, l_quantity, nullif(l_discount, 0.05) AS l_discount,
          CASE WHEN l_quantity < 40 THEN l_tax END AS l_tax,

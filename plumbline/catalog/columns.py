@@ -10,6 +10,7 @@ from plumbline.catalog.base import (
     NULLED_NUMBERS,
 
     Query,
+    lineitem_non_finite,
     lineitem_with_nulls,
     r,
     rounded,
@@ -268,6 +269,21 @@ QUERIES = [
         f"SELECT c_mktsegment AS value, count(*) AS n, {r('count(*) / (SELECT count(c_mktsegment) FROM customer)')} "
         "AS share FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1",
     ),
+    Query(
+        "numeric_summary_non_finite",
+        lambda load: rounded(stats.numeric_summary(lineitem_non_finite(load)), mean=4, std=4),
+        f"WITH {LINEITEM_WITH_NULLS}\n" + summary_sql("lineitem_with_nulls", NULLED_NUMBERS),
+    ),
+    Query(
+        "iqr_outliers_non_finite",
+        lambda load: rounded(stats.iqr_outliers(lineitem_non_finite(load))),
+        outliers_sql("lineitem_with_nulls", NULLED_NUMBERS, LINEITEM_WITH_NULLS + ",\n") + "SELECT * FROM outliers",
+    ),
+    Query(
+        "histogram_non_finite",
+        lambda load: rounded(stats.histogram(lineitem_non_finite(load), "l_extendedprice"), 4),
+        HISTOGRAM.replace("FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_linenumber > 1) AS lineitem"),
+    ),
     Query("histogram", lambda load: rounded(stats.histogram(load("lineitem"), "l_extendedprice"), 4), HISTOGRAM),
     Query("normal_fit", lambda load: rounded(stats.normal_fit(load("orders"), "o_totalprice"), 4), NORMAL_FIT),
     Query("drop_sparse_columns", lambda load: clean.drop_sparse_columns(_sparse(load)), SPARSE),

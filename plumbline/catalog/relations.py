@@ -9,6 +9,7 @@ from plumbline.catalog.base import (
     LINEITEM_WITH_NULLS,
     NULLED_NUMBERS,
     Query,
+    lineitem_non_finite,
     lineitem_with_nulls,
     r,
     rounded,
@@ -76,6 +77,12 @@ QUERIES = [
         lambda load: rounded(correlate.correlation_matrix(load("lineitem")), 5),
         WITH_LINEITEM + f"SELECT var1, var2, pos1, pos2, {r('r', 5)} AS r FROM matrix",
     ),
+    Query(
+        "correlation_matrix_non_finite",
+        lambda load: rounded(correlate.correlation_matrix(lineitem_non_finite(load)), 5),
+        f"WITH {LINEITEM_WITH_NULLS},\n{matrix_sql('lineitem_with_nulls', NULLED_NUMBERS)}\n"
+        f"SELECT var1, var2, pos1, pos2, {r('r', 5)} AS r FROM matrix",
+    ),
     Query(
         "correlation_matrix_with_nulls",
         lambda load: rounded(correlate.correlation_matrix(lineitem_with_nulls(load)), 5),
