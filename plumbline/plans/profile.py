@@ -322,8 +322,11 @@ def run_profile(
     The cleaned table is written once to the checkpoint folder as a columnar
     table, so analyses neither repeat the cleaning nor read columns that they
     do not use. ``cleaned=True`` takes the table as it is, without that copy.
-    ``only`` overrides the choice of analyses.
+    ``only`` overrides the choice of analyses. Tables that sum up what has run
+    (key statistics, relationships and patterns, implications, charts, flags) come last.
     """
+    from plumbline.plans.report import summary_tables  # it builds on this module
+
     profile = Profile(spark)
     try:
         df = validate(read_table(spark, source))
@@ -347,5 +350,9 @@ def run_profile(
                 profile.record(name)
             except Exception as error:
                 profile.record(name, error)
+    try:
+        profile.tables.update(summary_tables(profile))
+    except Exception as error:
+        profile.record("summary", error)
     table.release()
     return profile

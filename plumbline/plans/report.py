@@ -147,6 +147,29 @@ def analysis_summary(
     )
 
 
+def summary_tables(profile: Profile) -> dict[str, DataFrame]:
+    """The tables that sum up the analyses of a profile, as far as these have run."""
+    df, tables = profile.table.df, profile.tables
+    outliers, matrix = tables.get("iqr_outliers"), tables.get("correlation_matrix")
+    failures = sum(status == "failed" for _, _, status, _ in profile.outcomes)
+    out = {
+        "implications": implications(
+            df, tables.get("predictive_readiness"), tables.get("suggested_models"),
+            tables.get("quality_recommendations"), failures),
+        "charts": select_chart_tables(df, profile.table.types),
+    }
+    if "numeric_summary" in tables and outliers is not None:
+        out["key_stats"] = key_stats(tables["numeric_summary"], outliers)
+    if matrix is not None:
+        out["key_relationships"] = key_relationships(matrix)
+    if outliers is not None and matrix is not None:
+        n_clusters = profile.table.clustering.best if "kmeans_elbow" in tables else 0
+        out["analysis_summary"] = analysis_summary(df, outliers, matrix, n_clusters)
+    if "cluster_profile" in tables or "dimensionality" in tables:
+        out["key_patterns"] = key_patterns(tables.get("cluster_profile"), tables.get("dimensionality"))
+    return out
+
+
 def report_findings(profile: Profile) -> DataFrame:
     """(section, key, value): dataset facts, types, scalar results, issues."""
     facts: list[tuple[str, str, str]] = []

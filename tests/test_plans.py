@@ -29,6 +29,10 @@ def test_whole_profile(spark, sales):
     assert found.tables["strong_correlations"].first()["var2"] == "b"
     assert found.tables["coordinate_stats"].count() == 1
     assert found.tables["linear_trend"].count() == 6
+    assert found.tables["analysis_summary"].first()["n_clusters"] == found.table.clustering.best >= 2
+    assert found.tables["key_stats"].count() == found.tables["numeric_summary"].count()
+    assert {"key_relationships", "key_patterns", "implications", "charts", "quality_warnings", "quality_recommendations"} <= set(found.tables)
+    assert all(found.tables[t].count() > 0 for t in ("key_relationships", "key_patterns", "implications", "charts"))
     assert found.tables["lexicon_sentiment"].first()["positive"] == 1.0
     facts = {(r["section"], r["key"]): r["value"] for r in report.report_findings(found).collect()}
     assert facts["dataset", "rows"] == "300" and facts["dimensionality", "total_features"] == "6"
