@@ -25,7 +25,7 @@ from plumbline.llm.bytesops import Hashing, edges, text_bytes, text_groups
 from plumbline.llm.training import Sparse, counted, held_out, labelled_sample, row_sums, sigmoid, stacked
 
 FEATURE_BITS = 20
-SAMPLE = 12_000  # labelled rows that are learned from, at most
+SAMPLE = 10_000  # labelled rows that are learned from, at most
 GRADES = 3  # above harmless
 # Penalties (of the sum of weights, of their squares) when words are chosen and when the chosen ones are weighed:
 # the first keeps rare words out, the second spreads weight over words that always come together. They
@@ -34,6 +34,7 @@ CHOOSING, WEIGHING = (0.08, 1.2), (0.005, 0.24)
 # A word must stand in so many rows of the sample, and in no smaller or larger share of them.
 LEAST_ROWS, LEAST_SHARE, LARGEST_SHARE = 3, 5e-4, 0.5
 ROUNDS = 400
+USUAL_WORDS, SMALL_TEXT = 100, 20
 MARKER_ROWS, MARKER_LIFT = 3, 10.0  # toxic texts a marker stands in at least, and how much more often than in others
 TEXT_AT_A_TIME = 2 << 20
 
@@ -57,8 +58,11 @@ def word_features(texts) -> Sparse:
 
 
 def dampened(features: Sparse) -> Sparse:
-    """Counts as 1 + log(count)."""
-    return Sparse(features.index, 1 + np.log(features.value), features.bounds)
+    """Counts as 1 + log(count), over the root of the number of words, so that the chance part of a sum of
+    weights is as large for long texts as for short ones."""
+    words = np.diff(features.bounds)
+    share = np.sqrt(USUAL_WORDS / (words + SMALL_TEXT))
+    return Sparse(features.index, (1 + np.log(features.value)) * np.repeat(share, words), features.bounds)
 
 
 def severity_grades(features: Sparse, toxic: np.ndarray) -> np.ndarray:
