@@ -111,8 +111,9 @@ def drop_repeated_lines(
     store = LineRuns()
     for i in range(batches):
         store.add(lines.filter(F.col("batch") == i))
+    # A stored side lets Spark split the join where one line is in very many documents.
     dropped = (
-        lines.join(store.common(min_docs), HASH)
+        lines.join(stored(store.common(min_docs)), HASH)
         .filter(~F.col("doc_id").eqNullSafe(F.col("last_id")))
         .select("doc_id", "text_hash", "place")
         .groupBy("doc_id", "text_hash")
