@@ -34,7 +34,7 @@ SEED = 42
 PIVOTS = 16
 CHUNK = 1024  # fingerprints of one key compared with as many others at a time
 PAIRS_AT_A_TIME = 4_000_000
-TEXT_AT_A_TIME = 2 << 20
+TEXT_AT_A_TIME = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -191,8 +191,11 @@ def near_duplicate_groups(
     named = distinct.join(components, distinct["fp"] == components["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = marked.join(named.select("fp", "component"), "fp").join(least, "component")
+    named = stored(named)
+    # Stored sides let Spark split a join where one fingerprint or component holds very many rows.
+    least = stored(named.groupBy("component").agg(F.min("least").alias("component_id")))
+    names = stored(named.select("fp", "component").join(least, "component").select("fp", "component_id"))
+    whole = marked.join(names, "fp")
     return whole.select(
         F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
