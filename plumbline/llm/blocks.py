@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.expressions import col
 
 # Bytes of text in a block of mean size; a longer document is a block's task alone.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 
 MESSAGE = "part long, block int, payload binary"
 ANSWER = "block int, kind int, part long, payload binary"

@@ -26,6 +26,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.expressions import col
@@ -35,14 +36,15 @@ from plumbline.llm.bytesops import Hashing, mixed, ragged, run_starts, text_byte
 ROWS = 3  # of the sketch
 CELLS_PER_ANCHOR = 16
 BYTES_PER_ANCHOR = 30  # of usual text
-# A segment has 2 ** 20 counters until there are 512 of them; from then on they grow up to 2 ** 26.
-SEGMENT_BITS, SEGMENTS, LARGEST_SEGMENT_BITS = 20, 9, 26
+# A segment has 2 ** 20 counters until there are 256 of them; from then on they grow up to 2 ** 26.
+SEGMENT_BITS, SEGMENTS, LARGEST_SEGMENT_BITS = 20, 8, 26
 
 
 class Layout:
     """How many counters, segments and ranges of hashes there are."""
 
-    def __init__(self, volume: int, blocks: int, window: int):
+    def __init__(self, volume: int, blocks: int, window: int, text_col: str | None):
+        self.text_col = text_col  # of the whole rows, if these are there
         self.window, self.gram, self.blocks = window, max(1, window // 2), blocks
         self.cell_bits = max(SEGMENT_BITS, B.power_of_two(CELLS_PER_ANCHOR * volume / BYTES_PER_ANCHOR))
         self.segment_bits = min(LARGEST_SEGMENT_BITS, max(SEGMENT_BITS, self.cell_bits - SEGMENTS))
@@ -73,10 +75,11 @@ class Block:
 
     def __init__(self, table: pa.Table, layout: Layout):
         self.layout = layout
-        numbers, order = B.id_order(table.column("id"), table.column("text"))
-        self.table = table.take(pa.array(order))
+        texts = pc.struct_field(table.column("row"), layout.text_col) if layout.text_col else table.column("text")
+        numbers, order = B.id_order(table.column("id"), texts)
+        self.order = pa.array(order)
         self.ids = numbers[order]
-        self.data, self.bounds = text_bytes(self.table.column("text"))
+        self.data, self.bounds = text_bytes(texts.take(self.order))
         self.starts, self.ends, self.word_bounds = words_of(self.data, self.bounds)
         self.words = Hashing(21).words(self.data, self.starts, self.ends)
         self.windows = run_starts(self.word_bounds, layout.window)
@@ -226,11 +229,10 @@ def remove_repeated_windows(
     struct ``row``, under whatever column names it has.
     """
     volume = B.text_volume(docs, text_col)
-    layout = Layout(volume, B.block_count(docs, volume), window)
+    layout = Layout(volume, B.block_count(docs, volume), window, text_col if whole_rows else None)
     taken = docs.select(
-        *([F.struct("*").alias("row")] if whole_rows else []),
+        F.struct("*").alias("row") if whole_rows else F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
         col(id_col).cast("long").alias("id"),
-        F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
         B.block_of(id_col, layout.blocks).alias("block"),
     )
     blocked = taken.groupBy("block")
@@ -244,8 +246,8 @@ def remove_repeated_windows(
     def keep(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(table, layout)
         n_words, n_removed, texts = block.kept(answers)
-        out = {"id": block.table.column("id"), "n_words": n_words, "n_removed": n_removed, "kept_text": pa.array(texts, type=pa.binary()).cast(pa.string())}
-        return pa.table(({"row": block.table.column("row")} if whole_rows else {}) | out)
+        out = {"id": table.column("id").take(block.order), "n_words": n_words, "n_removed": n_removed, "kept_text": pa.array(texts, type=pa.binary()).cast(pa.string())}
+        return pa.table(({"row": table.column("row").take(block.order)} if whole_rows else {}) | out)
 
     counted = blocked.applyInArrow(sketch, B.MESSAGE).groupBy("part").applyInArrow(_merge_segment(layout), B.ANSWER)
     asked = blocked.cogroup(counted.groupBy("block")).applyInArrow(ask, B.MESSAGE)
