@@ -25,7 +25,7 @@ from plumbline.llm.training import Sparse, counted, held_out, labelled_sample, r
 
 BUCKET_BITS = 18
 DIMENSIONS = 16
-SAMPLE = 6_000  # labelled rows that are learned from, at most
+SAMPLE = 4_000  # labelled rows that are learned from, at most
 STEPS = 600  # of the descent, at least; whole epochs
 BATCH = 64
 RATE = 4.0
