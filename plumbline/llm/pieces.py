@@ -16,7 +16,7 @@ class PieceMemo:
     starts anew when it holds more than ``most`` pieces.
     """
 
-    def __init__(self, encode: Callable[[bytes], list[int]], most: int = 4_000_000):
+    def __init__(self, encode: Callable[[bytes], list[int]], most: int = 500_000):
         self.encode = encode
         self.most = most
         self.hashing = Hashing(11)
@@ -24,7 +24,7 @@ class PieceMemo:
 
     def _forget(self) -> None:
         self.known = np.empty(0, dtype=np.uint64)
-        self.starts = np.empty(0, dtype=np.int64)
+        self.starts = np.empty(0, dtype=np.int32)
         self.lengths = np.empty(0, dtype=np.int32)
         self.flat = np.empty(0, dtype=np.int32)
 
@@ -46,7 +46,7 @@ class PieceMemo:
             at = np.searchsorted(self.known, hashes)
         lengths = self.lengths[at][back]
         np.cumsum(lengths, out=before[1:])
-        return self.flat[ragged(self.starts[at][back], lengths.astype(np.int64))], before
+        return self.flat[ragged(self.starts[at][back].astype(np.int64), lengths.astype(np.int64))], before
 
     def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         low = int(starts.min())
@@ -54,7 +54,7 @@ class PieceMemo:
         encode = self.encode
         made = [encode(text[a:b]) for a, b in zip((starts - low).tolist(), (ends - low).tolist())]
         lengths = np.fromiter(map(len, made), dtype=np.int32, count=len(made))
-        begin = len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths
+        begin = (len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths).astype(np.int32)
         self.flat = np.concatenate([self.flat, np.fromiter((i for m in made for i in m), dtype=np.int32)])
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
