@@ -26,10 +26,10 @@ ORDERS = """SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN round(o_total
   CASE WHEN o_orderkey % 5 <> 0 THEN 'Größe ' || chr(65533) || ' ' || o_orderstatus END AS note FROM orders"""
 
 
-def _through(ending: str, encoding: str = "UTF-8"):
+def _through(ending: str, encoding: str = "UTF-8", gap: str = " "):
     """The table written to a file and read by its path."""
     def run(load):
-        table = _orders(load)
+        table = _orders(load).withColumn("note", F.replace("note", F.lit(" "), F.lit(gap)))
         if encoding != "UTF-8":
             table = table.withColumn("note", F.regexp_replace("note", "\ufffd", "é"))
         path = scratch_path(table.sparkSession, ending)
@@ -43,6 +43,7 @@ def _through(ending: str, encoding: str = "UTF-8"):
 
 QUERIES = [
     Query("read_csv", _through(".csv"), ORDERS),
+    Query("read_csv_lines", _through(".csv", gap="\n"), ORDERS.replace("' '", "chr(10)").replace("'Größe '", "'Größe' || chr(10)")),
     Query("read_csv_latin", _through(".csv", "ISO-8859-1"), ORDERS.replace("chr(65533)", "'é'")),
     Query("read_parquet", _through(".parquet"), ORDERS),
     Query(

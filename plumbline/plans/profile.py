@@ -316,20 +316,21 @@ def run_profile(
     only: list[str] | None = None,
     exclude: tuple[str, ...] = (),
     cleaned: bool = False,
+    multiline: bool | None = None,
 ) -> Profile:
     """Load, clean and analyse a table; a failing analysis leaves the others alone.
 
     The cleaned table is written once to the checkpoint folder as a columnar
     table, so analyses neither repeat the cleaning nor read columns that they
     do not use. ``cleaned=True`` takes the table as it is, without that copy.
-    ``only`` overrides the choice of analyses. Tables that sum up what has run
+    ``only`` overrides the choice of analyses; ``multiline`` goes to ``read_table``. Tables that sum up what has run
     (key statistics, relationships and patterns, implications, charts, flags) come last.
     """
     from plumbline.plans.report import summary_tables  # it builds on this module
 
     profile = Profile(spark)
     try:
-        df = validate(read_table(spark, source))
+        df = validate(read_table(spark, source, multiline=multiline))
         table = Table(df if cleaned else stored(clean.clean(df)), exclude)
         chosen = relevant_analyses(table.types) if only is None else only
     except Exception as error:  # as with any analysis, the reason goes to the status table

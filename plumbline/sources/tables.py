@@ -16,15 +16,15 @@ def read_table(
     spark: SparkSession,
     source: str | DataFrame,
     schema: T.StructType | str | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """A CSV file or folder, a Parquet file or folder, or an existing DataFrame.
 
     CSV cells that hold a missing marker become null and column types follow
     from the remaining values, or from ``schema``, which saves the pass over the
-    data. Files that are not valid UTF-8 are read as ISO-8859-1. Large files are
-    read in parallel; ``multiline=True`` allows quoted cells to span lines, but a
-    file then cannot be split.
+    data. Files that are not valid UTF-8 are read as ISO-8859-1. Quoted cells may
+    span lines. Files in which one does cannot be split; a scan of the lines finds
+    out, unless ``multiline`` says so: True reads files whole, False line by line.
     """
     if isinstance(source, DataFrame):
         return nullify_nan(source)
@@ -34,6 +34,8 @@ def read_table(
     try:
         if lowered.endswith(".parquet"):
             return nullify_nan(spark.read.parquet(source))
+        if multiline is None:
+            multiline = _spans_lines(spark, source)
         text = _read_csv(spark, source, "UTF-8", multiline)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
@@ -45,6 +47,20 @@ def read_table(
     return nullify_nan(_typed(text, schema))
 
 
+# Cells without a quote or quoted from end to end. Possessive, so that long cells need no stack.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+WHOLE_LINE = f"^{_CELL}(?:,{_CELL})*+$"
+
+
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell may span lines.
+
+    If every line consists of whole cells, each line break ends a record. Any other
+    line may open a cell, close one, or hold a stray quote: all are left to the parser.
+    """
+    return not spark.read.text(path).where(~F.col("value").rlike(WHOLE_LINE)).isEmpty()
+
+
 def _read_csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
     """Every cell as text, missing markers as null."""
     raw = spark.read.csv(

@@ -2,8 +2,10 @@ import json
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.sources.tables import as_json, read_table, validate, write_findings
+from plumbline.plans.profile import run_profile
+from plumbline.sources.tables import _spans_lines, as_json, read_table, validate, write_findings
 
 
 def _write(path, text, encoding="utf-8"):
@@ -86,3 +88,27 @@ def test_replacement_character_in_valid_utf8(spark, tmp_path):
     _write(path, "name,note\nZoë,lost \ufffd\n")
     row = read_table(spark, str(path)).first()
     assert (row["name"], row["note"]) == ("Zoë", "lost \ufffd")
+
+
+def test_quoted_line_breaks_without_being_told(spark, tmp_path):
+    path = _write(tmp_path / "t.csv", CSV)
+    df = read_table(spark, path)
+    assert dict(df.dtypes) == {
+        "id": "bigint", "name": "string", "score": "double", "when": "date", "flag": "boolean", "note": "string"}
+    assert [r["note"] for r in df.orderBy("id").collect()] == ['two\nlines, "quoted"', None, "x"]
+    assert run_profile(spark, path, only=["basic_stats"]).tables["table_shape"].first()["n_rows"] == 3
+
+
+def test_line_breaks_between_even_quotes(spark, tmp_path):
+    path = _write(tmp_path / "t.csv", 'a,b,c\n5" pipe,"one\ntwo",6" pipe\n' + f'x,"{"long " * 20000}\n",y\n')
+    assert [(r["a"], r["b"].strip()[-3:], r["c"]) for r in read_table(spark, path).collect()] == [
+        ('5" pipe', "two", '6" pipe'), ("x", "ong", "y")]
+
+
+def test_files_of_whole_lines_stay_splittable(spark, tmp_path):
+    whole, broken = '""'.join(["long "] * 20000), "two\nlines"
+    for name, cell in (("whole", whole), ("broken", broken)):
+        path = _write(tmp_path / f"{name}.csv", f'a,b,c\n1,"x, ""{cell}""",\n,,"y"\n')
+        assert _spans_lines(spark, path) == (cell == broken)
+        rows = read_table(spark, path).orderBy(F.col("a").desc_nulls_last()).collect()
+        assert [tuple(r) for r in rows] == [(1, f'x, "{cell.replace(chr(34) * 2, chr(34))}"', None), (None, None, "y")]
