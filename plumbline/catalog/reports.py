@@ -8,7 +8,7 @@ from plumbline.catalog.base import LINEITEM_NUMBERS, PLACES, Query, places, r, r
 from plumbline.catalog.columns import counts_sql, outliers_sql
 from plumbline.catalog.kinds import _labelled, types_sql
 from plumbline.catalog.modelling import SUGGESTED
-from plumbline.catalog.relations import WITH_LINKED, _linked, _linked_matrix
+from plumbline.catalog.relations import WITH_LINKED, _linked, _linked_matrix, matrix_sql
 from plumbline.operators import models, readiness, stats
 from plumbline.plans import profile, report
 
@@ -86,6 +86,26 @@ SELECT (SELECT count(*) FROM linked) AS n_rows, CAST(5 AS BIGINT) AS n_columns,
   (SELECT count(*) FROM matrix WHERE pos1 < pos2 AND abs(r) > 0.5) AS n_strong_correlations, CAST(0 AS BIGINT) AS n_clusters,
   '' AS patterns"""
 
+# The late elbow rule chooses one cluster more than the groups that the rows fall into.
+GROUPED = """grouped AS (SELECT CASE o_custkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 10.0 ELSE 5.0 END + (o_orderkey % 7) / 100.0 AS x,
+  CASE o_custkey % 3 WHEN 2 THEN 8.66 ELSE 0.0 END + (o_orderkey % 11) / 100.0 AS y FROM orders)"""
+SUMMARY_CLUSTERS = f"""{outliers_sql('grouped', ['x', 'y'], f"{GROUPED}, {matrix_sql('grouped', ['x', 'y'])},")}
+SELECT (SELECT count(*) FROM grouped) AS n_rows, CAST(2 AS BIGINT) AS n_columns, CAST(2 AS BIGINT) AS n_numeric,
+  CAST(0 AS BIGINT) AS n_categorical, false AS has_missing, (SELECT bool_or(n_outliers > 0) FROM outliers) AS has_outliers,
+  (SELECT count(*) FROM matrix WHERE pos1 < pos2 AND abs(r) > 0.5) AS n_strong_correlations,
+  (SELECT count(DISTINCT o_custkey % 3) + 1 FROM orders) AS n_clusters, '' AS patterns"""
+
+
+def _grouped_summary(load):
+    """Orders as three groups of points, by customer."""
+    group = F.col("o_custkey") % 3
+    df = load("orders").select(
+        (F.when(group == 0, 0.0).when(group == 1, 10.0).otherwise(5.0) + F.col("o_orderkey") % 7 / 100.0).alias("x"),
+        (F.when(group == 2, 8.66).otherwise(0.0) + F.col("o_orderkey") % 11 / 100.0).alias("y"),
+    )
+    return rounded(report.analysis_summary(df, n_clusters=models.cluster(df).best))
+
+
 PATTERNS = f"WITH {PLACES}\nSELECT 'geographic' AS pattern, \"column\" AS item, value AS key, CAST(n AS VARCHAR) AS value FROM ({counts_sql('places', ['region', 'country'], 10)})"
 
 CHARTS = f"""WITH {types_sql()},
@@ -155,6 +175,7 @@ QUERIES = [
     Query("suggest_visualization", _visualization, VISUALIZATION),
     Query("select_chart_tables", _charts, CHARTS),
     Query("analysis_summary", lambda load: rounded(report.analysis_summary(_linked(load))), SUMMARY),
+    Query("analysis_summary_clusters", _grouped_summary, SUMMARY_CLUSTERS),
     Query("detect_patterns", lambda load: report.detect_patterns(places(load)), PATTERNS),
     Query("detect_patterns_dated", lambda load: report.detect_patterns(load("orders"))),
     Query("run_profile", lambda load: rounded(_run(load).status.drop("message")), RUN),
