@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions.expressions import col, number, numeric_columns
 
-# Random seed, most clusters tried, trees, leading components.
-SEED, MOST_CLUSTERS, TREES, LEADING_COMPONENTS = 42, 10, 100, 3
+# Random seed, most clusters tried, trees, their deepest level (Spark's limit), leading components.
+SEED, MOST_CLUSTERS, TREES, DEPTH, LEADING_COMPONENTS = 42, 10, 100, 30, 3
 FITS_AT_ONCE = 4
+# Rows times trees of one forest fit.
+ROWS_AT_ONCE = 500_000
 
 
 @dataclass(frozen=True)
@@ -285,7 +287,7 @@ def forest_importance(
     target: str | None = None,
     include_target: bool = False,
     trees: int = TREES,
-    depth: int = 5,
+    depth: int = DEPTH,
     k: int = 10,
 ) -> DataFrame:
     """(column, importance): random-forest importance for a target, top k.
@@ -296,19 +298,24 @@ def forest_importance(
     columns = numeric_columns(df)
     target = target or columns[0]
     used = [c for c in columns if include_target or c != target]
-    _, found = scales(df, list(dict.fromkeys([*used, target])))
+    n_rows, found = scales(df, list(dict.fromkeys([*used, target])))
     used = [s.column for s in found if s.column in used]
     imputed = df.select(*[_imputed(s).alias(f"x{i}") for i, s in enumerate(found)])
     at = {s.column: f"x{i}" for i, s in enumerate(found)}
     assembled = VectorAssembler(inputCols=[at[c] for c in used], outputCol="features").transform(imputed)
     rows = assembled.select("features", F.col(at[target]).alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    # The driver holds all trees of a fit, each with up to a node a row; two at least, so that rows are drawn anew.
+    fits = max(1, trees // max(2, ROWS_AT_ONCE // max(1, n_rows)))
+    ends = [trees * i // fits for i in range(fits + 1)]
     try:
-        forest = RandomForestRegressor(
-            numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="all"
-        ).fit(rows)
+        weights = sum(
+            RandomForestRegressor(
+                numTrees=end - start, maxDepth=depth, seed=SEED + start, featureSubsetStrategy="all"
+            ).fit(rows).featureImportances.toArray() * ((end - start) / trees)
+            for start, end in zip(ends, ends[1:])
+        )
     finally:
         rows.unpersist()
-    weights = forest.featureImportances.toArray()
     return (
         df.sparkSession.createDataFrame(
             [(c, i, float(weights[i])) for i, c in enumerate(used)],

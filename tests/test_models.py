@@ -89,6 +89,13 @@ def test_forest_with_target_as_feature(spark):
     assert found.first()["column"] == "d" and found.count() == 3
 
 
+def test_forest_grows_below_the_fifth_level(spark):
+    bits = pd.DataFrame([[n >> b & 1 for b in range(7)] for n in range(128)] * 4, columns=list("abcdefg"))
+    bits["y"] = sum(bits[c] * 2.0**-i for i, c in enumerate("abcdefg"))
+    found = models.forest_importance(spark.createDataFrame(bits), "y", trees=5).collect()
+    assert {r["column"] for r in found if r["importance"] > 0} == set("abcdefg")
+
+
 def test_too_few_columns(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "a double")
     with pytest.raises(ValueError):
