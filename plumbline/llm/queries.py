@@ -6,9 +6,11 @@ The operators keep their own interfaces; a query derives digests and picks colum
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.functions.expressions import col
 from plumbline.llm.byte_bpe import encode_documents
+from plumbline.llm.conversation_repair import REPORT, conversation_report
 from plumbline.llm.embedding_dedup import near_vector_groups
 from plumbline.llm.exact_dedup import content_groups
 from plumbline.llm.line_dedup import drop_repeated_lines
@@ -75,6 +77,33 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return content_groups(_table(spark, folder, "documents"), keep="largest")
 
 
+def damaged(turns: DataFrame) -> tuple[DataFrame, Column]:
+    """Some rows dropped, emptied, without their stops, repeated or given to the user, by a hash of their place; the
+    second value says how often a row stands there."""
+    name, turn = (F.coalesce(col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    fault = F.crc32(F.concat_ws(":", name, turn).cast("binary")) % 20
+    text = F.coalesce(col("text"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", "role", "text", fault.alias("fault")).filter("fault <> 0").select(
+        "conv_id", "turn",
+        F.when(F.col("fault") == 4, F.lit("user")).otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(F.col("fault") == 1, F.lit("")).when(F.col("fault") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        "fault",
+    )
+    return rows, F.when(F.col("fault") == 3, 2).otherwise(1)
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    rows, copies = damaged(turns)
+    report = conversation_report(rows, copies=copies).withColumnRenamed("conv_id", "reported_id")
+    # A conversation of which no row is left has no report.
+    every = turns.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("reported_id")), "left")
+    return every.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in REPORT], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 # A-Z, and the six characters that are stripped or separate words.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _STRIPPED = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -169,6 +198,6 @@ FROM lowered JOIN grouped USING (body)"""
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_byte_bpe, op3_toxicity, op4_embedding_dedup, op5_simhash_dedup, op6_line_dedup, op7_substring_dedup,
-    op8_lm_scoring, op9_quality, op10_exact_dedup,
+    op8_lm_scoring, op9_quality, op10_exact_dedup, op13_conversation_repair,
 )}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_lm_scoring": OP8_SQL, "op10_exact_dedup": OP10_SQL}
