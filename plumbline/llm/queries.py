@@ -16,6 +16,7 @@ from plumbline.llm.exact_dedup import content_groups
 from plumbline.llm.line_dedup import drop_repeated_lines
 from plumbline.llm.lm_scoring import BIGRAM_WEIGHT, SMOOTHING, score_documents
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.phrases import collocations
 from plumbline.llm.quality import score_quality, train_quality
 from plumbline.llm.simhash_dedup import near_duplicate_groups
 from plumbline.llm.substring_dedup import remove_repeated_windows
@@ -77,6 +78,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return content_groups(_table(spark, folder, "documents"), keep="largest")
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"))
+
+
 def damaged(turns: DataFrame) -> tuple[DataFrame, Column]:
     """Some rows dropped, emptied, without their stops, repeated or given to the user, by a hash of their place; the
     second value says how often a row stands there."""
@@ -196,8 +201,38 @@ grouped AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM low
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
 FROM lowered JOIN grouped USING (body)"""
 
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS body FROM documents)),
+split AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS words FROM pieces),
+sizes AS (SELECT lang, sum(len(words)) AS n FROM split GROUP BY lang),
+known AS (
+  SELECT lang, phrase, size, count(*) AS f FROM (
+    SELECT lang, size, array_to_string(words[pos:pos + size - 1], ' ') AS phrase
+    FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+          FROM split, (VALUES (1), (2), (3), (4), (5)) AS s(size) WHERE len(words) >= size))
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM known WHERE size >= 2),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n, k,
+         (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN known l ON l.lang = c.lang AND l.phrase = array_to_string(words[1:k], ' ')
+  JOIN known r ON r.lang = c.lang AND r.phrase = array_to_string(words[k + 1:], ' ') JOIN sizes s ON s.lang = c.lang),
+weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT w.lang, w.phrase FROM weakest w JOIN known b
+  ON b.lang = w.lang AND b.f >= w.a AND b.size > 2 AND b.phrase <> w.phrase AND contains(' ' || b.phrase || ' ', ' ' || w.phrase || ' ')),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank
+  FROM weakest w WHERE NOT EXISTS (SELECT 1 FROM longer b WHERE b.lang = w.lang AND b.phrase = w.phrase))
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000"""
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_byte_bpe, op3_toxicity, op4_embedding_dedup, op5_simhash_dedup, op6_line_dedup, op7_substring_dedup,
-    op8_lm_scoring, op9_quality, op10_exact_dedup, op13_conversation_repair,
+    op8_lm_scoring, op9_quality, op10_exact_dedup, op11_phrases, op13_conversation_repair,
 )}
-ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_lm_scoring": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_lm_scoring": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_phrases": OP11_SQL}
