@@ -18,6 +18,7 @@ from plumbline.llm.lm_scoring import BIGRAM_WEIGHT, SMOOTHING, score_documents
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.phrases import collocations
 from plumbline.llm.quality import score_quality, train_quality
+from plumbline.llm.sharding import shard_documents
 from plumbline.llm.simhash_dedup import near_duplicate_groups
 from plumbline.llm.substring_dedup import remove_repeated_windows
 from plumbline.llm.toxicity import grade_toxicity, train_toxicity
@@ -82,6 +83,11 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(_table(spark, folder, "documents"))
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = shard_documents(_table(spark, folder, "documents"), shards=24)
+    return dealt.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def damaged(turns: DataFrame) -> tuple[DataFrame, Column]:
     """Some rows dropped, emptied, without their stops, repeated or given to the user, by a hash of their place; the
     second value says how often a row stands there."""
@@ -233,6 +239,6 @@ SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_byte_bpe, op3_toxicity, op4_embedding_dedup, op5_simhash_dedup, op6_line_dedup, op7_substring_dedup,
-    op8_lm_scoring, op9_quality, op10_exact_dedup, op11_phrases, op13_conversation_repair,
+    op8_lm_scoring, op9_quality, op10_exact_dedup, op11_phrases, op12_sharding, op13_conversation_repair,
 )}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_lm_scoring": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_phrases": OP11_SQL}
