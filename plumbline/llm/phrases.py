@@ -32,7 +32,7 @@ from plumbline.llm.bytesops import Hashing, edges, mixed, ragged, text_bytes
 PIECE_ENDS, BLANKS, NO_LANGUAGE = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09", "und"
 
 # Bytes of text in a block; a longer document is a block alone.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 COMPARED = 1 << 18  # words compared at a time
 
 BLOCK = "block long, lang string, words long, vocabulary binary, stream binary"
@@ -87,10 +87,10 @@ def _block(number: int, lang: str, texts: list[tuple[np.ndarray, np.ndarray]]) -
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(1, len(order) + 1)
     # A piece ends between two words if a byte that ends pieces or the end of a text lies there.
-    ended = np.cumsum(ENDS_PIECE[data])
+    ended = np.searchsorted(np.flatnonzero(ENDS_PIECE[data]), starts)
     text = np.searchsorted(bounds, starts, side="right")
-    cut = np.zeros(len(starts), dtype=np.int64)
-    cut[1:] = (ended[starts[1:]] != ended[starts[:-1]]) | (text[1:] != text[:-1])
+    cut = np.zeros(len(starts), dtype=bool)
+    cut[1:] = (ended[1:] != ended[:-1]) | (text[1:] != text[:-1])
     stream = np.zeros(len(starts) + int(cut.sum()), dtype=np.uint32)
     stream[np.arange(len(starts)) + np.cumsum(cut)] = rank[ids]
     return {
