@@ -13,6 +13,7 @@ from plumbline.catalog.base import (
     lineitem_with_nulls,
     r,
     rounded,
+    union,
 )
 from plumbline.catalog.columns import summary_sql
 from plumbline.catalog.relations import IMPUTED, LINKED, LINKED_SQL, _linked, matrix_sql
@@ -139,6 +140,19 @@ SELECT CAST({len(LINEITEM_NUMBERS)} AS BIGINT) AS n, {r('(SELECT sum(v) FROM m W
   {r('(SELECT sum(a.v * b.v) FROM squared a JOIN m b ON a.j = b.i AND a.i = b.j)', 5)} AS power_3,
   {r('(SELECT sum(a.v * b.v) FROM squared a JOIN squared b ON a.j = b.i AND a.i = b.j)', 5)} AS power_4"""
 
+CAUSES = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+def _caused(load):
+    """A target that follows from the line number alone, next to columns that have nothing to do with it."""
+    return load("lineitem").select(*CAUSES, (F.col("l_linenumber") * F.col("l_linenumber") % 11).alias("target"))
+
+
+# A column that determines the target takes all of the importance if no other one does.
+CAUSED = "WITH caused AS (SELECT " + ", ".join(CAUSES) + ", l_linenumber * l_linenumber % 11 AS target FROM lineitem)\n" + union(
+    CAUSES, lambda i, c: f"""SELECT '{c}' AS "column", CASE WHEN max(n) = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS importance
+  FROM (SELECT count(DISTINCT target) AS n FROM caused GROUP BY {c})""")
+
 QUERIES = [
     Query(
         "impute_mean",
@@ -169,6 +183,7 @@ QUERIES = [
     Query("pca_feature_weights", lambda load: rounded(models.pca_feature_weights(load("lineitem")))),
     Query("pca_projection", lambda load: models.pca_projection(load("part"))),
     Query("forest_importance", lambda load: models.forest_importance(load("lineitem"), "l_extendedprice")),
+    Query("forest_importance_caused", lambda load: rounded(models.forest_importance(_caused(load), "target")), CAUSED),
     Query(
         "class_distribution",
         lambda load: readiness.class_distribution(load("conversations"), "role"),

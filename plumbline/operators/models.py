@@ -10,18 +10,15 @@ from functools import wraps
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions.expressions import col, number, numeric_columns
+from plumbline.operators.forest import importances
 
-# Random seed, most clusters tried, trees, their deepest level (Spark's limit), leading components.
-SEED, MOST_CLUSTERS, TREES, DEPTH, LEADING_COMPONENTS = 42, 10, 100, 30, 3
+# Random seed, most clusters tried, trees, leading components.
+SEED, MOST_CLUSTERS, TREES, LEADING_COMPONENTS = 42, 10, 100, 3
 FITS_AT_ONCE = 4
-# Rows times trees of one forest fit.
-ROWS_AT_ONCE = 500_000
 
 
 @dataclass(frozen=True)
@@ -283,44 +280,30 @@ def pca_projection(features: DataFrame | Features, clustering: Clustering | None
 
 
 def forest_importance(
-    df: DataFrame,
-    target: str | None = None,
-    include_target: bool = False,
-    trees: int = TREES,
-    depth: int = DEPTH,
-    k: int = 10,
+    df: DataFrame, target: str | None = None, include_target: bool = False, trees: int = TREES, k: int = 10,
 ) -> DataFrame:
-    """(column, importance): random-forest importance for a target, top k.
+    """(column, importance): random-forest importance for a target, top k. The trees grow to the end.
 
     The target (first numeric column unless named) is left out of the features;
-    ``include_target=True`` keeps it in.
+    ``include_target=True`` keeps it in. Missing values are imputed by the mean. Without features, or with a
+    constant target, no column has any importance.
     """
     columns = numeric_columns(df)
     target = target or columns[0]
-    used = [c for c in columns if include_target or c != target]
-    n_rows, found = scales(df, list(dict.fromkeys([*used, target])))
-    used = [s.column for s in found if s.column in used]
-    imputed = df.select(*[_imputed(s).alias(f"x{i}") for i, s in enumerate(found)])
-    at = {s.column: f"x{i}" for i, s in enumerate(found)}
-    assembled = VectorAssembler(inputCols=[at[c] for c in used], outputCol="features").transform(imputed)
-    rows = assembled.select("features", F.col(at[target]).alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    # The driver holds all trees of a fit, each with up to a node a row; two at least, so that rows are drawn anew.
-    fits = max(1, trees // max(2, ROWS_AT_ONCE // max(1, n_rows)))
-    ends = [trees * i // fits for i in range(fits + 1)]
-    try:
-        weights = sum(
-            RandomForestRegressor(
-                numTrees=end - start, maxDepth=depth, seed=SEED + start, featureSubsetStrategy="all"
-            ).fit(rows).featureImportances.toArray() * ((end - start) / trees)
-            for start, end in zip(ends, ends[1:])
-        )
-    finally:
-        rows.unpersist()
+    wanted = [c for c in columns if include_target or c != target]
+    _, found = scales(df, list(dict.fromkeys([*wanted, target])))
+    by_name = {s.column: s for s in found}
+    used = [by_name[c] for c in wanted if c in by_name]
+    schema = "column string, column_pos int"
+    names = df.sparkSession.createDataFrame([(s.column, i) for i, s in enumerate(used)], schema)
+    if not used or target not in by_name:
+        return names.select("column", F.lit(0.0).alias("importance"))
+    label = by_name[target]
+    rows = df.select(*[_imputed(s).alias(f"x{i}") for i, s in enumerate(used)], (_imputed(label) - label.mean).alias("y"))
+    weights = importances(rows, [f"x{i}" for i in range(len(used))], trees, SEED)
     return (
-        df.sparkSession.createDataFrame(
-            [(c, i, float(weights[i])) for i, c in enumerate(used)],
-            "column string, column_pos int, importance double",
-        )
+        names.join(weights, names["column_pos"] == weights["feature"], "left")
+        .select("column", "column_pos", F.coalesce("importance", F.lit(0.0)).alias("importance"))
         .orderBy(F.desc("importance"), "column_pos")
         .limit(k)
         .select("column", "importance")

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 
-from plumbline.operators import geo, models
+from plumbline.operators import forest, geo, models
 
 
 @pytest.fixture(scope="module")
@@ -96,6 +96,59 @@ def test_forest_grows_below_the_fifth_level(spark):
     assert {r["column"] for r in found if r["importance"] > 0} == set("abcdefg")
 
 
+def plain_gains(x, y, w):
+    """What each column brings to a tree that is grown node by node."""
+    gains = np.zeros(len(x))
+
+    def grow(rows):
+        if len(rows) < 2 or y[rows].min() == y[rows].max():
+            return
+        weight, total, best = w[rows].sum(), (w * y)[rows].sum(), None
+        for c in range(len(x)):
+            o = rows[np.argsort(x[c][rows], kind="stable")]
+            lw, ls = np.cumsum(w[o]), np.cumsum((w * y)[o])
+            for i in np.flatnonzero(x[c][o][:-1] != x[c][o][1:]):
+                gain = ls[i] ** 2 / lw[i] + (total - ls[i]) ** 2 / (weight - lw[i]) - total**2 / weight
+                if best is None or gain > best[0] + 1e-9:
+                    best = gain, c, o[: i + 1], o[i + 1:]
+        if best is not None:
+            gains[best[1]] += best[0]
+            grow(best[2])
+            grow(best[3])
+
+    grow(np.arange(len(y)))
+    return gains
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60, 400])
+def test_trees_against_plain_ones(n):
+    rng = np.random.default_rng(n)
+    x = np.stack([rng.integers(0, 7, n).astype(float), rng.normal(size=n), rng.normal(size=n).round(1), np.ones(n)])
+    y = x[1] * 2 + x[0] + rng.normal(size=n).round(1)
+    w = rng.integers(1, 4, n).astype(float)
+    y -= np.average(y, weights=w)
+    assert forest.grown(x, y, w) == pytest.approx(plain_gains(x, y, w))
+
+
+def test_nodes_split_by_spark_as_by_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({c: rng.integers(0, k, 3000).astype(float) for c, k in (("a", 9), ("b", 5), ("c", 3))})
+    pdf["hot"] = (rng.random(3000) < 0.01).astype(float)
+    pdf["y"] = pdf.a * pdf.b + 20 * pdf.hot + rng.normal(size=3000)
+    df = spark.createDataFrame(pdf)
+    whole = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=4).collect()}
+    monkeypatch.setattr(forest, "TASK_ROWS", 150)
+    split = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=4).collect()}
+    assert split == pytest.approx(whole, rel=1e-6) and sum(split.values()) == pytest.approx(1)
+
+
+def test_forest_without_anything_to_learn(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None)] * 5, "a double, b double, c double")
+    assert [tuple(r) for r in models.forest_importance(df, "b", trees=3).collect()] == [("a", 0.0)]
+    assert models.forest_importance(df.select("b"), "b").collect() == []
+    assert models.forest_importance(df.limit(0)).collect() == []
+
+
 def test_too_few_columns(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "a double")
     with pytest.raises(ValueError):
