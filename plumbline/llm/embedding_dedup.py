@@ -10,8 +10,10 @@ cells visited up to there with the target recall. Candidates are verified in dou
 
 Codebooks are fitted on a bounded sample; every vector is indexed and every
 vector looks for neighbours. Equal vectors are one row with a weight. A cell with very many vectors is cut
-into chunks, and so are those that visit it; pairs of chunks are compared apart.
-A task passes on counts and a star for each component it has found, no pairs.
+into chunks, and so are those that visit it; pairs of chunks are dealt to tasks of their own.
+A task passes on counts and a star for each component it has found, no pairs. A link
+counts at both ends: the asking end counts it where it asks; if the other end does
+not visit the cell of the asking one, and so will not ask itself, it is counted there too.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from plumbline.llm.components import connected_components, local_roots
 SAMPLE = 20_000  # vectors for the codebooks, the first by a hash of their ids
 CALIBRATED = 4_000  # of these, for the recall
 VECTORS_PER_CELL = 64  # in the mean
-LARGEST_CODEBOOK = 256
+LARGEST_CODEBOOK = 4096  # enough for a thousand million different vectors of a label
+SLICE = 256  # rows whose distances are computed at a time
 CHUNK = 2048
 ROUNDS = 10
 SEED = 17
@@ -40,13 +43,27 @@ def squared_distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((rows**2).sum(1)[:, None] - 2 * rows @ centres.T + (centres**2).sum(1), 0)
 
 
+def same_distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances that are the same to the last bit whatever other rows are there."""
+    out = np.empty((len(rows), len(centres)))
+    for r in range(0, len(rows), SLICE):
+        for c in range(0, len(centres), SLICE):
+            apart = rows[r: r + SLICE, None, :] - centres[None, c: c + SLICE, :]
+            out[r: r + SLICE, c: c + SLICE] = np.einsum("ijk,ijk->ij", apart, apart)
+    return out
+
+
+def nearest_centres(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([squared_distances(rows[i: i + SLICE], centres).argmin(1) for i in range(0, len(rows), SLICE)])
+
+
 def fit_codebook(rows: np.ndarray, size: int) -> np.ndarray:
     """k-means centres."""
     random = np.random.default_rng(SEED)
     size = max(1, min(size, len(rows)))
     centres = rows[random.choice(len(rows), size, replace=False)].copy()
     for _ in range(ROUNDS):
-        nearest = squared_distances(rows, centres).argmin(1)
+        nearest = nearest_centres(rows, centres)
         count = np.bincount(nearest, minlength=size)
         for d in range(rows.shape[1]):
             total = np.bincount(nearest, weights=rows[:, d], minlength=size)
@@ -60,7 +77,6 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, size: int, similarity: float, recall: float):
         self.half = sample.shape[1] // 2
         self.books = [fit_codebook(sample[:, : self.half], size), fit_codebook(sample[:, self.half:], size)]
-        self.gaps = [np.sqrt(np.maximum(squared_distances(b, b), 1e-12)) for b in self.books]
         self.limit = 0.0
         own = sample[:CALIBRATED]
         random = np.random.default_rng(SEED)
@@ -77,17 +93,19 @@ class MultiIndex:
     def costs(self, rows: np.ndarray) -> list[np.ndarray]:
         """For each half the squared way to the border of every code's region; zero for the own code."""
         out = []
-        for part, book, gaps in zip((rows[:, : self.half], rows[:, self.half:]), self.books, self.gaps):
-            square = squared_distances(part, book)
+        for part, book in zip((rows[:, : self.half], rows[:, self.half:]), self.books):
+            square = same_distances(part, book)
             own = square.argmin(1)
             nearest = square[np.arange(len(rows)), own][:, None]
-            way = np.maximum(square - nearest, 0) / (2 * gaps[own])
+            used, at = np.unique(own, return_inverse=True)
+            gaps = np.sqrt(np.maximum(same_distances(book[used], book), 1e-12))
+            way = np.maximum(square - nearest, 0) / (2 * gaps[at])
             way[np.arange(len(rows)), own] = 0
             out.append(way**2)
         return out
 
     def cells(self, rows: np.ndarray) -> np.ndarray:
-        codes = [squared_distances(p, b).argmin(1) for p, b in zip((rows[:, : self.half], rows[:, self.half:]), self.books)]
+        codes = [same_distances(p, b).argmin(1) for p, b in zip((rows[:, : self.half], rows[:, self.half:]), self.books)]
         return codes[0] * len(self.books[1]) + codes[1]
 
     def _needed(self, rows: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
@@ -98,6 +116,12 @@ class MultiIndex:
         at = np.arange(len(rows))
         return first[at, cell // len(self.books[1])] + second[at, cell % len(self.books[1])]
 
+    def visited(self, rows: np.ndarray, cells: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether row i visits cell j, for each pair (i, j)."""
+        first, second = self.costs(rows)
+        i, cell = pairs[0], cells[pairs[1]]
+        return first[i, cell // len(self.books[1])] + second[i, cell % len(self.books[1])] <= self.limit
+
     def visits(self, rows: np.ndarray) -> Iterator[tuple[int, int]]:
         """(row, cell) for every cell a row visits, nearest first."""
         width = len(self.books[1])
@@ -125,7 +149,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
-def _compared(similarity: float):
+def _compared(index: MultiIndex, similarity: float):
     def compare(table: pa.Table) -> pa.Table:
         """Counts and stars of one pair of chunks."""
         table = table.combine_chunks()
@@ -137,14 +161,19 @@ def _compared(similarity: float):
         near &= node[asking][:, None] != node[held][None, :]
         counts = near @ weight[held]
         a, b = np.nonzero(near)
-        names, index = np.unique(node, return_inverse=True)
-        root = local_roots(len(names), index[asking[a]], index[held[b]])
+        back = np.zeros(len(held), dtype=np.int64)
+        if len(a):
+            alone = ~index.visited(vectors[held], index.cells(vectors[asking]), (b, a))
+            np.add.at(back, b[alone], weight[asking[a[alone]]])
+        names, place = np.unique(node, return_inverse=True)
+        root = local_roots(len(names), place[asking[a]], place[held[b]])
         linked = np.flatnonzero(root != np.arange(len(names)))
-        some = np.flatnonzero(counts)
+        some, other = np.flatnonzero(counts), np.flatnonzero(back)
+        ends = np.concatenate([node[asking[some]], node[held[other]]])
         return pa.table({
-            "node": np.concatenate([node[asking[some]], names[linked]]),
-            "root": pa.array(np.concatenate([node[asking[some]], names[root[linked]]])),
-            "links": np.concatenate([counts[some], np.zeros(len(linked), dtype=np.int64)]).astype(np.int64),
+            "node": np.concatenate([ends, names[linked]]),
+            "root": pa.array(np.concatenate([ends, names[root[linked]]])),
+            "links": np.concatenate([counts[some], back[other], np.zeros(len(linked), dtype=np.int64)]).astype(np.int64),
         })
 
     return compare
@@ -246,5 +275,7 @@ def _found(classes: DataFrame, rows: int, labels: int, similarity: float, recall
             "label", "cell", F.expr("if(seeks, own, other)").alias("seek_chunk"), F.expr("if(seeks, other, own)").alias("held_chunk"),
             "seeks", "node", "weight", "vector",
         )
+        # Dealt by all four, as otherwise the join's exchange by cell would do for the groups.
+        .repartition("label", "cell", "seek_chunk", "held_chunk")
     )
-    return spread.groupBy("label", "cell", "seek_chunk", "held_chunk").applyInArrow(_compared(similarity), "node long, root long, links long")
+    return spread.groupBy("label", "cell", "seek_chunk", "held_chunk").applyInArrow(_compared(index, similarity), "node long, root long, links long")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -63,6 +64,32 @@ def test_equal_and_repeated_vectors(spark):
     assert Counter((r.n_links, r.component_id) for r in got) == {(51, 0): 52, (0, 61): 1}
 
 
+def test_pairs_of_chunks_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 4)
+    vectors = spark.range(60).selectExpr("id AS vec_id", "array(1.0D, id / 1000.0D, 0.5D) AS embedding", "1 AS label")
+    classes = vectors.selectExpr("vec_id AS node", "embedding AS vector", "cast(label AS string) AS label", "1L AS weight")
+    plan = embedding_dedup._found(classes, 60, 1, 0.98, 0.9999)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(label#\d+, cell#\d+L, seek_chunk#\d+, held_chunk#\d+", plan)
+
+
+def test_links_count_at_both_ends_if_one_end_asks():
+    class Index:
+        """Of the held vectors the last one does not visit the asking one's cell."""
+
+        def cells(self, rows):
+            return np.zeros(len(rows), dtype=np.int64)
+
+        def visited(self, rows, cells, pairs):
+            return pairs[0] < len(rows) - 1
+
+    unit = np.array([1.0, 0.0]).tobytes()
+    table = pa.table({"seeks": [True, False, False], "node": [5, 6, 7], "weight": [3, 1, 2], "vector": [unit] * 3})
+    links = Counter()
+    for row in embedding_dedup._compared(Index(), 0.98)(table).to_pylist():
+        links[row["node"]] += row["links"]
+    assert links == {5: 3, 7: 3, 6: 0}
+
+
 def test_no_vectors(spark):
     assert near_vector_groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
