@@ -3,9 +3,10 @@
 Documents become blocks: the words of some texts of one language, as numbers into the block's own vocabulary, with a
 mark between pieces. A block is written once and never changes, so (block, place) points to an occurrence for good.
 Prefix polynomials give the fingerprints of all n-grams of a block; a block passes on each distinct one once, with its
-count and the place of one occurrence, after comparing the words of all its occurrences with those at that place. Spark adds up the counts
-by fingerprint. Different phrases with one fingerprint only raise a total, so no frequent phrase is lost; what is
-frequent goes back to its blocks, which write the phrase out from their words, and counts by the phrase itself are final.
+count, the place of one occurrence and 32 bits of a second polynomial over other word hashes, after comparing the words of all its
+occurrences with those at that place. Spark adds up the counts by fingerprint. Different phrases with one fingerprint only
+raise a total, so no frequent phrase is lost; they are told by the second polynomial, and then all their blocks write their phrase
+out and counts by the text itself are final. Any other frequent phrase is written out once, by the block that its pointer names.
 
 A phrase cannot be more frequent than its parts. So the words are counted first, then pairs of frequent words, then
 longer runs of frequent pairs, and only a small part of all n-grams is ever sent. Nothing is broadcast or collected:
@@ -36,7 +37,8 @@ BLOCK_BYTES = 8 << 20
 COMPARED = 1 << 18  # words compared at a time
 
 BLOCK = "block long, lang string, words long, vocabulary binary, stream binary"
-FOUND = "fingerprint long, size int, n long, block long, at int"
+FOUND = "fingerprint long, proof int, size int, n long, block long, at int"
+FINGERPRINT_BITS = 64
 
 ENDS_PIECE = np.zeros(256, dtype=bool)
 ENDS_PIECE[list(PIECE_ENDS)] = True
@@ -47,8 +49,8 @@ LOWERED[65:91] += 32
 
 
 @cache
-def _hashing() -> Hashing:
-    return Hashing(71)
+def _hashing(seed: int = 71) -> Hashing:
+    return Hashing(seed)
 
 
 def _same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ def _block(number: int, lang: str, texts: list[tuple[np.ndarray, np.ndarray]]) -
     }
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Texts gathered by language, up to a block's size each."""
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     sizes: dict[str, int] = {}
@@ -121,12 +123,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, bounds = text_bytes(batch.column("text").take(pa.array(np.flatnonzero(index == code))))
             first = 0
             while first < len(bounds) - 1:
-                room = BLOCK_BYTES - sizes.get(lang, 0)
+                room = block_bytes - sizes.get(lang, 0)
                 last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + room, side="right")) - 1)
                 held.setdefault(lang, []).append((data[bounds[first]: bounds[last]], bounds[first: last + 1] - bounds[first]))
                 sizes[lang] = sizes.get(lang, 0) + int(bounds[last] - bounds[first])
                 first = last
-                if sizes[lang] >= BLOCK_BYTES or first < len(bounds) - 1:
+                if sizes[lang] >= block_bytes or first < len(bounds) - 1:
                     yield from flush(lang)
     for lang in list(held):
         yield from flush(lang)
@@ -140,18 +142,18 @@ class Words:
         self.names = row["vocabulary"].split(b" ")
         self.stream = unpack_numbers(row["stream"]).astype(np.int64)
 
-    def hashes(self) -> np.ndarray:
-        """A hash of the word at each place; of the marks too, but those are never used."""
+    def hashes(self) -> list[np.ndarray]:
+        """Two hashes of the word at each place; of the marks too, but those are never used."""
         lengths = np.array([len(n) for n in self.names], dtype=np.int64)
         data = np.frombuffer(b"".join(self.names), dtype=np.uint8)
         ends = np.cumsum(lengths)
-        own = _hashing().words(data, ends - lengths, ends)
-        return np.concatenate([np.zeros(1, dtype=np.uint64), own])[self.stream]
+        own = [_hashing(seed).words(data, ends - lengths, ends) for seed in (71, 72)]
+        return [np.concatenate([np.zeros(1, dtype=np.uint64), h])[self.stream] for h in own]
 
-    def counted(self, hashes: np.ndarray, size: int, places: np.ndarray) -> pa.Table:
-        """The distinct n-grams at these places: fingerprint, count, and the first place."""
+    def counted(self, hashes: list[np.ndarray], size: int, places: np.ndarray, bits: int) -> pa.Table:
+        """The distinct n-grams at these places: fingerprint, proof, count, and the first place."""
         salt = xxhash.xxh64_intdigest(self.lang.encode(), size)
-        prints = mixed(_hashing().runs(hashes, size)[places], salt)
+        prints = mixed(_hashing(71).runs(hashes[0], size)[places], salt) >> np.uint64(64 - bits)
         names, first, back, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
         at = places[first]
         # The words of every occurrence are compared with those at the first place.
@@ -168,25 +170,27 @@ class Words:
             names = np.concatenate([names, np.array([m[0] for m in more], dtype=np.uint64)])
             n = np.concatenate([n, [m[1] for m in more]])
             at = np.concatenate([at, [m[2] for m in more]])
+        proof = _hashing(72).runs(hashes[1], size)[at] >> np.uint64(32)
         return pa.table({
-            "fingerprint": names.view(np.int64), "size": pa.array(np.full(len(names), size, dtype=np.int32)),
+            "fingerprint": names.view(np.int64), "proof": proof.astype(np.uint32).view(np.int32),
+            "size": pa.array(np.full(len(names), size, dtype=np.int32)),
             "n": n.astype(np.int64), "block": np.full(len(names), self.block, dtype=np.int64), "at": at.astype(np.int32),
         })
 
 
-def _single_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _single_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             words = Words(row)
-            yield from words.counted(words.hashes(), 1, np.flatnonzero(words.stream)).to_batches()
+            yield from words.counted(words.hashes(), 1, np.flatnonzero(words.stream), bits).to_batches()
 
 
-def _longer(sizes: range):
+def _longer(sizes: range, bits: int):
     """N-grams of these sizes whose parts of one word (for pairs) or two words (for longer ones) are all frequent."""
 
     def find(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
         empty = pa.table({n: pa.array([], t) for n, t in zip(
-            ("fingerprint", "size", "n", "block", "at"), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))})
+            ("fingerprint", "proof", "size", "n", "block", "at"), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))})
         if len(blocks) == 0 or len(frequent) == 0:
             return empty
         words = Words(blocks.to_pylist()[0])
@@ -205,59 +209,72 @@ def _longer(sizes: range):
         for size in sizes:
             # Of the run one shorter, at this place and at the next one.
             run = run[:-1] & run[1:]
-            found.append(words.counted(hashes, size, np.flatnonzero(run)))
+            found.append(words.counted(hashes, size, np.flatnonzero(run), bits))
         return pa.concat_tables([empty, *found])
 
     return find
 
 
-def _written(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
-    """The phrases at the places of a block, with their counts there."""
-    if len(blocks) == 0 or len(frequent) == 0:
+def _written(blocks: pa.Table, named: pa.Table) -> pa.Table:
+    """The phrases at the places of a block, with their counts."""
+    if len(blocks) == 0 or len(named) == 0:
         return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
     words = Words(blocks.to_pylist()[0])
-    names = [n.decode() for n in words.names]
-    size, at = frequent.column("size").to_numpy(), frequent.column("at").to_numpy()
-    phrases = [""] * len(size)
-    for m in np.unique(size).tolist():
-        rows = np.flatnonzero(size == m)
-        places = (at[rows][:, None] + np.arange(m)).astype(np.int64)
-        for row, ids in zip(rows.tolist(), words.stream[places].tolist()):
-            phrases[row] = " ".join([names[i - 1] for i in ids])
+    phrases = [
+        b" ".join([words.names[i - 1] for i in words.stream[at: at + size].tolist()]).decode()
+        for size, at in zip(named.column("size").to_pylist(), named.column("at").to_pylist())
+    ]
     return pa.table({
-        "lang": pa.array([words.lang] * len(size)), "phrase": pa.array(phrases, pa.string()),
-        "size": frequent.column("size"), "n": frequent.column("n"),
+        "lang": pa.array([words.lang] * len(phrases)), "phrase": pa.array(phrases, pa.string()),
+        "size": named.column("size"), "n": named.column("n"),
     })
 
 
 def _frequent(found: DataFrame, least: int) -> DataFrame:
-    """The rows whose fingerprint reaches the count in all blocks together; of a fingerprint every block has sent one row."""
-    total = F.sum("n").over(Window.partitionBy("fingerprint"))
-    return stored(found.withColumn("total", total).filter(F.col("total") >= least).select("block", "size", "n", "at"))
+    """(block, at, size, n, named) of the fingerprints that reach the count in all blocks together; of each, every block has sent a row.
+
+    ``named`` rows are to be written out: one for each fingerprint with the total as ``n``, any row by a hash; or
+    all of a fingerprint with several phrases, each with its own count.
+    """
+    own = Window.partitionBy("fingerprint")
+    chosen = F.struct(F.xxhash64("fingerprint", "block").alias("h"), "block", "at")
+    return stored(
+        found.select(
+            "*", F.sum("n").over(own).alias("total"), (F.min("proof").over(own) != F.max("proof").over(own)).alias("mixed"),
+            (F.min(chosen).over(own) == chosen).alias("first"),
+        )
+        .filter(F.col("total") >= least)
+        .select("block", "at", "size", F.expr("if(mixed, n, total)").alias("n"), F.expr("mixed OR first").alias("named"))
+    )
 
 
-def phrase_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def phrase_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents as blocks of one language, written to the shared folder."""
     rows = docs.select(
         F.coalesce(col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    return stored(rows.mapInArrow(_blocks, BLOCK))
+    return stored(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), BLOCK))
 
 
-def frequent_phrases(blocks: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
-    """(lang, phrase, size, f): all phrases of up to ``longest`` words that occur at least ``least`` times, single words too."""
+def frequent_phrases(blocks: DataFrame, least: int = 100, longest: int = 5, fingerprint_bits: int = FINGERPRINT_BITS) -> DataFrame:
+    """(lang, phrase, size, f): all phrases of up to ``longest`` words that occur at least ``least`` times, single words too.
+
+    The counts are exact whatever the fingerprints; fewer bits of them make more work, not other results.
+    """
+    bits = fingerprint_bits
     by_block = blocks.groupBy("block")
 
     def about(frequent: DataFrame, function, schema: str) -> DataFrame:
         return by_block.cogroup(frequent.groupBy("block")).applyInArrow(function, schema)
 
-    levels = [_frequent(blocks.mapInArrow(_single_words, FOUND), least)]
+    levels = [_frequent(blocks.mapInArrow(lambda batches: _single_words(batches, bits), FOUND), least)]
     if longest >= 2:
-        levels.append(_frequent(about(levels[0], _longer(range(2, 3)), FOUND), least))
+        levels.append(_frequent(about(levels[0].select("block", "at"), _longer(range(2, 3), bits), FOUND), least))
     if longest >= 3:
-        levels.append(_frequent(about(levels[1], _longer(range(3, longest + 1)), FOUND), least))
-    written = about(reduce(DataFrame.unionByName, levels), _written, "lang string, phrase string, size int, n long")
+        levels.append(_frequent(about(levels[1].select("block", "at"), _longer(range(3, longest + 1), bits), FOUND), least))
+    named = reduce(DataFrame.unionByName, levels).filter("named").select("block", "at", "size", "n")
+    written = about(named, _written, "lang string, phrase string, size int, n long")
     counted = written.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("f"))
     return stored(counted.filter(F.col("f") >= least))
 
