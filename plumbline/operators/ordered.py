@@ -1,156 +1,252 @@
-"""Work on rows in a global order, without a single-task window over the table.
+"""Work on rows in a global order, with one exchange of the rows.
 
-Rows are range-partitioned by the order and the layout is written to the
-checkpoint folder, so that every later pass sees the same partitions. What has
-to cross a partition border (running totals, last known values) is summarised
-in one row per partition and carried over from there.
+Rows are range-partitioned by the order (Spark draws the ranges from a sample of the keys, balanced by row count; their
+number follows from the number of rows) and the layout is written to the checkpoint folder, so that every later pass
+sees the same partitions. Passes run inside the partitions, batch by batch, without another exchange. What
+crosses a border is small: a row per partition with its length and last known values, and for moving averages the
+few rows around each border.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from plumbline.functions.expressions import col, number, numeric_columns
 from plumbline.functions.storage import cut_lineage
 
-# Rows per block in which neighbours are looked up.
-BLOCK = 100_000
+# Rows per range; each range is one task.
+RANGE_ROWS = 500_000
 SEED = 42
 # Shortest table with a profile, longest period, values reported.
 ENOUGH_ROWS, LONGEST_PERIOD, REPORTED = 30, 30, 5
 
 
-def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Rows sorted across partitions; ``part`` and ``seq`` tell their place.
+def lay_out(df: DataFrame, order: Sequence[Column], range_rows: int | None = None) -> DataFrame:
+    """Rows sorted across partitions; ``__part`` is the number of the partition.
 
     A random last sort key spreads rows that are equal in the whole order, so
     that no partition has to take all copies.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-df.count() // (range_rows or RANGE_ROWS)))
     spread = F.col("__spread").asc()
     return cut_lineage(
         df.withColumn("__spread", F.rand(SEED))
-        .repartitionByRange(partitions, *order, spread)
+        .repartitionByRange(ranges, *order, spread)
         .sortWithinPartitions(*order, spread)
         .drop("__spread")
-        .withColumn("part", F.spark_partition_id())
-        .withColumn("seq", F.monotonically_increasing_id())
+        .withColumn("__part", F.spark_partition_id())
     )
 
 
+def _same(a: tuple, b: tuple) -> bool:
+    """Equal keys; nulls are equal to each other, and so are NaNs."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
+class _Carry:
+    """Last known values of the key that the rows have reached."""
+
+    def __init__(self, keys: Sequence[str], columns: Sequence[str]):
+        self.keys, self.columns = list(keys), list(columns)
+        self.key: tuple | None = None
+        self.last: dict[str, pa.Array] = {}
+
+    def take(self, batch: pa.RecordBatch) -> list[pa.Array]:
+        """The batch's columns with nulls replaced; goes on to its last key and values."""
+        n = batch.num_rows
+        new = np.zeros(n, dtype=bool)
+        for k in self.keys:
+            code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        first, last = (tuple(batch.column(k)[i].as_py() for k in self.keys) for i in (0, n - 1))
+        goes_on = self.key is not None and _same(first, self.key)
+        # The place where the key of each row begins; 0 is the value carried so far.
+        begin = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0 if goes_on else 1))
+        filled = []
+        for c in self.columns:
+            own = batch.column(c)
+            before = self.last[c].cast(own.type) if goes_on else pa.nulls(1, own.type)
+            both = pa.concat_arrays([before, own])
+            known = np.concatenate([[0], np.where(pc.is_valid(own).to_numpy(zero_copy_only=False), np.arange(1, n + 1), 0)])
+            at = np.maximum.accumulate(known)[1:]
+            out = both.take(pa.array(at, mask=at < begin))
+            filled.append(out)
+            self.last[c] = out.slice(n - 1, 1)
+        self.key = last
+        return filled
+
+
+def _ends(keys: list[str], columns: list[str]):
+    """A row per partition: its number, first and last key, and the last known values of the last key, if the partition has any rows."""
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, first, part = _Carry(keys, columns), None, None
+        types = {}
+        for batch in batches:
+            if batch.num_rows:
+                types = {f.name: f.type for f in batch.schema}
+                part = batch.column("__part")[0].as_py()
+                first = first or tuple(batch.column(k).slice(0, 1) for k in keys)
+                carry.take(batch)
+                last = [batch.column(k).slice(batch.num_rows - 1, 1) for k in keys]
+        if part is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], types["__part"]), *first, *last, *[carry.last[c] for c in columns]],
+                ["part", *[f"first{i}" for i in range(len(keys))], *[f"last{i}" for i in range(len(keys))], *[f"value{i}" for i in range(len(columns))]],
+            )
+
+    return summarise
+
+
+def _carried(laid: DataFrame, keys: list[str], columns: list[str]) -> dict[int, tuple[tuple, dict[str, pa.Array]]]:
+    """For each partition the key that the ones before it have reached, with its last known values. One row per range."""
+    field = {f.name: f.dataType for f in laid.schema}
+    schema = T.StructType([T.StructField("part", T.IntegerType())] + [
+        T.StructField(f"{name}{i}", field[c])
+        for name, own in (("first", keys), ("last", keys), ("value", columns)) for i, c in enumerate(own)
+    ])
+    table = laid.select(*[col(c) for c in dict.fromkeys([*keys, *columns])], "__part").mapInArrow(_ends(keys, columns), schema)
+    rows = table.toArrow().combine_chunks().sort_by("part")
+    out: dict[int, tuple[tuple, dict[str, pa.Array]]] = {}
+    key: tuple | None = None
+    known: dict[str, pa.Array] = {}
+    for i, part in enumerate(rows.column("part").to_pylist()):
+        if key is not None:
+            out[part] = (key, dict(known))
+        first, last = (tuple(rows.column(f"{name}{j}")[i].as_py() for j in range(len(keys))) for name in ("first", "last"))
+        goes_on = key is not None and _same(first, key) and _same(last, key)
+        for j, c in enumerate(columns):
+            own = rows.column(f"value{j}").combine_chunks().slice(i, 1)
+            if not goes_on or own.null_count == 0:
+                known[c] = own
+        key = last
+    return out
+
+
+def _filled(laid: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The layout with the nulls of the columns replaced by the last value before them."""
+    columns, keys = list(columns), list(keys)
+    carried = _carried(laid, keys, columns)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if carry is None:
+                carry = _Carry(keys, columns)
+                carry.key, carry.last = carried.get(batch.column("__part")[0].as_py(), (None, {}))
+            filled = dict(zip(columns, carry.take(batch)))
+            yield pa.RecordBatch.from_arrays([filled.get(f.name, batch.column(f.name)) for f in batch.schema], schema=batch.schema)
+
+    return laid.mapInArrow(fill, laid.schema)
+
+
 def forward_fill(
-    df: DataFrame, order_by: str, columns: Sequence[str], keys: Sequence[str] = ()
+    df: DataFrame, order_by: str, columns: Sequence[str], keys: Sequence[str] = (), range_rows: int | None = None
 ) -> DataFrame:
     """Replace nulls by the last value before them in the order of ``order_by``.
 
     Rows without an order value come last. With ``keys`` every key is filled on
     its own; a key that holds much of the table is spread over many tasks.
     """
-    keys = list(keys)
     order = [col(k).asc_nulls_first() for k in keys] + [col(order_by).asc_nulls_last()]
     # Within equal order values, known values come first.
     ties = [col(c).asc_nulls_last() for c in columns]
-    laid = lay_out(df, order + ties)
-    here = (
-        W.partitionBy("part", *[col(k) for k in keys]).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    filled = laid.select(
-        "*", *[F.last(col(c), ignorenulls=True).over(here).alias(f"__last{i}") for i, c in enumerate(columns)]
-    )
-    # What each (partition, key) hands on; a key has at most one row per partition.
-    handed = laid.groupBy("part", *[col(k) for k in keys]).agg(
-        *[F.max_by(col(c), F.when(col(c).isNotNull(), F.col("seq"))).alias(f"__own{i}") for i, c in enumerate(columns)]
-    )
-    earlier = W.partitionBy(*[col(k) for k in keys]).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    carried = handed.select(
-        F.col("part").alias("__part"),
-        *[col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
-        *[F.last(f"__own{i}", ignorenulls=True).over(earlier).alias(f"__carry{i}") for i in range(len(columns))],
-    )
-    same = F.col("part") == F.col("__part")
-    for i, k in enumerate(keys):
-        same = same & col(k).eqNullSafe(F.col(f"__key{i}"))
-    replaced = {c: F.coalesce(f"__last{i}", f"__carry{i}").alias(c) for i, c in enumerate(columns)}
-    return filled.join(carried, same).select(*[replaced.get(c, col(c)) for c in df.columns])
+    return _filled(lay_out(df, order + ties, range_rows), columns, keys).drop("__part")
 
 
 def row_series_profile(
-    df: DataFrame, date_column: str, column: str | None = None
+    df: DataFrame, date_column: str, column: str | None = None, range_rows: int | None = None
 ) -> DataFrame:
     """(part, idx, value): the table as one series of rows sorted by date.
 
     Nulls of the column are filled forwards, then the rows are decomposed with
     period min(30, rows / 2): the last five trend values, the first five
     seasonal values and the sample deviation of the residual. Fewer than 30
-    rows give nothing. Equal (date, value) rows are interchangeable, so they
-    travel as one counted row; they are spread out again block by block.
+    rows give nothing. Equal (date, value) rows are interchangeable.
     """
     column = column or numeric_columns(df)[0]
-    runs = (
-        df.select(col(date_column).cast("timestamp").alias("ts"), number(column).alias("value"))
-        .groupBy("ts", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    laid = lay_out(runs, [F.col("ts").asc_nulls_last(), F.col("value").asc_nulls_last()])
-    # One row per partition of the layout, of which there are few.
-    parts = (
-        laid.groupBy("part")
-        .agg(
-            F.sum("n").alias("rows"),
-            F.max_by("value", F.when(F.col("value").isNotNull(), F.col("seq"))).alias("own"),
-        )
-        .orderBy("part")
-        .collect()
-    )
-    n_rows = sum(p["rows"] for p in parts)
-    schema = "part string, idx int, value double"
+    rows = df.select(col(date_column).cast("timestamp").alias("ts"), number(column).alias("value"))
+    laid = lay_out(rows, [F.col("ts").asc_nulls_last(), F.col("value").asc_nulls_last()], range_rows)
+    # One row per range.
+    lengths = {r["__part"]: r["count"] for r in laid.groupBy("__part").count().collect()}
+    n_rows = sum(lengths.values())
     if n_rows < ENOUGH_ROWS:
-        return df.sparkSession.createDataFrame([], schema)
-    offsets, before, last = [], 0, None
-    for p in parts:
-        offsets.append((p["part"], before, last))
-        before += p["rows"]
-        last = p["own"] if p["own"] is not None else last
-    carried = df.sparkSession.createDataFrame(offsets, "part int, offset bigint, carry double")
-
-    here = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = laid.join(F.broadcast(carried), "part").select(
-        (F.col("offset") + F.sum("n").over(here) - F.col("n")).alias("first"),
-        (F.col("offset") + F.sum("n").over(here) - 1).alias("last"),
-        F.coalesce(F.last("value", ignorenulls=True).over(here), F.col("carry")).alias("value"),
-    )
+        return df.sparkSession.createDataFrame([], "part string, idx int, value double")
     period = min(LONGEST_PERIOD, n_rows // 2)
+    starts = dict(zip(sorted(lengths), np.cumsum([0, *[lengths[p] for p in sorted(lengths)]]).tolist()))
+    smooth = _moving_average(_filled(laid, ["value"]).select("value", "__part"), starts, n_rows, period)
+    return _profile(smooth, n_rows, period, period // 2)
+
+
+def _trend(values: np.ndarray, period: int) -> np.ndarray:
+    """Centred moving averages of the rows that have half a period on both sides; an even one counts its two ends half."""
     half = period // 2
-    smooth = _moving_average(placed, n_rows, period, half)
-    return _profile(smooth, n_rows, period, half)
-
-
-def _moving_average(runs: DataFrame, n_rows: int, period: int, half: int) -> DataFrame:
-    """(pos, value, trend) per row. Every block of positions gets the rows around
-    it as well, so the frame never looks into another task."""
-    block_of = lambda position: F.floor(position / BLOCK)
-    first = F.greatest(F.col("first") - half, F.lit(0))
-    last = F.least(F.col("last") + half, F.lit(n_rows - 1))
-    touched = runs.select(
-        "*", F.explode(F.sequence(block_of(first), block_of(last))).alias("block")
-    ).repartition("block")
-    start = F.greatest(F.col("first"), F.col("block") * BLOCK - half)
-    end = F.least(F.col("last"), F.col("block") * BLOCK + BLOCK - 1 + half)
-    rows = touched.select("block", "value", start.alias("start"), end.alias("end")).where("start <= end")
-    rows = rows.select("block", "value", F.explode(F.sequence("start", "end")).alias("pos"))
-    order = W.partitionBy("block").orderBy("pos")
-    if period % 2:
-        total = F.sum("value").over(order.rowsBetween(-half, half))
-    else:
-        inner = F.sum("value").over(order.rowsBetween(-half + 1, half - 1))
-        ends = F.lag("value", half).over(order) + F.lead("value", half).over(order)
-        total = inner + ends / 2
-    known = F.count("value").over(order.rowsBetween(-half, half)) == 2 * half + 1
-    return rows.select(
-        "block", "pos", "value", F.when(known, total / period).alias("trend")
-    ).where(block_of(F.col("pos")) == F.col("block"))
+    weights = np.ones(2 * half + 1)
+    if period % 2 == 0:
+        weights[[0, -1]] = 0.5
+    return np.lib.stride_tricks.sliding_window_view(values, 2 * half + 1) @ weights / period
+
+
+def _moving_average(rows: DataFrame, starts: dict[int, int], n_rows: int, period: int) -> DataFrame:
+    """(pos, value, trend) per row. Averages that reach over a border of the layout are made from the rows around it."""
+    half = period // 2
+    borders = np.array(sorted(s for s in starts.values() if s > 0), dtype=np.int64)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their trend, and copies of the rows near a border with its number; ``own`` if the border is to make the row."""
+        held, at = np.empty(0), None  # the last rows of the partition so far, and where they begin
+        names = ["pos", "value", "trend", "border", "own"]
+
+        def near(pos: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            first, last = (np.searchsorted(borders, pos + d, side) for d, side in ((-2 * half, "left"), (2 * half, "right")))
+            count = last - first
+            row = np.repeat(np.arange(len(pos)), count)
+            border = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
+            # A window from pos - half to pos + half crosses the borders in between; the first of them makes the row.
+            maker = np.searchsorted(borders, pos - half, side="right")
+            own = (border == maker[row]) & (borders[border] <= pos[row] + half)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(pos[row]), pa.array(value[row], mask=np.isnan(value[row])), pa.nulls(len(row), pa.float64()), pa.array(border), pa.array(own)], names)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if at is None:
+                at = starts[batch.column("__part")[0].as_py()]
+            value = batch.column("value").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            begin = at + len(held)
+            yield near(np.arange(begin, begin + len(value)), value)
+            held = np.concatenate([held, value])
+            if len(held) > 2 * half:
+                trend = _trend(held, period)
+                pos = np.arange(at + half, at + half + len(trend))
+                own = held[half: half + len(trend)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(pos), pa.array(own, mask=np.isnan(own)), pa.array(trend, mask=np.isnan(trend)),
+                    pa.nulls(len(pos), pa.int64()), pa.array(np.ones(len(pos), dtype=bool)),
+                ], names)
+                at += len(trend)
+                held = held[len(trend):]
+
+    found = rows.mapInArrow(inside, "pos long, value double, trend double, border long, own boolean")
+    window = W.partitionBy("border").orderBy("pos").rowsBetween(-half, half)
+    ends = F.lag("value", half).over(W.partitionBy("border").orderBy("pos")) + F.lead("value", half).over(W.partitionBy("border").orderBy("pos"))
+    total = F.sum("value").over(window) - (ends / 2 if period % 2 == 0 else F.lit(0.0))
+    around = (
+        found.filter(F.col("border").isNotNull())
+        .withColumn("trend", F.when(F.count("value").over(window) == 2 * half + 1, total / period))
+        .filter("own")
+    )
+    whole = found.filter(F.col("border").isNull()).select("pos", "value", "trend")
+    # Rows at the very beginning and end have no trend and play no part in what follows.
+    return whole.unionByName(around.select("pos", "value", "trend"))
 
 
 def _profile(smooth: DataFrame, n_rows: int, period: int, half: int) -> DataFrame:

@@ -171,30 +171,54 @@ def test_readiness_needs_thirty_days(spark):
 def test_forward_fill_across_partitions(spark):
     pdf = pd.DataFrame({"t": range(500), "k": [i % 3 for i in range(500)], "x": [float(i) if i % 97 == 5 else None for i in range(500)]})
     df = spark.createDataFrame([(r.t, r.k, None if pd.isna(r.x) else r.x) for r in pdf.itertuples()], "t int, k int, x double").repartition(7)
-    found = ordered.forward_fill(df, "t", ["x"]).toPandas().sort_values("t")
+    found = ordered.forward_fill(df, "t", ["x"], range_rows=60).toPandas().sort_values("t")
     pd.testing.assert_series_equal(found["x"].reset_index(drop=True), pdf["x"].astype(float).ffill(), check_names=False)
-    keyed = ordered.forward_fill(df, "t", ["x"], ["k"]).toPandas().sort_values("t")
+    keyed = ordered.forward_fill(df, "t", ["x"], ["k"], range_rows=60).toPandas().sort_values("t")
     pd.testing.assert_series_equal(keyed["x"].reset_index(drop=True), pdf.groupby("k")["x"].ffill().astype(float), check_names=False)
 
 
 def test_forward_fill_of_one_hot_key(spark):
     rows = [("hot", i, float(i) if i == 0 else None) for i in range(400)] + [(None, i, None) for i in range(5)]
     df = spark.createDataFrame(rows, "k string, t int, x double")
-    found = ordered.forward_fill(df, "t", ["x"], ["k"])
+    found = ordered.forward_fill(df, "t", ["x"], ["k"], range_rows=30)
     assert found.where("k = 'hot' AND x = 0.0").count() == 400
     assert found.where("k IS NULL AND x IS NULL").count() == 5
 
 
-@pytest.mark.parametrize("block", [7, 100_000])
+def test_forward_fill_of_many_types_and_keys(spark):
+    rng = np.random.default_rng(2)
+    rows = [
+        (None if k == 3 else f"k{k}", None if g == 2 else int(g), i, None if rng.random() < 0.6 else f"v{i}", None if rng.random() < 0.6 else datetime(2024, 1, 1, i % 24))
+        for i, (k, g) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 3, 300)))
+    ]
+    df = spark.createDataFrame(rows, "k string, g int, t int, s string, d timestamp")
+    want = pd.DataFrame(rows, columns=list("kgtsd")).sort_values("t")
+    want[["s", "d"]] = want.groupby(["k", "g"], dropna=False)[["s", "d"]].ffill()
+    clean = lambda v: None if pd.isna(v) else v
+    expected = sorted((r.t, clean(r.s), clean(r.d)) for r in want.itertuples())
+    for size in (1, 7, 1000):
+        found = ordered.forward_fill(df, "t", ["s", "d"], ["k", "g"], range_rows=size)
+        assert found.columns == df.columns and sorted((r.t, r.s, r.d) for r in found.collect()) == expected
+    assert ordered.forward_fill(df.limit(0), "t", ["s"], ["k"]).collect() == []
+
+
+def test_one_exchange_of_the_rows(spark):
+    df = spark.range(1000).selectExpr("id AS t", "if(id % 7 = 0, id, NULL) AS x")
+    filled = ordered.forward_fill(df, "t", ["x"], range_rows=100)
+    # The range exchange lies behind the checkpoint; nothing is exchanged after it.
+    assert "Exchange" not in filled._jdf.queryExecution().executedPlan().toString()
+    assert filled.rdd.getNumPartitions() == 10
+
+
+@pytest.mark.parametrize("block", [7, 40, 100_000])
 @pytest.mark.parametrize("n", [30, 31, 200])
-def test_row_series(spark, monkeypatch, block, n):
-    monkeypatch.setattr(ordered, "BLOCK", block)
+def test_row_series(spark, block, n):
     generator = np.random.default_rng(n)
     rows = [(date(2024, 1, 1) + timedelta(days=int(d)), float(v) if v != 3 else None)
             for d, v in zip(generator.integers(0, 9, n), generator.integers(0, 12, n))]
     rows += [(date(2023, 1, 1), 1.0)] + [(None, 5.0)] * 3
     df = spark.createDataFrame(rows, "day date, x double").repartition(5)
-    found = {(r["part"], r["idx"]): r["value"] for r in ordered.row_series_profile(df, "day", "x").collect()}
+    found = {(r["part"], r["idx"]): r["value"] for r in ordered.row_series_profile(df, "day", "x", range_rows=block).collect()}
     pdf = pd.DataFrame(rows, columns=["day", "x"]).sort_values(["day", "x"], na_position="last")
     x = pdf["x"].astype(float).ffill().to_numpy()
     total, period = len(x), min(30, len(x) // 2)
