@@ -37,7 +37,9 @@ BLOCK_BYTES = 8 << 20
 COMPARED = 1 << 18  # words compared at a time
 
 BLOCK = "block long, lang string, words long, vocabulary binary, stream binary"
-FOUND = "fingerprint long, proof int, size int, n long, block long, at int"
+# ``mark`` holds the 32 bits of the second polynomial above the place of the occurrence.
+FOUND = "fingerprint long, mark long, size int, n long, block long"
+NO_ROWS = {"fingerprint": pa.int64(), "mark": pa.int64(), "size": pa.int32(), "n": pa.int64(), "block": pa.int64()}
 FINGERPRINT_BITS = 64
 
 ENDS_PIECE = np.zeros(256, dtype=bool)
@@ -170,11 +172,11 @@ class Words:
             names = np.concatenate([names, np.array([m[0] for m in more], dtype=np.uint64)])
             n = np.concatenate([n, [m[1] for m in more]])
             at = np.concatenate([at, [m[2] for m in more]])
-        proof = _hashing(72).runs(hashes[1], size)[at] >> np.uint64(32)
+        proof = _hashing(72).runs(hashes[1], size)[at] >> np.uint64(32) << np.uint64(32)
         return pa.table({
-            "fingerprint": names.view(np.int64), "proof": proof.astype(np.uint32).view(np.int32),
+            "fingerprint": names.view(np.int64), "mark": (proof | at.astype(np.uint64)).view(np.int64),
             "size": pa.array(np.full(len(names), size, dtype=np.int32)),
-            "n": n.astype(np.int64), "block": np.full(len(names), self.block, dtype=np.int64), "at": at.astype(np.int32),
+            "n": n.astype(np.int64), "block": np.full(len(names), self.block, dtype=np.int64),
         })
 
 
@@ -189,8 +191,7 @@ def _longer(sizes: range, bits: int):
     """N-grams of these sizes whose parts of one word (for pairs) or two words (for longer ones) are all frequent."""
 
     def find(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
-        empty = pa.table({n: pa.array([], t) for n, t in zip(
-            ("fingerprint", "proof", "size", "n", "block", "at"), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))})
+        empty = pa.table({n: pa.array([], t) for n, t in NO_ROWS.items()})
         if len(blocks) == 0 or len(frequent) == 0:
             return empty
         words = Words(blocks.to_pylist()[0])
@@ -237,14 +238,19 @@ def _frequent(found: DataFrame, least: int) -> DataFrame:
     all of a fingerprint with several phrases, each with its own count.
     """
     own = Window.partitionBy("fingerprint")
-    chosen = F.struct(F.xxhash64("fingerprint", "block").alias("h"), "block", "at")
+    proof = F.shiftright("mark", 32)
+    # Dealt out first, so that what is worked out for the window does not travel.
+    dealt = found.repartition("fingerprint").select("*", F.xxhash64("fingerprint", "block", "mark").alias("lot"))
     return stored(
-        found.select(
-            "*", F.sum("n").over(own).alias("total"), (F.min("proof").over(own) != F.max("proof").over(own)).alias("mixed"),
-            (F.min(chosen).over(own) == chosen).alias("first"),
+        dealt.select(
+            "*", F.sum("n").over(own).alias("total"), (F.min(proof).over(own) != F.max(proof).over(own)).alias("mixed"),
+            (F.min("lot").over(own) == F.col("lot")).alias("first"),
         )
         .filter(F.col("total") >= least)
-        .select("block", "at", "size", F.expr("if(mixed, n, total)").alias("n"), F.expr("mixed OR first").alias("named"))
+        .select(
+            "block", F.col("mark").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "size",
+            F.expr("if(mixed, n, total)").alias("n"), F.expr("mixed OR first").alias("named"),
+        )
     )
 
 

@@ -97,7 +97,7 @@ def test_collisions_of_words_in_a_block(monkeypatch):
     tokens = text.decode().split(" ")
     for size in (1, 2, 3):
         found = words.counted(words.hashes(), size, np.arange(len(tokens) - size + 1), 64)
-        got = {tuple(words.names[j - 1].decode() for j in words.stream[at: at + size]): n for at, n in zip(found["at"].to_pylist(), found["n"].to_pylist())}
+        got = {tuple(words.names[j - 1].decode() for j in words.stream[at: at + size]): n for at, n in zip((m & 0xFFFFFFFF for m in found["mark"].to_pylist()), found["n"].to_pylist())}
         assert len(found) == len(got) and got == Counter(tuple(tokens[i: i + size]) for i in range(len(tokens) - size + 1))
 
 
