@@ -8,7 +8,8 @@ its losses per token; below zero it looks more like the target.
 
 Counts cover all documents and their table grows with the corpus, so it is never
 sent anywhere whole. Blocks of documents send their own counts to the owners of
-the n-grams, who add them up and answer every block with the totals of the n-grams that it holds.
+the n-grams, who add them up and answer every block with the totals of the n-grams that it holds; a block sends nothing to
+an owner of which it holds no n-gram. The three totals of the corpus are one aggregate. An n-gram is known by 96 bits of hash.
 A document is scored by counts without its own, so that no text is likely just because it was counted.
 """
 
@@ -21,6 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.expressions import col
+from plumbline.functions.storage import stored
 from plumbline.llm import blocks as B
 from plumbline.llm.bytesops import Hashing, mixed, ragged, text_bytes, words_of
 from plumbline.llm.training import row_sums
@@ -28,11 +30,22 @@ from plumbline.llm.training import row_sums
 BIGRAM_WEIGHT = 0.6  # of the bigram model, where its context was seen
 SMOOTHING = 0.1  # added to the count of every word
 BEGIN, END = np.uint64(1), np.uint64(2)
-KEY_BITS = 56  # of the hash that an n-gram is known by
+ANSWER = f"{B.ANSWER}, words long, every long, good long"
+TOTALS = 3  # the kind of an answer that is for no block
 
 
-def _key(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - KEY_BITS)
+def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of hashes in rising order, and the place of each among them."""
+    names, at, back = np.unique(first, return_index=True, return_inverse=True)
+    if np.array_equal(second[at][back], second):
+        return names, second[at], back
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    back = np.empty(len(a), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return a[new], b[new], back
 
 
 class Block:
@@ -46,55 +59,54 @@ class Block:
         self.target = np.isin(self.ids, good)
         data, bounds = text_bytes(table.column("text").take(pa.array(order)))
         starts, ends, words = words_of(data, bounds)
-        hashes = Hashing(51).words(data, starts, ends)
+        hashes, others = Hashing(51).words(data, starts, ends), Hashing(52).words(data, starts, ends)
         count = np.diff(words)
         n = len(count)
         # Document d has count[d] words and two marks.
         self.lengths = count + 2
         first = np.cumsum(self.lengths) - self.lengths
-        tokens = np.empty(int(self.lengths.sum()), dtype=np.uint64)
-        tokens[ragged(first + 1, count)] = np.maximum(hashes, np.uint64(1 << 20))
-        tokens[first] = mixed(np.full(n, BEGIN))
-        tokens[first + count + 1] = mixed(np.full(n, END))
+        tokens, seconds = (np.empty(int(self.lengths.sum()), dtype=np.uint64) for _ in range(2))
+        place = ragged(first + 1, count)
+        for own, words_hash in ((tokens, hashes), (seconds, others)):
+            own[place] = words_hash
+            own[first], own[first + count + 1] = BEGIN, END
         self.document = np.repeat(np.arange(n), self.lengths)
         self.scored = np.ones(len(tokens), dtype=bool)
         self.scored[first] = False
         after = np.flatnonzero(self.scored)
         self.pair_document = self.document[after]
-        self.unigrams, self.unigram_at = np.unique(_key(tokens), return_inverse=True)
-        self.bigrams, self.bigram_at = np.unique(_key(mixed(tokens[after - 1] * np.uint64(3) + tokens[after], 9)), return_inverse=True)
+        self.unigrams, self.unigram_check, self.unigram_at = distinct(mixed(tokens), _short(mixed(seconds)))
+        pairs = (mixed(t[after - 1] * np.uint64(3) + t[after], 9) for t in (tokens, seconds))
+        self.bigrams, self.bigram_check, self.bigram_at = distinct(next(pairs), _short(next(pairs)))
+        self.begin = self.unigram_at[first[0]] if n else 0
         self.after = after
 
     def _counts(self, at: np.ndarray, document: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.bincount(at, minlength=size), np.bincount(at[self.target[document]], minlength=size)
 
     def messages(self, part_bits: int) -> list[tuple[int, bytes]]:
-        """(part, n-grams with their counts); unigrams have the first parts and are sent to all of them."""
+        """(part, n-grams with their counts) for the parts of which the block holds any; unigrams have the first parts."""
         parts = 1 << part_bits
         out = []
-        for kind, (keys, at, document) in enumerate((
-            (self.unigrams, self.unigram_at, self.document), (self.bigrams, self.bigram_at, self.pair_document),
+        for kind, (keys, check, at, document) in enumerate((
+            (self.unigrams, self.unigram_check, self.unigram_at, self.document),
+            (self.bigrams, self.bigram_check, self.bigram_at, self.pair_document),
         )):
             every, good = self._counts(at, document, len(keys))
-            limits = np.searchsorted(keys >> np.uint64(KEY_BITS - part_bits), np.arange(parts + 1, dtype=np.uint64))
-            for p, (a, b) in enumerate(zip(limits[:-1], limits[1:])):
-                if kind == 0 or b > a:
-                    out.append((kind * parts + p, B.pack_all(B.pack_rising(keys[a:b]), B.pack_numbers(every[a:b]), B.pack_numbers(good[a:b]))))
+            for p, a, b in B.cut_by_part(keys >> np.uint64(64 - part_bits)):
+                out.append((kind * parts + p, B.pack_all(
+                    B.pack_rising(keys[a:b]), B.pack_numbers(check[a:b]), B.pack_numbers(every[a:b]), B.pack_numbers(good[a:b]))))
         return out
 
-    def losses(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per token of each document under the target and the background model."""
-        sums = np.zeros(3, dtype=np.int64)
+    def losses(self, answers: pa.Table, words: int, sums: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per token of each document under the target and the background model; ``words`` can be predicted, ``sums`` tokens
+        are in the background and in the target."""
         totals: list[list[list[np.ndarray]]] = [[[], []], [[], []]]
         for kind in (0, 1):
             for _, payload in B.by_part(answers, kind):
-                stats, every, good = B.unpack_all(payload)
-                if kind == 0:
-                    sums += np.frombuffer(stats, dtype="<i8")
+                every, good = B.unpack_all(payload)
                 totals[kind][0].append(B.unpack_numbers(every))
                 totals[kind][1].append(B.unpack_numbers(good))
-        words = int(sums[0]) - 1  # the begin mark is never predicted
-        begin = int(np.searchsorted(self.unigrams, _key(mixed(np.array([BEGIN])))[0]))
         n = len(self.ids)
         own_unigram = _own(self.unigram_at, self.document, len(self.unigrams))
         own_bigram = _own(self.bigram_at, self.pair_document, len(self.bigrams))
@@ -106,7 +118,7 @@ class Block:
             counted = self.target.astype(np.float64) if model else np.ones(n)
             seen = unigram[self.unigram_at] - own_unigram * counted[self.document]
             pair = bigram[self.bigram_at] - own_bigram * counted[self.pair_document]
-            total = float(sums[2 if model else 1]) - unigram[begin] - (self.lengths - 1) * counted
+            total = float(sums[model]) - unigram[self.begin] - (self.lengths - 1) * counted
             base = (seen[self.after] + SMOOTHING) / (total[self.pair_document] + SMOOTHING * words)
             context = seen[self.after - 1]
             weight = np.where(context > 0, BIGRAM_WEIGHT, 0.0)
@@ -116,6 +128,10 @@ class Block:
         return out[0], out[1]
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(32)
+
+
 def _own(at: np.ndarray, document: np.ndarray, size: int) -> np.ndarray:
     """For every place how often its n-gram stands in the same document."""
     _, back, count = np.unique(document.astype(np.int64) * max(size, 1) + at, return_inverse=True, return_counts=True)
@@ -126,17 +142,27 @@ def _totals(part_bits: int):
     def total(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         blocks = table.column("block").to_pylist()
-        sent = [[B.unpack_rising(p[0]), B.unpack_numbers(p[1]), B.unpack_numbers(p[2])] for p in map(B.unpack_all, table.column("payload").to_pylist())]
-        keys, back = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
-        every = np.bincount(back, weights=np.concatenate([s[1] for s in sent]), minlength=len(keys)).astype(np.int64)
-        good = np.bincount(back, weights=np.concatenate([s[2] for s in sent]), minlength=len(keys)).astype(np.int64)
-        stats = np.array([len(keys), every.sum(), good.sum()], dtype="<i8").tobytes()
+        sent = [[B.unpack_rising(p[0]), *map(B.unpack_numbers, p[1:])] for p in map(B.unpack_all, table.column("payload").to_pylist())]
+        first, check, every, good = (np.concatenate([s[i] for s in sent]) for i in range(4))
+        keys, _, back = distinct(first, check)
+        every = np.bincount(back, weights=every, minlength=len(keys)).astype(np.int64)
+        good = np.bincount(back, weights=good, minlength=len(keys)).astype(np.int64)
         out, at = [], 0
-        for block, (own, _, _) in zip(blocks, sent):
+        for block, (own, *_) in zip(blocks, sent):
             place = back[at: at + len(own)]
             at += len(own)
-            out.append((block, B.pack_all(stats, B.pack_numbers(every[place]), B.pack_numbers(good[place]))))
-        return B.answers(part >> part_bits, part, out)
+            out.append((block, B.pack_all(B.pack_numbers(every[place]), B.pack_numbers(good[place]))))
+        kind = part >> part_bits
+        rows = B.answers(kind, part, out)
+        none = pa.nulls(len(rows), pa.int64())
+        for name in ("words", "every", "good"):
+            rows = rows.append_column(name, none)
+        if kind == 0:
+            rows = pa.concat_tables([rows, pa.table({
+                "block": pa.array([-1], pa.int32()), "kind": pa.array([TOTALS], pa.int32()), "part": pa.array([part], pa.int64()),
+                "payload": pa.array([None], pa.binary()), "words": [len(keys)], "every": [int(every.sum())], "good": [int(good.sum())],
+            })])
+        return rows
 
     return total
 
@@ -169,19 +195,26 @@ def score_documents(
             return B.messages(0, [])
         return B.messages(table.column("block")[0].as_py(), Block(table, target).messages(part_bits))
 
+    counted = blocked.cogroup(good.groupBy("block")).applyInArrow(count, B.MESSAGE)
+    # Written once, as both the totals and the answers are read from it.
+    answered = stored(counted.groupBy("part").applyInArrow(_totals(part_bits), ANSWER))
+    words, every, target = answered.filter(F.col("kind") == TOTALS).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "every", "good")]
+    ).first()
+    words -= 1  # the begin mark is never predicted
+
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         labelled = answers.filter(pa.compute.equal(answers.column("kind"), 2)).select(["part"]).rename_columns(["id"])
         if len(table) == 0:
             return pa.table({"id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "target_loss": pa.array([], pa.float64()), "background_loss": pa.array([], pa.float64())})
         block = Block(table, labelled)
-        target, background = block.losses(answers)
-        return pa.table({"id": block.names, "n_tokens": block.lengths - 1, "target_loss": target, "background_loss": background})
+        target_loss, background_loss = block.losses(answers, words, (every, target))
+        return pa.table({"id": block.names, "n_tokens": block.lengths - 1, "target_loss": target_loss, "background_loss": background_loss})
 
-    counted = blocked.cogroup(good.groupBy("block")).applyInArrow(count, B.MESSAGE)
-    totals = counted.groupBy("part").applyInArrow(_totals(part_bits), B.ANSWER)
     # The labels travel with the answers, as rows of a kind of their own.
     marked = good.select("block", F.lit(2).alias("kind"), F.col("id").alias("part"), F.lit(None).cast("binary").alias("payload"))
-    scored = blocked.cogroup(totals.unionByName(marked).groupBy("block")).applyInArrow(
+    told = answered.filter(F.col("kind") < 2).select("block", "kind", "part", "payload")
+    scored = blocked.cogroup(told.unionByName(marked).groupBy("block")).applyInArrow(
         score, "id long, n_tokens long, target_loss double, background_loss double"
     )
     return scored.select(

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plain
-from plumbline.llm import embedding_dedup
+from plumbline.llm import embedding_dedup, lm_scoring
 from plumbline.llm.embedding_dedup import MultiIndex, near_vector_groups
 from plumbline.llm.lm_scoring import BIGRAM_WEIGHT, SMOOTHING, score_documents
 from plumbline.llm.quality import drop_low_quality, score_quality, train_quality
@@ -151,6 +151,20 @@ def sample(spark):
     return docs, labels, {r.doc_id: r for r in labels.collect()}
 
 
+def test_messages_do_not_depend_on_the_number_of_parts():
+    texts = pa.chunked_array([pa.array(["a few words of a short text", None])])
+    block = lm_scoring.Block(pa.table({"id": pa.chunked_array([pa.array([1, 2], pa.int64())]), "text": texts}), pa.table({"id": pa.array([1], pa.int64())}))
+    held = len(block.unigrams) + len(block.bigrams)
+    assert len(block.messages(20)) <= held and len(block.messages(30)) == len(block.messages(40)) == held
+
+
+def test_pairs_of_hashes():
+    first, second = np.array([5, 1, 5, 5, 1], dtype=np.uint64), np.array([2, 9, 1, 2, 9], dtype=np.uint64)
+    a, b, back = lm_scoring.distinct(first, second)
+    assert (a.tolist(), b.tolist(), back.tolist()) == ([1, 5, 5], [9, 1, 2], [2, 0, 1, 2, 0])
+    assert [x.tolist() for x in lm_scoring.distinct(first, first)] == [[1, 5], [1, 5], [1, 0, 1, 1, 0]]
+
+
 def test_quality_of_held_out_rows(spark, sample):
     docs, labels, truth = sample
     got = score_quality(docs, train_quality(docs, labels, rows=2000)).collect()
