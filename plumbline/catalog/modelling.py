@@ -140,6 +140,88 @@ SELECT CAST({len(LINEITEM_NUMBERS)} AS BIGINT) AS n, {r('(SELECT sum(v) FROM m W
   {r('(SELECT sum(a.v * b.v) FROM squared a JOIN m b ON a.j = b.i AND a.i = b.j)', 5)} AS power_3,
   {r('(SELECT sum(a.v * b.v) FROM squared a JOIN squared b ON a.j = b.i AND a.i = b.j)', 5)} AS power_4"""
 
+def jacobi(table: str, columns: list[str], sweeps: int = 8) -> str:
+    """Eigenvalues and eigenvectors of the correlation matrix by Jacobi rotations, one pair of columns after the other:
+    eigen (component, value), loadings (component, pos, loading)."""
+    n = len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+
+    def turned(m: str) -> str:
+        """Columns p and q of a matrix turned."""
+        return (
+            f"list_transform(range({n * n}), lambda x: CASE WHEN x % {n} = p THEN c * {m}[x - x % {n} + p + 1] - s * {m}[x - x % {n} + q + 1] "
+            f"WHEN x % {n} = q THEN s * {m}[x - x % {n} + p + 1] + c * {m}[x - x % {n} + q + 1] ELSE {m}[x + 1] END)"
+        )
+
+    flipped = lambda m: f"list_transform(range({n * n}), lambda x: {m}[(x % {n}) * {n} + x // {n} + 1])"
+    return f"""{matrix_sql(table, columns)},
+jac AS (
+  SELECT 0 AS step, list(coalesce(r, 0.0)::DOUBLE ORDER BY pos1, pos2) AS a,
+    list_transform(range({n * n}), lambda x: CASE WHEN x // {n} = x % {n} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v FROM matrix
+  UNION ALL
+  SELECT step + 1, {turned(flipped('b'))} AS a, v FROM (
+    SELECT step, p, q, c, s, {turned('a')} AS b, {turned('v')} AS v FROM (
+      SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s FROM (
+        SELECT *, CASE WHEN abs(a[p * {n} + q + 1]) < 1e-300 THEN 0.0
+            ELSE (CASE WHEN a[q * {n} + q + 1] < a[p * {n} + p + 1] THEN -1 ELSE 1 END)
+              / (abs((a[q * {n} + q + 1] - a[p * {n} + p + 1]) / (2 * a[p * {n} + q + 1]))
+                + sqrt(1 + pow((a[q * {n} + q + 1] - a[p * {n} + p + 1]) / (2 * a[p * {n} + q + 1]), 2)))
+              * sign(a[p * {n} + q + 1]) END AS t
+        FROM (SELECT *, {[i for i, _ in pairs]}[step % {len(pairs)} + 1] AS p, {[j for _, j in pairs]}[step % {len(pairs)} + 1] AS q
+              FROM jac WHERE step < {sweeps * len(pairs)}))))),
+last AS (SELECT a, v FROM jac ORDER BY step DESC LIMIT 1),
+eigen AS (
+  SELECT row_number() OVER (ORDER BY value DESC) AS component, i, value
+  FROM (SELECT unnest(range({n})) AS i, a FROM last) AS d, LATERAL (SELECT greatest(a[i * {n} + i + 1], 0) AS value)),
+loadings AS (
+  SELECT component, unnest(range({n})) AS pos, i, v FROM eigen, last),
+shares AS (
+  SELECT component, value / sum(value) OVER () AS ratio, sum(value) OVER (ORDER BY component) / sum(value) OVER () AS cumulative FROM eigen)"""
+
+
+def dimensions_sql(n: int) -> str:
+    return f"""SELECT CAST({n} AS BIGINT) AS total_features, c95 AS components_95, c90 AS components_90, {r(f'c95 / {n}')} AS reduction_ratio,
+  c95 < {n} * 0.3 AS high_potential
+FROM (SELECT min(component) FILTER (cumulative >= 0.95) AS c95, min(component) FILTER (cumulative >= 0.90) AS c90 FROM shares)"""
+
+
+PCA = "WITH RECURSIVE " + jacobi("lineitem", LINEITEM_NUMBERS)
+PCA_WEIGHTS = PCA + f"""
+SELECT names."column", names.column_pos::BIGINT AS column_pos, weight FROM (
+  SELECT pos, {r(f'avg(abs(v[pos * {len(LINEITEM_NUMBERS)} + i + 1]))', 5)} AS weight, avg(abs(v[pos * {len(LINEITEM_NUMBERS)} + i + 1])) AS exact
+  FROM loadings WHERE component <= 3 GROUP BY pos) AS w
+JOIN (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(LINEITEM_NUMBERS))}) AS names("column", column_pos) ON pos = column_pos
+ORDER BY exact DESC, column_pos LIMIT 5"""
+
+# Five groups of rows on a line, so that the best clusters are runs of neighbouring groups.
+SPOTS = [0.0, 1.0, 40.0, 90.0, 200.0]
+
+
+def _on_a_line(load):
+    x = F.element_at(F.array(*[F.lit(v) for v in SPOTS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return load("orders").select(x.alias("a"), (x * 3 + 1).alias("b"), (100 - x).alias("c"))
+
+
+LINE = f"""spots AS (SELECT row_number() OVER (ORDER BY x) AS j, x, n FROM (
+  SELECT {SPOTS}[o_orderkey % 5 + 1] AS x, count(*) AS n FROM orders GROUP BY 1)),
+spread AS (SELECT sum(n * x) / sum(n) AS m, sqrt(sum(n * x * x) / sum(n) - pow(sum(n * x) / sum(n), 2)) AS sd FROM spots),
+runs AS (
+  SELECT a.j AS first, b.j AS last, sum(s.n) AS size, sum(s.n * s.x) / sum(s.n) AS center,
+    3 * (sum(s.n * s.x * s.x) - pow(sum(s.n * s.x), 2) / sum(s.n)) / pow(any_value(sd), 2) AS cost
+  FROM spots a, spots b, spots s, spread WHERE s.j BETWEEN a.j AND b.j GROUP BY a.j, b.j),
+ways AS (
+  SELECT 1 AS k, last, greatest(cost, 0)::DOUBLE AS cost, [last] AS ends FROM runs WHERE first = 1
+  UNION ALL SELECT k + 1, r.last, w.cost + greatest(r.cost, 0), list_append(ends, r.last) FROM ways w JOIN runs r ON r.first = w.last + 1),
+parted AS (SELECT k, min(cost) AS cost, arg_min(ends, cost) AS ends FROM ways WHERE last = (SELECT max(j) FROM spots) GROUP BY k),
+costs AS (SELECT ks.k, coalesce(cost, 0) AS inertia FROM (SELECT unnest(range(2, 11)) AS k) AS ks LEFT JOIN parted USING (k)),
+bends AS (
+  SELECT k, inertia, lead(inertia) OVER (ORDER BY k) - 2 * inertia + lag(inertia) OVER (ORDER BY k) AS bend FROM costs),
+best AS (SELECT k + 1 AS k FROM bends WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1),
+chosen AS (
+  SELECT row_number() OVER (ORDER BY r.last) - 1 AS cluster, size, center FROM parted p JOIN best USING (k)
+  JOIN runs r ON list_contains(p.ends, r.last)
+    AND r.first = coalesce(list_max(list_filter(p.ends, lambda e: e < r.last)), 0) + 1)"""
+
 CAUSES = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
 
 
@@ -177,10 +259,32 @@ QUERIES = [
     ),
     Query("kmeans_elbow", lambda load: rounded(models.kmeans_elbow(load("orders")))),
     Query("cluster_profile", lambda load: rounded(models.cluster_profile(load("orders")))),
-    Query("pca_variance", lambda load: rounded(models.pca_variance(load("lineitem")))),
+    Query(
+        "kmeans_elbow_groups", lambda load: rounded(models.kmeans_elbow(_on_a_line(load)), 4),
+        f"""WITH RECURSIVE {LINE}
+SELECT k, {r('inertia', 4)} AS inertia, {r('bend', 4)} AS second_difference, k = (SELECT k FROM best) AS is_chosen FROM bends""",
+    ),
+    Query(
+        "cluster_profile_groups", lambda load: rounded(models.cluster_profile(_on_a_line(load))),
+        f"""WITH RECURSIVE {LINE}
+SELECT cluster, size::BIGINT AS size, name AS "column", pos AS column_pos, {r('CASE pos WHEN 0 THEN center WHEN 1 THEN center * 3 + 1 ELSE 100 - center END')} AS center
+FROM chosen, (VALUES ('a', 0::BIGINT), ('b', 1), ('c', 2)) AS names(name, pos)""",
+    ),
+    Query(
+        "pca_projection_groups",
+        lambda load: rounded(models.pca_projection(_on_a_line(load)).groupBy(
+            "kind", "cluster", F.round(F.abs("pc1"), 5).alias("pc1"), F.round(F.abs("pc2"), 5).alias("pc2"), "pct1", "pct2").count(), 5),
+        f"""WITH RECURSIVE {LINE},
+places AS (
+  SELECT 'center' AS kind, cluster, center AS x, 1 AS n FROM chosen
+  UNION ALL SELECT 'row', arg_min(cluster, abs(center - x)), x, any_value(n) FROM chosen, spots GROUP BY x)
+SELECT kind, cluster, {r('sqrt(3) * abs(x - m) / sd', 5)} AS pc1, 0.0::DOUBLE AS pc2, 100.0::DOUBLE AS pct1, 0.0::DOUBLE AS pct2, sum(n)::BIGINT AS count
+FROM places, spread GROUP BY ALL""",
+    ),
+    Query("pca_variance", lambda load: rounded(models.pca_variance(load("lineitem")), 5), PCA + f"\nSELECT component, {r('ratio', 5)} AS ratio, {r('cumulative', 5)} AS cumulative FROM shares"),
     Query("pca_moments", _pca_moments, SCALED),
-    Query("dimensionality", lambda load: rounded(models.dimensionality(load("lineitem")))),
-    Query("pca_feature_weights", lambda load: rounded(models.pca_feature_weights(load("lineitem")))),
+    Query("dimensionality", lambda load: rounded(models.dimensionality(load("lineitem"))), PCA + "\n" + dimensions_sql(len(LINEITEM_NUMBERS))),
+    Query("pca_feature_weights", lambda load: rounded(models.pca_feature_weights(load("lineitem")), 5), PCA_WEIGHTS),
     Query("pca_projection", lambda load: models.pca_projection(load("part"))),
     Query("forest_importance", lambda load: models.forest_importance(load("lineitem"), "l_extendedprice")),
     Query("forest_importance_caused", lambda load: rounded(models.forest_importance(_caused(load), "target")), CAUSED),

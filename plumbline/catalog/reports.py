@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from plumbline.catalog.base import LINEITEM_NUMBERS, PLACES, Query, places, r, rounded, union
 from plumbline.catalog.columns import counts_sql, outliers_sql
 from plumbline.catalog.kinds import _labelled, types_sql
-from plumbline.catalog.modelling import SUGGESTED
+from plumbline.catalog.daily import ROW_SERIES
+from plumbline.catalog.modelling import LINE, SUGGESTED, _on_a_line
 from plumbline.catalog.relations import WITH_LINKED, _linked, _linked_matrix, matrix_sql
 from plumbline.operators import models, readiness, stats
 from plumbline.plans import profile, report
@@ -30,6 +31,18 @@ def _key_patterns(load):
     return rounded(report.key_patterns(models.cluster_profile(features), models.dimensionality(features)))
 
 
+def _key_patterns_groups(load):
+    features = models.Features(_on_a_line(load))
+    return rounded(report.key_patterns(models.cluster_profile(features), models.dimensionality(features)))
+
+
+# All columns lie on one line, so that one component has all of the variance.
+KEY_PATTERNS_GROUPS = f"""WITH RECURSIVE {LINE}
+SELECT 'clusters' AS pattern, 'count' AS key, count(*)::DOUBLE AS value FROM chosen
+UNION ALL SELECT 'clusters', 'size_' || cluster, size::DOUBLE FROM chosen
+UNION ALL SELECT 'dimensionality', 'components_95', 1.0 UNION ALL SELECT 'dimensionality', 'reduction_ratio', {r('1 / 3.0')}"""
+
+
 def _implications(load):
     part = load("part")
     classes = readiness.classification_readiness(part, "p_type")
@@ -108,6 +121,19 @@ def _grouped_summary(load):
 
 PATTERNS = f"WITH {PLACES}\nSELECT 'geographic' AS pattern, \"column\" AS item, value AS key, CAST(n AS VARCHAR) AS value FROM ({counts_sql('places', ['region', 'country'], 10)})"
 
+def _dated_patterns(load):
+    """Values that are numbers apart from those that are not."""
+    found = report.detect_patterns(load("orders"))
+    number_ = F.expr("try_cast(value AS double)")
+    return rounded(found.select("pattern", "item", "key", F.when(number_.isNull(), F.col("value")).alias("value"), number_.alias("number")), 2)
+
+
+DATED_PATTERNS = f"""SELECT 'time_series' AS pattern, 'o_orderdate' AS item, part || '_' || idx AS key, NULL AS value, {r('value', 2)} AS number
+FROM ({ROW_SERIES.replace("CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price", "o_orderkey::DOUBLE AS price")})
+UNION ALL SELECT 'time_series', 'o_orderdate', 'start_date', min(o_orderdate)::DATE::VARCHAR, NULL FROM orders
+UNION ALL SELECT 'time_series', 'o_orderdate', 'end_date', max(o_orderdate)::DATE::VARCHAR, NULL FROM orders
+UNION ALL SELECT 'time_series', 'o_orderdate', 'span_days', NULL, {r("date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)", 2)} FROM orders"""
+
 CHARTS = f"""WITH {types_sql()},
 second AS (SELECT tbl, CASE
     WHEN bool_or(dataset_type = 'high_dimensional') THEN 'clustering_pca' WHEN bool_or(dataset_type = 'time_series') THEN 'seasonality'
@@ -160,6 +186,7 @@ UNION ALL SELECT 'dataset_types', 'regression', 'true' FROM orders
 QUERIES = [
     Query("key_stats", _key_stats, KEY_STATS),
     Query("key_patterns", _key_patterns),
+    Query("key_patterns_groups", _key_patterns_groups, KEY_PATTERNS_GROUPS),
     Query(
         "key_relationships",
         lambda load: rounded(report.key_relationships(_linked_matrix(load)), 3),
@@ -177,7 +204,7 @@ QUERIES = [
     Query("analysis_summary", lambda load: rounded(report.analysis_summary(_linked(load))), SUMMARY),
     Query("analysis_summary_clusters", _grouped_summary, SUMMARY_CLUSTERS),
     Query("detect_patterns", lambda load: report.detect_patterns(places(load)), PATTERNS),
-    Query("detect_patterns_dated", lambda load: report.detect_patterns(load("orders"))),
+    Query("detect_patterns_dated", _dated_patterns, DATED_PATTERNS),
     Query("run_profile", lambda load: rounded(_run(load).status.drop("message")), RUN),
     Query("report_findings", lambda load: report.report_findings(_run(load)), FINDINGS),
     Query(

@@ -1,24 +1,23 @@
-"""Multivariate structure with MLlib: clusters, components, forest importance."""
+"""Multivariate structure: scaling, clusters, components, forest importance."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import wraps
+from functools import reduce, wraps
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions.expressions import col, number, numeric_columns
+from plumbline.operators import clusters
+from plumbline.operators.correlate import correlation_matrix
 from plumbline.operators.forest import importances
 
 # Random seed, most clusters tried, trees, leading components.
 SEED, MOST_CLUSTERS, TREES, LEADING_COMPONENTS = 42, 10, 100, 3
-FITS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -94,11 +93,12 @@ class Features:
         self._kept: DataFrame | None = None
 
     @property
-    def vectors(self) -> DataFrame:
+    def points(self) -> DataFrame:
+        """The features as columns z0, z1, ..."""
         if self._kept is None:
-            self._kept = feature_matrix(self.source, found=self.scales).select("features").persist(
-                StorageLevel.MEMORY_AND_DISK
-            )
+            self._kept = self.source.select(
+                *[_standardized(s).alias(f"z{i}") for i, s in enumerate(self.scales)]
+            ).persist(StorageLevel.MEMORY_AND_DISK)
         return self._kept
 
     def release(self) -> None:
@@ -140,29 +140,26 @@ def elbow(costs: Sequence[float], rule: str = "late") -> int:
 
 @dataclass
 class Clustering:
+    """Costs by number of clusters, the chosen number, and its centres with their rows."""
+
     costs: dict[int, float]
     best: int
-    model: KMeansModel
+    centers: np.ndarray
+    sizes: np.ndarray
 
 
 @_released
 def cluster(features: DataFrame | Features, rule: str = "late") -> Clustering:
-    """Fit k-means for every k tried; the model of the chosen k is kept, not refitted."""
+    """k-means for every k tried, all in the same passes over the rows."""
     if len(features.columns) < 2:
         raise ValueError("clustering needs two numeric columns")
     tried = range(2, min(MOST_CLUSTERS, features.n_rows // 2) + 1)
     if not tried:
         raise ValueError("clustering needs at least four rows")
-    vectors = features.vectors
-    vectors.count()  # fill the cache once, before the fits share it
-    # The fits are independent and short of work per job, so a few run side by side.
-    inherit = inheritable_thread_target(vectors.sparkSession)
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        fits = {k: pool.submit(inherit(KMeans(k=k, seed=SEED).fit), vectors) for k in tried}
-        models = {k: fit.result() for k, fit in fits.items()}
-    costs = {k: m.summary.trainingCost for k, m in models.items()}
-    best = elbow(list(costs.values()), rule)
-    return Clustering(costs, best, models[best])
+    found = clusters.fit(features.points, list(tried), SEED)
+    costs = {k: cost for k, (_, _, cost) in found.items()}
+    best = min(elbow(list(costs.values()), rule), tried[-1])
+    return Clustering(costs, best, *found[best][:2])
 
 
 @_released
@@ -179,48 +176,60 @@ def kmeans_elbow(features: DataFrame | Features, clustering: Clustering | None =
 
 @_released
 def cluster_profile(features: DataFrame | Features, clustering: Clustering | None = None) -> DataFrame:
-    """(cluster, size, column, column_pos, center) with centres in original units."""
+    """(cluster, size, column, column_pos, center) with centres in original units; clusters in the order of their centres."""
     found = clustering or cluster(features)
-    spark = features.source.sparkSession
-    centers = spark.createDataFrame(
+    return features.source.sparkSession.createDataFrame(
         [
-            (i, s.column, j, float(center[j] * s.deviation + s.mean))
-            for i, center in enumerate(found.model.clusterCenters())
+            (i, int(found.sizes[i]), s.column, j, float(center[j] * s.deviation + s.mean))
+            for i, center in enumerate(found.centers)
             for j, s in enumerate(features.scales)
         ],
-        "cluster int, column string, column_pos int, center double",
-    )
-    sizes = (
-        found.model.transform(features.vectors)
-        .groupBy(F.col("prediction").alias("cluster"))
-        .agg(F.count(F.lit(1)).alias("size"))
-    )
-    return centers.join(F.broadcast(sizes), "cluster", "left").select(
-        "cluster", F.coalesce("size", F.lit(0)).alias("size"), "column", "column_pos", "center"
+        "cluster int, size long, column string, column_pos int, center double",
     )
 
 
+@dataclass
+class Components:
+    """Shares of the variance in falling order; loadings by column and component."""
+
+    shares: np.ndarray
+    loadings: np.ndarray
+
+
 @_released
-def components(features: DataFrame | Features, k: int | None = None) -> PCAModel:
+def components(features: DataFrame | Features, k: int | None = None, matrix: DataFrame | None = None) -> Components:
+    """Principal components of the standardised features, from the correlation matrix of the imputed columns (which may be handed over).
+
+    The matrix has a row per pair of columns; its eigenvectors are found on the driver. No pass over the rows but that for the matrix. A
+    constant column has no variance. The entry of largest size in a component is positive.
+    """
     if len(features.columns) < 3 and k is None:
         raise ValueError("component analysis needs three numeric columns")
-    return PCA(k=k or len(features.columns), inputCol="features", outputCol="scores").fit(features.vectors)
+    size = len(features.columns)
+    of = matrix if matrix is not None else correlation_matrix(features.source, features.columns, impute=True)
+    at = {c: i for i, c in enumerate(features.columns)}
+    r = np.zeros((size, size))
+    for row in of.collect():
+        if row["var1"] in at and row["var2"] in at:
+            r[at[row["var1"]], at[row["var2"]]] = row["r"] or 0.0
+    values, vectors = np.linalg.eigh((r + r.T) / 2)
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(size)] < 0, -1, 1)
+    return Components((values / max(values.sum(), np.finfo(float).tiny))[:k], vectors[:, :k])
 
 
 @_released
-def pca_variance(features: DataFrame | Features, model: PCAModel | None = None) -> DataFrame:
+def pca_variance(features: DataFrame | Features, model: Components | None = None) -> DataFrame:
     """(component, ratio, cumulative) of the explained variance, all components."""
     model = model or components(features)
-    shares = features.source.sparkSession.createDataFrame(
-        [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)],
-        "component int, ratio double",
+    return features.source.sparkSession.createDataFrame(
+        [(i + 1, float(v), float(c)) for i, (v, c) in enumerate(zip(model.shares, np.cumsum(model.shares)))],
+        "component int, ratio double, cumulative double",
     )
-    running = W.orderBy("component")  # one row per numeric column
-    return shares.withColumn("cumulative", F.sum("ratio").over(running))
 
 
 @_released
-def dimensionality(features: DataFrame | Features, model: PCAModel | None = None) -> DataFrame:
+def dimensionality(features: DataFrame | Features, model: Components | None = None) -> DataFrame:
     """(total_features, components_95, components_90, reduction_ratio, high_potential)."""
     total = len(features.columns)
     variance = pca_variance(features, model)
@@ -241,10 +250,10 @@ def dimensionality(features: DataFrame | Features, model: PCAModel | None = None
 
 
 @_released
-def pca_feature_weights(features: DataFrame | Features, model: PCAModel | None = None, k: int = 5) -> DataFrame:
+def pca_feature_weights(features: DataFrame | Features, model: Components | None = None, k: int = 5) -> DataFrame:
     """(column, weight): mean abs(loading) over the first three components, top k."""
     model = model or components(features)
-    loadings = model.pc.toArray()[:, :LEADING_COMPONENTS]  # columns x 3
+    loadings = model.loadings[:, :LEADING_COMPONENTS]  # columns x 3
     return (
         features.source.sparkSession.createDataFrame(
             [(c, i, float(abs(loadings[i]).mean())) for i, c in enumerate(features.columns)],
@@ -256,26 +265,32 @@ def pca_feature_weights(features: DataFrame | Features, model: PCAModel | None =
 
 
 @_released
-def pca_projection(features: DataFrame | Features, clustering: Clustering | None = None) -> DataFrame:
+def pca_projection(
+    features: DataFrame | Features, clustering: Clustering | None = None, model: Components | None = None
+) -> DataFrame:
     """(kind, cluster, pc1, pc2, pct1, pct2): every row and every cluster centre on
     the plane of the first two components."""
     found = clustering or cluster(features)
-    model = components(features, 2)
-    pct = [float(v) * 100 for v in model.explainedVariance]
+    model = model or components(features, 2)
+    plane, pct = model.loadings[:, :2], (model.shares[:2] * 100).tolist()
+    columns = [F.col(f"z{i}") for i in range(len(features.columns))]
+
+    def sum_of(terms: Sequence[Column]) -> Column:
+        return reduce(lambda a, b: a + b, terms, F.lit(0.0))
+
+    away = [
+        F.struct(sum_of([(z - float(x)) * (z - float(x)) for z, x in zip(columns, center)]).alias("d"), F.lit(i).alias("i"))
+        for i, center in enumerate(found.centers)
+    ]
+    points = features.points.select(F.lit("row").alias("kind"), F.array_min(F.array(*away))["i"].alias("cluster"), *columns)
     centers = features.source.sparkSession.createDataFrame(
-        [(i, center.tolist()) for i, center in enumerate(found.model.clusterCenters())],
-        "prediction int, center array<double>",
-    ).select("prediction", array_to_vector("center").alias("features"))
-    points = found.model.transform(features.vectors).select(F.lit("row").alias("kind"), "prediction", "features")
-    both = points.unionByName(centers.withColumn("kind", F.lit("center")))
-    scored = model.transform(both).withColumn("pc", vector_to_array("scores"))
-    return scored.select(
-        "kind",
-        F.col("prediction").alias("cluster"),
-        F.col("pc")[0].alias("pc1"),
-        F.col("pc")[1].alias("pc2"),
-        F.lit(pct[0]).alias("pct1"),
-        F.lit(pct[1]).alias("pct2"),
+        [("center", i, *map(float, center)) for i, center in enumerate(found.centers)],
+        "kind string, cluster int, " + ", ".join(f"z{i} double" for i in range(len(columns))),
+    )
+    return points.unionByName(centers).select(
+        "kind", "cluster",
+        *[sum_of([z * float(w) for z, w in zip(columns, plane[:, j])]).alias(f"pc{j + 1}") for j in (0, 1)],
+        F.lit(pct[0]).alias("pct1"), F.lit(pct[1]).alias("pct2"),
     )
 
 

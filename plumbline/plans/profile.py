@@ -125,7 +125,7 @@ class Table:
 
     @shared
     def pca(self):
-        return models.components(self.features)
+        return models.components(self.features, matrix=self.imputed_matrix)
 
     @shared
     def dated(self) -> tuple[DataFrame, str] | None:
@@ -184,6 +184,7 @@ def _clustering(t: Table) -> Tables:
     return {
         "kmeans_elbow": models.kmeans_elbow(t.features, t.clustering),
         "cluster_profile": models.cluster_profile(t.features, t.clustering),
+        "pca_projection": models.pca_projection(t.features, t.clustering, models.components(t.features, 2, t.imputed_matrix)),
     }
 
 
