@@ -214,6 +214,53 @@ SELECT 'trend' AS part, CAST(pos - (n - 20) AS BIGINT) AS idx, {r('trend', 4)} A
 UNION ALL SELECT 'seasonal', CAST(phase AS BIGINT), {r('seasonal', 4)} FROM phases WHERE phase < 5
 UNION ALL SELECT 'residual_std', CAST(0 AS BIGINT), {r('sd', 4)} FROM rest"""
 
+# Normal equations by elimination: after k steps the last entry is the residual of the model with the first k regressors.
+def gram(name: str, rows: str, vector: str) -> str:
+    return f"""{name}_vectors AS (SELECT metric, {vector} AS v FROM {rows}),
+{name}_sizes AS (SELECT metric, max(len(v)) AS p FROM {name}_vectors GROUP BY metric),
+{name}_sums AS (
+  SELECT metric, i, j, sum(v[i] * v[j]) AS s FROM (SELECT metric, v, i, unnest(range(1, len(v) + 1)) AS j
+    FROM (SELECT metric, v, unnest(range(1, len(v) + 1)) AS i FROM {name}_vectors)) GROUP BY ALL),
+{name}_start AS (SELECT metric, list(s ORDER BY i, j) AS a FROM {name}_sums GROUP BY metric),
+{name} AS (
+  SELECT metric, p, 0 AS k, a FROM {name}_start JOIN {name}_sizes USING (metric)
+  UNION ALL
+  SELECT metric, p, k + 1, list_transform(range(p * p), lambda x: CASE WHEN x // p > k AND x % p > k
+    THEN a[x + 1] - a[x - x % p + k + 1] * a[k * p + x % p + 1] / a[k * p + k + 1] ELSE a[x + 1] END)
+  FROM {name} WHERE k < p - 1)"""
+
+
+UNIT_ROOT = f"""levels AS (
+  SELECT metric, spot, n, least(ceil(12 * pow(n / 100, 0.25)), n // 2 - 2)::INTEGER AS most, x FROM (
+    SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY pos) - 1 AS spot, count(*) OVER (PARTITION BY metric) AS n,
+      (value - avg(value) OVER (PARTITION BY metric)) / stddev_pop(value) OVER (PARTITION BY metric) AS x
+    FROM series WHERE value IS NOT NULL)),
+steps AS (
+  SELECT metric, spot, n, most, lag(x) OVER w AS level, x - lag(x) OVER w AS change FROM levels WINDOW w AS (PARTITION BY metric ORDER BY spot)),
+histories AS (
+  SELECT *, list_reverse(list(change) OVER (PARTITION BY metric ORDER BY spot ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS before
+  FROM steps WHERE spot >= 1),
+full_rows AS (SELECT * FROM histories WHERE spot > most),
+{gram('lags', 'full_rows', 'list_concat([1.0, level], before[1:most], [change])')},
+informed AS (
+  SELECT metric, k - 2 AS lags, most, n, (n - 1 - most) * ln(a[p * p] / (n - 1 - most)) + 2 * k AS aic
+  FROM lags JOIN (SELECT DISTINCT metric, n, most FROM levels) USING (metric) WHERE k >= 2),
+best AS (SELECT metric, arg_min(lags, aic) AS lags, any_value(n) AS n FROM informed GROUP BY metric),
+best_rows AS (SELECT h.*, b.lags AS chosen FROM histories h JOIN best b USING (metric) WHERE spot > b.lags),
+{gram('fit', 'best_rows', 'list_concat([1.0], before[1:chosen], [level, change])')},
+ends AS (
+  SELECT metric, lags, n - 3 - 2 * lags AS freedom, a[(p - 2) * p + p - 1] AS xx, a[(p - 2) * p + p] AS xy, a[p * p] AS yy
+  FROM fit JOIN best USING (metric) WHERE k = p - 2),
+rooted AS (SELECT metric, lags, xy / xx / sqrt((yy - xy * xy / xx) / freedom / xx) AS t FROM ends),
+surfaces AS (
+  SELECT *, CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t
+    ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END AS z FROM rooted),
+adf AS (
+  SELECT metric, lags, t, CASE WHEN t < -18.83 OR z < -8 THEN 0.0 WHEN t > 2.74 THEN 1.0 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi())
+    * list_sum(list_transform(range(150), lambda k: exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))) END AS p
+  FROM surfaces)"""
+RECURSIVE = ON_ORDERS.replace("WITH ", "WITH RECURSIVE ", 1)
+
 QUERIES = [
     Query(
         "daily_series",
@@ -293,13 +340,21 @@ QUERIES = [
             "o_orderdate"), 4),
         ROW_SERIES,
     ),
-    Query("adf_test", lambda load: rounded(forecast.adf_test(_orders(load)))),
+    Query(
+        "adf_test", lambda load: rounded(forecast.adf_test(_orders(load)), 5),
+        RECURSIVE + f""",\n{UNIT_ROOT}
+SELECT metric, {r('t', 5)} AS statistic, lags::BIGINT AS lags, {r('p', 5)} AS p_value, p < 0.05 AS is_stationary, p >= 0.05 AS needs_differencing FROM adf""",
+    ),
     Query(
         "forecast_readiness",
         lambda load: rounded(forecast.forecast_readiness(_orders(load), stationarity=False), 5, missing_ratio=6),
         ON_ORDERS + f",\n{DECOMPOSED},\n{STRENGTH},\n{LAG1}" + READINESS,
     ),
-    Query("forecast_readiness_full", lambda load: rounded(forecast.forecast_readiness(_orders(load)))),
+    Query(
+        "forecast_readiness_full", lambda load: rounded(forecast.forecast_readiness(_orders(load)), 5, missing_ratio=6),
+        RECURSIVE + f""",\n{DECOMPOSED},\n{STRENGTH},\n{LAG1},\n{UNIT_ROOT}
+SELECT ready.*, {r('p', 5)} AS p_value, p < 0.05 AS is_stationary, p >= 0.05 AS needs_differencing FROM ({READINESS}) AS ready JOIN adf USING (metric)""",
+    ),
     Query(
         "suggest_forecast_models",
         lambda load: rounded(forecast.suggest_forecast_models(_orders(load))),

@@ -1,3 +1,4 @@
+import math
 from datetime import date, datetime, timedelta
 from math import pi, sin
 
@@ -121,11 +122,12 @@ def test_span_counts_whole_days(spark):
     assert (found["start_date"], found["end_date"], found["span_days"]) == (date(2024, 1, 1), date(2024, 1, 4), 2)
 
 
-def test_unit_root_p_values():
-    assert forecast.unit_root_p(-3.43) == pytest.approx(0.01, abs=5e-4)
-    assert forecast.unit_root_p(-2.86) == pytest.approx(0.05, abs=5e-4)
-    assert forecast.unit_root_p(-2.57) == pytest.approx(0.10, abs=1e-3)
-    assert forecast.unit_root_p(-20) == 0 and forecast.unit_root_p(3) == 1
+def test_unit_root_p_values(spark):
+    df = spark.createDataFrame([(-3.43,), (-2.86,), (-2.57,), (-20.0,), (3.0,), (-1.2,), (None,)], "t double")
+    p = [r["p"] for r in df.select(forecast.unit_root_p(df["t"]).alias("p")).collect()]
+    assert p[:3] == pytest.approx([0.01, 0.05, 0.10], abs=1e-3) and p[3:5] == [0, 1] and p[6] is None
+    z = 1.7339 + 0.93202 * -1.2 - 0.12745 * 1.44 - 0.010368 * -1.728
+    assert p[5] == pytest.approx(0.5 * (1 + math.erf(z / math.sqrt(2))), abs=1e-12)
 
 
 def test_unit_root_test_tells_noise_from_walk(spark):
@@ -137,18 +139,39 @@ def test_unit_root_test_tells_noise_from_walk(spark):
     assert forecast.adf_test(_series(spark, [2.0] * 50)).first()["p_value"] is None
 
 
-def test_lag_choice_matches_separate_fits():
-    x = np.random.default_rng(2).normal(size=80).cumsum()
-    t, lags = forecast.unit_root_statistic(x)
+def unit_root(x):
+    """Number of lags and t value by separate least-squares fits."""
+    x = x - x.mean()
     change = np.diff(x)
-    most = int(np.ceil(12 * 0.8 ** 0.25))
+    n = len(x)
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+
+    def fit(first, k):
+        rows = len(change) - first
+        design = np.column_stack([np.ones(rows), x[first:-1]] + [change[first - j:first - j + rows] for j in range(1, k + 1)])
+        found = np.linalg.lstsq(design, change[first:], rcond=None)[0]
+        return design, found, change[first:] - design @ found
+
     scores = []
     for k in range(most + 1):
-        rows = len(change) - most
-        design = np.column_stack([np.ones(rows), x[most:-1]] + [change[most - j:most - j + rows] for j in range(1, k + 1)])
-        rest = change[most:] - design @ np.linalg.lstsq(design, change[most:], rcond=None)[0]
-        scores.append(rows * np.log(rest @ rest / rows) + 2 * (k + 2))
-    assert lags == int(np.argmin(scores))
+        _, _, rest = fit(most, k)
+        scores.append(len(rest) * np.log(rest @ rest / len(rest)) + 2 * (k + 2))
+    best = int(np.argmin(scores))
+    design, found, rest = fit(best, best)
+    scale = np.linalg.inv(design.T @ design)[1, 1] * (rest @ rest) / (len(rest) - design.shape[1])
+    return best, found[1] / np.sqrt(scale)
+
+
+def test_lag_choice_matches_separate_fits(spark):
+    rng = np.random.default_rng(2)
+    walks = {"walk": rng.normal(size=80).cumsum(), "short": rng.normal(size=9), "far": 1e6 + rng.normal(size=200).cumsum(), "noise": rng.normal(size=33)}
+    rows = [(m, i, float(v)) for m, x in walks.items() for i, v in enumerate(x)] + [("flat", i, 1.0) for i in range(20)] + [("tiny", 0, 1.0), ("tiny", 1, 2.0)]
+    df = spark.createDataFrame(rows, "metric string, pos int, value double").repartition(3)
+    found = {r["metric"]: (r["lags"], r["statistic"]) for r in forecast.adf_test(df).collect()}
+    assert set(found) == {*walks, "flat", "tiny"} and found["flat"] == found["tiny"] == (None, None)
+    for metric, x in walks.items():
+        lags, t = unit_root(x)
+        assert found[metric][0] == lags and found[metric][1] == pytest.approx(t, rel=1e-6)
 
 
 @pytest.mark.parametrize("n, models", [
