@@ -150,8 +150,11 @@ def series_quality(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def forecast_readiness(
     series: DataFrame, keys: Sequence[str] = (), stationarity: bool = True, decomposed: DataFrame | None = None
 ) -> DataFrame:
-    """Quality, autocorrelation, seasonality, stationarity and suitability per series."""
+    """Quality, autocorrelation, seasonality, stationarity and suitability per series. The series is read by each part, so it is stored unless
+    the caller has done so, as its decomposition shows."""
     ids = series_ids(keys)
+    if decomposed is None:
+        series = stored(series)
     ready = (
         series_quality(series, keys)
         .join(lag1_autocorr(series, keys), ids)

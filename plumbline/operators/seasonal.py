@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions.expressions import ratio
+from plumbline.functions.storage import stored
 from plumbline.operators.series import daily_metrics, in_order, series_ids, whole
 from plumbline.operators.stats import max_variance_column
 
@@ -104,27 +105,89 @@ def seasonal_trend(decomposed: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     )
 
 
+# A series is summed up in two stages if its length has factors whose sum is at most this many times its root.
+EVEN_FACTORS = 16
+
+
+def _turned(re: Column, im: Column, number: Column, of: Column) -> list[Column]:
+    """A complex value times exp(-2 pi i number / of); the angle is taken from whole numbers, so that it stays exact."""
+    angle = 2 * math.pi * (number % of) / of
+    return [(re * F.cos(angle) + im * F.sin(angle)).alias("re"), (im * F.cos(angle) - re * F.sin(angle)).alias("im")]
+
+
+def _transform(points: DataFrame, ids: Sequence[str], half: bool) -> DataFrame:
+    """(ids, n, k, re, im) of points (ids, n, n1, at, re, im): the discrete Fourier transform of length n = n1 * n2 in two stages.
+
+    Sums over every n2-th point, a turn, and sums over those: n * (n1 + n2) rows instead of n * n. Absent points are
+    zero. With ``half`` only k up to n / 2.
+    """
+    key = [*ids, "n", "n1"]
+    n, n1, n2 = F.col("n"), F.col("n1"), F.expr("n div n1")
+    re, im = F.col("re"), F.col("im")
+    sums = [F.sum("re").alias("re"), F.sum("im").alias("im")]
+    first = (
+        points.select(*key, (F.col("at") % n2).alias("j2"), F.expr("at div (n div n1)").alias("j1"), "re", "im",
+                      F.explode(F.sequence(F.lit(0).cast("long"), n1 - 1)).alias("k1"))
+        .select(*key, "j2", "k1", *_turned(re, im, F.col("j1") * F.col("k1"), n1))
+        .groupBy(*key, "j2", "k1").agg(*sums)
+        .select(*key, "j2", "k1", *_turned(re, im, F.col("j2") * F.col("k1"), n))
+    )
+    # The last k2 of k = k1 + n1 * k2 that is wanted.
+    last = F.expr("(n div 2 - k1) div n1") if half else n2 - 1
+    reach = first.where("k1 <= n div 2") if half else first
+    return (
+        reach.select(*key, "k1", "j2", "re", "im", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k2"))
+        .select(*key, "k1", "k2", *_turned(re, im, F.col("j2") * F.col("k2"), n2))
+        .groupBy(*key, "k1", "k2").agg(*sums)
+        .select(*ids, "n", (F.col("k1") + n1 * F.col("k2")).alias("k"), "re", "im")
+    )
+
+
+def _chirped(points: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The transform of lengths without good factors, as a product of transforms of a longer length that has them (Bluestein)."""
+    n, at, k = F.col("n"), F.col("at"), F.col("k")
+    re, im = F.col("re"), F.col("im")
+    # The longer length, at least 2 n - 1, and its first factor.
+    side = F.ceil(F.sqrt(2 * n - 1)).cast("long")
+    longer = side * F.ceil((2 * n - 1) / side).cast("long")
+    signal = points.select(*ids, n.alias("own"), side.alias("n1"), longer.alias("n"), "at", *_turned(re, im, at * at, 2 * n))
+    one = [F.lit(1.0), F.lit(0.0)]
+    chirp = (
+        points.select("n").distinct().select("n", F.explode(F.sequence(1 - n, n - 1)).alias("d"))
+        .select(n.alias("own"), side.alias("n1"), longer.alias("n"), F.pmod("d", longer).alias("at"), *_turned(*one, -(F.col("d") * F.col("d")), 2 * n))
+    )
+    a = _transform(signal, [*ids, "own"], half=False)
+    b = _transform(chirp, ["own"], half=False).select("own", "k", F.col("re").alias("bre"), F.col("im").alias("bim"))
+    side_of = F.ceil(F.sqrt(2 * F.col("own") - 1)).cast("long")
+    # The inverse transform is the transform of the conjugate, conjugated.
+    product = a.join(b, ["own", "k"]).select(
+        *ids, "own", "n", side_of.alias("n1"), k.alias("at"),
+        (re * F.col("bre") - im * F.col("bim")).alias("re"), (-(re * F.col("bim") + im * F.col("bre"))).alias("im"),
+    )
+    back = _transform(product, [*ids, "own"], half=False).where("k <= own div 2")
+    return back.select(
+        *ids, F.col("own").alias("n"), "k", (re / n).alias("re"), (-im / n).alias("im")
+    ).select(*ids, "n", "k", *_turned(re, im, k * k, 2 * n))
+
+
 def spectrum(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(metric, k, n, magnitude) of the discrete Fourier transform, 0 <= k <= n/2.
 
-    One sum of cosines and one of sines per frequency; a series is as long as
-    its calendar, and the sums of a series spread over the tasks by frequency.
+    Days without a value are left out. The work of a series of n days is about n to the power 1.5, whatever its
+    length, and spreads over the tasks.
     """
     ids = series_ids(keys)
-    in_days = W.partitionBy(*ids).orderBy("pos")
-    known = series.where("value is not null").select(
-        *ids, "value",
-        (F.row_number().over(in_days) - 1).cast("long").alias("at"),
+    factors = "filter(sequence(1L, cast(floor(sqrt(n)) AS bigint)), d -> n % d = 0)"
+    known = stored(series.where("value is not null").select(
+        *ids, F.col("value").alias("re"), F.lit(0.0).alias("im"),
+        (F.row_number().over(W.partitionBy(*ids).orderBy("pos")) - 1).cast("long").alias("at"),
         F.count(F.lit(1)).over(W.partitionBy(*ids)).alias("n"),
-    )
-    # The angle is taken from the whole number at * k modulo n, so that it stays exact.
-    angle = 2 * math.pi * ((F.col("at") * F.col("k")) % F.col("n")) / F.col("n")
-    return (
-        known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))).alias("k"))
-        .groupBy(*ids, "k", "n")
-        .agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
-        .select(*ids, "k", "n", F.hypot("re", "im").alias("magnitude"))
-    )
+    ).withColumn("n1", F.array_max(F.expr(factors))))
+    even = F.col("n1") + F.expr("n div n1") <= EVEN_FACTORS * F.sqrt("n")
+    found = _transform(known.where(even), ids, half=True)
+    if not known.where(~even).isEmpty():
+        found = found.unionByName(_chirped(known.where(~even), ids))
+    return found.select(*ids, "k", "n", F.hypot("re", "im").alias("magnitude"))
 
 
 def dominant_periods(series: DataFrame, keys: Sequence[str] = (), leading: int = LEADING) -> DataFrame:
@@ -188,7 +251,10 @@ def seasonality(
     """(metric, strength, n_periods, statistic, is_seasonal): a strong component
     and at least one dominant period."""
     ids = series_ids(keys)
-    decomposed = seasonal_decompose(series, keys) if decomposed is None else decomposed
+    if decomposed is None:
+        # The parts read the series several times; it is as long as its calendar.
+        series = stored(series)
+        decomposed = seasonal_decompose(series, keys)
     periods = dominant_periods(series, keys).groupBy(*ids).agg(F.count(F.lit(1)).alias("n_periods"))
     return (
         seasonality_strength(decomposed, keys)

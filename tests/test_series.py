@@ -66,6 +66,46 @@ def test_too_short_to_decompose(spark):
     assert seasonal.seasonal_decompose(_series(spark, [1, 2, 3])).isEmpty()
 
 
+def generated_rows(df):
+    """Rows that explodes have made, from the metrics of the plan that ran."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        own = node.metrics().get("numOutputRows").get().value() if name == "Generate" else 0
+        children = node.children()
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_spectrum_of_any_length(spark):
+    rng = np.random.default_rng(3)
+    # One day, few days, a prime that is summed directly, primes that are not, lengths with many and with few factors.
+    lengths = [1, 2, 30, 97, 257, 360, 1009, 2 * 503, 1024]
+    values = {f"m{n}": rng.normal(size=n) + 5 for n in lengths}
+    rows = [(m, i, float(v)) for m, x in values.items() for i, v in enumerate(x)] + [("m30", 30 + i, None) for i in range(4)]
+    df = spark.createDataFrame(rows, "metric string, pos int, value double").repartition(4)
+    found = {(r["metric"], r["k"]): r["magnitude"] for r in seasonal.spectrum(df).collect()}
+    assert len(found) == sum(n // 2 + 1 for n in lengths)
+    for m, x in values.items():
+        for k, size in enumerate(np.abs(np.fft.rfft(x))):
+            assert found[m, k] == pytest.approx(size, abs=1e-8)
+    assert seasonal.spectrum(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [2310, 2309, 2 * 1153])
+def test_spectrum_work(spark, n):
+    df = spark.range(n).selectExpr("'m' AS metric", "cast(id AS int) AS pos", "cast(id % 7 AS double) AS value")
+    rows = generated_rows(seasonal.spectrum(df))
+    # Direct sums would take n * n / 2 rows.
+    assert 0 < rows < (2.5 * n**1.5 if n == 2310 else 20 * n**1.5) and rows < n * n / 2
+
+
 def test_dominant_period(spark):
     x = [10 * sin(2 * pi * i / 15) + 0.01 * i for i in range(60)]
     found = seasonal.dominant_periods(_series(spark, x)).orderBy("rank").collect()
