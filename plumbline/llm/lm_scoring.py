@@ -9,7 +9,7 @@ its losses per token; below zero it looks more like the target.
 Counts cover all documents and their table grows with the corpus, so it is never
 sent anywhere whole. Blocks of documents send their own counts to the owners of
 the n-grams, who add them up and answer every block with the totals of the n-grams that it holds; a block sends nothing to
-an owner of which it holds no n-gram. The three totals of the corpus are one aggregate. An n-gram is known by 96 bits of hash.
+an owner of which it holds no n-gram. The three totals of the corpus are one aggregate. An n-gram is known by 80 bits of hash.
 A document is scored by counts without its own, so that no text is likely just because it was counted.
 """
 
@@ -129,7 +129,7 @@ class Block:
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(32)
+    return hashes >> np.uint64(48)
 
 
 def _own(at: np.ndarray, document: np.ndarray, size: int) -> np.ndarray:
