@@ -84,14 +84,18 @@ def outliers_sql(table: str, columns: list[str], with_clause: str = "") -> str:
     )) + ")\n"
 
 
-BOXPLOT = f"WITH {bounds_sql('lineitem', LINEITEM_NUMBERS)}\n" + union(LINEITEM_NUMBERS, lambda i, c: (
-    f"SELECT \"column\", CAST(column_pos AS BIGINT) AS column_pos, {r('any_value(q1)')} AS q1, "
-    f"{r('any_value(median)')} AS median, {r('any_value(q3)')} AS q3, "
-    f"{r(f'min({c}) FILTER (WHERE {c} BETWEEN lower AND upper)')} AS whisker_low, "
-    f"{r(f'max({c}) FILTER (WHERE {c} BETWEEN lower AND upper)')} AS whisker_high, "
-    f"count(*) FILTER (WHERE {c} < lower OR {c} > upper) AS n_fliers "
-    f"FROM lineitem, bounds WHERE \"column\" = '{c}' GROUP BY ALL"
-))
+def boxplot_sql(table: str, columns: list[str]) -> str:
+    return f"WITH {bounds_sql(table, columns)}\n" + union(columns, lambda i, c: (
+        f"SELECT \"column\", CAST(column_pos AS BIGINT) AS column_pos, {r('any_value(q1)')} AS q1, "
+        f"{r('any_value(median)')} AS median, {r('any_value(q3)')} AS q3, "
+        f"{r(f'min({c}) FILTER (WHERE {c} BETWEEN lower AND upper)')} AS whisker_low, "
+        f"{r(f'max({c}) FILTER (WHERE {c} BETWEEN lower AND upper)')} AS whisker_high, "
+        f"count(*) FILTER (WHERE {c} < lower OR {c} > upper) AS n_fliers "
+        f"FROM {table}, bounds WHERE \"column\" = '{c}' GROUP BY ALL"
+    ))
+
+
+BOXPLOT = boxplot_sql("lineitem", LINEITEM_NUMBERS)
 
 OUTLIER_ROWS = """
 WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)

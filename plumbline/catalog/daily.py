@@ -101,6 +101,8 @@ SELECT metric, CAST(day AS VARCHAR) AS day, CAST(pos AS BIGINT) AS pos, CAST(per
   {r('observed', 3)} AS observed, {r('trend', 3)} AS trend, {r('seasonal', 3)} AS seasonal, {r('residual', 3)} AS residual
 FROM decomposed"""
 
+LARGEST_DECOMPOSED = f"WITH {CENTS},\n{daily_sql('orders_in_cents', 'o_orderdate', ['cents'])},\n" + DECOMPOSED + DECOMPOSE_ROWS
+
 STRENGTH = "strengths AS (SELECT metric, avg(abs(seasonal)) / avg(abs(residual)) AS strength FROM decomposed GROUP BY metric)"
 
 EXTREMES = f"""
@@ -301,7 +303,7 @@ QUERIES = [
     Query(
         "decomposition_table",
         lambda load: rounded(seasonal.decomposition_table(_cents(load), "o_orderdate"), 3),
-        f"WITH {CENTS},\n{daily_sql('orders_in_cents', 'o_orderdate', ['cents'])},\n" + DECOMPOSED + DECOMPOSE_ROWS,
+        LARGEST_DECOMPOSED,
     ),
     Query(
         "seasonality_strength",

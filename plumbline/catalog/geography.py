@@ -34,6 +34,24 @@ c AS (SELECT least(CAST(floor((lat - s) / ((n - s) / 20)) AS BIGINT), 19) AS row
 SELECT row, col, {r('any_value(s) + row * (any_value(n) - any_value(s)) / 20', 5)} AS south,
   {r('any_value(w) + col * (any_value(e) - any_value(w)) / 20', 5)} AS west, count(*) AS n FROM c GROUP BY row, col"""
 
+CONTOURS = f"""WITH {PLACES},
+p AS (SELECT latitude AS lat, longitude AS lon FROM places WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+e AS (
+  SELECT n, wy, wx, s - 3 * wy AS s, w - 3 * wx AS w, (t - s + 6 * wy) / 50 AS h, (e - w + 6 * wx) / 50 AS b FROM (
+    SELECT count(*) AS n, stddev_samp(lat) * pow(count(*), -1 / 6.0) AS wy, stddev_samp(lon) * pow(count(*), -1 / 6.0) AS wx,
+      min(lat) AS s, max(lat) AS t, min(lon) AS w, max(lon) AS e FROM p)),
+counts AS (SELECT floor((lat - s) / h) AS i, floor((lon - w) / b) AS j, count(*) AS m FROM p, e GROUP BY 1, 2),
+cells AS (SELECT r.generate_series AS row, c.generate_series AS col FROM generate_series(0, 49) AS r, generate_series(0, 49) AS c),
+smooth AS (
+  SELECT row, col, sum(m * exp(-pow((row - i) * h / wy, 2) / 2 - pow((col - j) * b / wx, 2) / 2)) / any_value(2 * pi() * wx * wy * n) AS density
+  FROM cells, counts, e GROUP BY row, col),
+ranked AS (
+  SELECT *, sum(density) OVER (ORDER BY density DESC, row, col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(density) OVER () AS inside FROM smooth),
+heights AS (
+  SELECT max(density) FILTER (inside >= 1 - share) AS limit_ FROM ranked, (SELECT 0.05 + 0.95 * unnest(range(5)) / 4 AS share) GROUP BY share)
+SELECT row, col, {r('s + (row + 0.5) * h', 5)} AS lat, {r('w + (col + 0.5) * b', 5)} AS lon, {r('density', 9)} AS density,
+  (SELECT count(*) FROM heights WHERE density >= limit_) AS level FROM ranked, e"""
+
 QUERIES = [
     Query("regional_stats", lambda load: rounded(geo.regional_stats(places(load), "country", METRICS), 4), REGIONAL),
     Query("location_stats", lambda load: rounded(geo.location_stats(places(load))), LOCATIONS),
@@ -45,4 +63,5 @@ QUERIES = [
         "WHERE latitude IS NOT NULL AND longitude IS NOT NULL",
     ),
     Query("density_grid", lambda load: rounded(geo.density_grid(places(load)), 5), GRID),
+    Query("density_contours", lambda load: rounded(geo.density_contours(places(load)), 5, density=9), CONTOURS),
 ]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import LINEITEM_NUMBERS, PLACES, Query, places, r, rounded, union
-from plumbline.catalog.columns import counts_sql, outliers_sql
+from plumbline.catalog.columns import HISTOGRAM, NORMAL_FIT, boxplot_sql, counts_sql, outliers_sql
 from plumbline.catalog.kinds import _labelled, types_sql
-from plumbline.catalog.daily import ROW_SERIES
+from plumbline.catalog.daily import LARGEST_DECOMPOSED, ROW_SERIES, _cents
+from plumbline.catalog.geography import CONTOURS, GRID
 from plumbline.catalog.modelling import LINE, SUGGESTED, _on_a_line
 from plumbline.catalog.relations import WITH_LINKED, _linked, _linked_matrix, matrix_sql
+from plumbline.catalog.texts import LENGTHS
 from plumbline.operators import models, readiness, stats
 from plumbline.plans import profile, report
 
@@ -183,6 +185,24 @@ UNION ALL SELECT 'dataset_types', 'classification', 'true' FROM orders
 UNION ALL SELECT 'dataset_types', 'regression', 'true' FROM orders
   HAVING count(DISTINCT o_orderkey) > 10 OR count(DISTINCT o_custkey) > 10 OR count(DISTINCT o_totalprice) > 10"""
 
+def _chart(table, name: str, decimals: int = 5, drop=(), **special: int):
+    """The data of a chart as the profile of a table holds them."""
+    def run(load):
+        df = load(table) if isinstance(table, str) else table(load)
+        return rounded(profile.run_profile(df.sparkSession, df, only=[]).tables[f"chart_{name}"].drop(*drop), decimals, **special)
+    return run
+
+
+def _balances(load):
+    """A number to learn, and nothing else that calls for a chart."""
+    return load("customer").select("c_name", "c_acctbal")
+
+
+ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+HEATMAP = f"WITH {matrix_sql('orders', ORDER_NUMBERS)} SELECT var1, var2, pos1, pos2, {r('r', 5)} AS r FROM matrix"
+CLASS_CHART = "SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1"
+
+
 QUERIES = [
     Query("key_stats", _key_stats, KEY_STATS),
     Query("key_patterns", _key_patterns),
@@ -206,6 +226,15 @@ QUERIES = [
     Query("detect_patterns", lambda load: report.detect_patterns(places(load)), PATTERNS),
     Query("detect_patterns_dated", _dated_patterns, DATED_PATTERNS),
     Query("run_profile", lambda load: rounded(_run(load).status.drop("message")), RUN),
+    Query("profile_heatmap", _chart("orders", "correlation_heatmap"), HEATMAP),
+    Query("profile_boxplot", _chart("orders", "outliers_boxplot", 6, drop=["column_pos"]), f"SELECT * EXCLUDE column_pos FROM ({boxplot_sql('orders', ORDER_NUMBERS)})"),
+    Query("profile_seasonality", _chart(_cents, "seasonality", 3), LARGEST_DECOMPOSED),
+    Query("profile_classes", _chart(lambda load: load("orders").drop("o_orderdate"), "class_distribution"), CLASS_CHART),
+    Query("profile_text_lengths", _chart("documents", "text_length_dist", 4), LENGTHS),
+    Query("profile_target", _chart(_balances, "target_distribution", 4), HISTOGRAM.replace("l_extendedprice", "c_acctbal").replace("lineitem", "customer")),
+    Query("profile_target_fit", _chart(_balances, "target_distribution_fit", 4), NORMAL_FIT.replace("o_totalprice", "c_acctbal").replace("orders", "customer")),
+    Query("profile_density_grid", _chart(places, "spatial_distribution"), GRID),
+    Query("profile_contours", _chart(places, "spatial_distribution_contours", density=9), CONTOURS),
     Query("report_findings", lambda load: report.report_findings(_run(load)), FINDINGS),
     Query(
         "report_findings_wide",

@@ -66,6 +66,8 @@ LEFT JOIN (
   GROUP BY 1) c ON c.bin = b.bin"""
 
 
+LENGTHS = _lengths("chars", "length(text)") + "\nUNION ALL\n" + _lengths("words", f"len({tokens('text')})")
+
 QUERIES = [
     Query("text_stats", lambda load: rounded(_both(load, text.text_stats), 5), TEXT_STATS),
     Query("vocabulary_stats", lambda load: rounded(_both(load, text.vocabulary_stats)), VOCABULARY),
@@ -74,6 +76,6 @@ QUERIES = [
     Query(
         "text_histograms",
         lambda load: rounded(text.text_histograms(load("documents")), 4),
-        _lengths("chars", "length(text)") + "\nUNION ALL\n" + _lengths("words", f"len({tokens('text')})"),
+        LENGTHS,
     ),
 ]

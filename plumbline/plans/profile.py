@@ -184,7 +184,6 @@ def _clustering(t: Table) -> Tables:
     return {
         "kmeans_elbow": models.kmeans_elbow(t.features, t.clustering),
         "cluster_profile": models.cluster_profile(t.features, t.clustering),
-        "pca_projection": models.pca_projection(t.features, t.clustering, models.components(t.features, 2, t.imputed_matrix)),
     }
 
 
@@ -325,7 +324,7 @@ def run_profile(
     table, so analyses neither repeat the cleaning nor read columns that they
     do not use. ``cleaned=True`` takes the table as it is, without that copy.
     ``only`` overrides the choice of analyses; ``multiline`` goes to ``read_table``. Tables that sum up what has run
-    (key statistics, relationships and patterns, implications, charts, flags) come last.
+    (key statistics, relationships and patterns, implications, flags) and the data of the chosen charts (``chart_...``) come last.
     """
     from plumbline.plans.report import summary_tables  # it builds on this module
 

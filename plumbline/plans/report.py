@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.dates import is_temporal, parse_date
 from plumbline.functions.expressions import categorical_columns, col, numeric_columns
-from plumbline.operators import correlate, frequency, ordered, roles, series, stats
+from plumbline.operators import correlate, frequency, geo, models, ordered, readiness, roles, seasonal, series, stats, text
 from plumbline.operators.stats import completeness
-from plumbline.plans.profile import Profile
+from plumbline.plans.profile import Profile, Table
 
 
 def key_stats(summary: DataFrame, outliers: DataFrame) -> DataFrame:
@@ -158,6 +158,7 @@ def summary_tables(profile: Profile) -> dict[str, DataFrame]:
             tables.get("quality_recommendations"), failures),
         "charts": select_chart_tables(df, profile.table.types),
     }
+    out |= chart_tables(profile)
     if "numeric_summary" in tables and outliers is not None:
         out["key_stats"] = key_stats(tables["numeric_summary"], outliers)
     if matrix is not None:
@@ -239,6 +240,53 @@ def select_chart_tables(df: DataFrame, types: list[str] | None = None) -> DataFr
     )
 
 
+def _class_chart(t: Table) -> dict[str, DataFrame]:
+    target = t.evidence.where("is_class_target").orderBy("column_pos").first()
+    return {"": readiness.class_distribution(t.df, target["column"])}
+
+
+def _target_chart(t: Table) -> dict[str, DataFrame]:
+    target = t.evidence.where("is_regression_target").orderBy("column_pos").first()["column"]
+    return {"": stats.histogram(t.df, target), "_fit": stats.normal_fit(t.df, target)}
+
+
+def _place_chart(t: Table) -> dict[str, DataFrame]:
+    """The grid and, from enough rows on, the contours; regions in place of a table without coordinates."""
+    if not roles.coordinate_columns(t.df):
+        return {"": geo.location_stats(t.df)}
+    out = {"": geo.density_grid(t.df)}
+    if t.df.limit(geo.ENOUGH_FOR_CONTOURS + 1).count() > geo.ENOUGH_FOR_CONTOURS:
+        out["_contours"] = geo.density_contours(t.df)
+    return out
+
+
+# How the data of each chart are made from a table; a second table of a chart has an ending.
+CHART_DATA = {
+    "correlation_heatmap": lambda t: {"": correlate.heatmap_table(t.matrix)},
+    "clustering_pca": lambda t: {"": models.pca_projection(t.features, t.clustering, models.components(t.features, 2, t.imputed_matrix))},
+    "seasonality": lambda t: {"": seasonal.decomposition_table(*t.dated)},
+    "spatial_distribution": _place_chart,
+    "text_length_dist": lambda t: {"": text.text_histograms(t.df, next(iter(t.text_columns), None))},
+    "class_distribution": _class_chart,
+    "target_distribution": _target_chart,
+    "outliers_boxplot": lambda t: {"": stats.boxplot_stats(
+        t.df, [r["column"] for r in stats.top_outlier_columns(t.outliers).collect()], t.summary)},
+}
+
+
+def chart_tables(profile: Profile) -> dict[str, DataFrame]:
+    """The data of every chosen chart as ``chart_<name>``; one that fails is noted in the profile and leaves the others alone."""
+    out: dict[str, DataFrame] = {}
+    chosen = select_chart_tables(profile.table.df, profile.table.types).orderBy("position").collect()  # three rows at most
+    for row in chosen:
+        name = f"chart_{row['chart']}"
+        try:
+            out |= {name + ending: data for ending, data in CHART_DATA[row["chart"]](profile.table).items()}
+        except Exception as error:
+            profile.record(name, error)
+    return out
+
+
 # ------------------------------------------------------ ad-hoc questions
 
 # Chart suggestions by number of columns and how many are numeric.
