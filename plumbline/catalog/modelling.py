@@ -197,9 +197,9 @@ ORDER BY exact DESC, column_pos LIMIT 5"""
 SPOTS = [0.0, 1.0, 40.0, 90.0, 200.0]
 
 
-def _on_a_line(load):
+def _on_a_line(load, *more: str):
     x = F.element_at(F.array(*[F.lit(v) for v in SPOTS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return load("orders").select(x.alias("a"), (x * 3 + 1).alias("b"), (100 - x).alias("c"))
+    return load("orders").select(*more, x.alias("a"), (x * 3 + 1).alias("b"), (100 - x).alias("c"))
 
 
 LINE = f"""spots AS (SELECT row_number() OVER (ORDER BY x) AS j, x, n FROM (

@@ -203,6 +203,40 @@ HEATMAP = f"WITH {matrix_sql('orders', ORDER_NUMBERS)} SELECT var1, var2, pos1,
 CLASS_CHART = "SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1"
 
 
+def _wide_findings(load):
+    """All that the types of lineitem call for; the number of clusters is left to the query on groups."""
+    lineitem = load("lineitem")
+    return report.report_findings(profile.run_profile(lineitem.sparkSession, lineitem)).where("section <> 'clustering'")
+
+
+WIDE_FINDINGS = f"""
+WITH n AS (SELECT count(*) AS rows FROM (SELECT DISTINCT * FROM lineitem))
+SELECT 'dataset' AS section, 'rows' AS key, CAST(rows AS VARCHAR) AS value FROM n
+UNION ALL SELECT 'dataset', 'columns', '11' UNION ALL SELECT 'dataset', 'numeric_features', '{len(LINEITEM_NUMBERS)}'
+UNION ALL SELECT 'dataset', 'categorical_features', '3'
+UNION ALL SELECT 'dimensionality', 'total_features', '{len(LINEITEM_NUMBERS)}'
+UNION ALL SELECT 'dataset_types', 'time_series', 'true' FROM lineitem HAVING count(l_shipdate) / count(*) > 0.5
+UNION ALL SELECT 'dataset_types', 'classification', 'true' FROM lineitem
+  HAVING count(DISTINCT l_returnflag) < 10 OR count(DISTINCT l_linestatus) < 10 OR count(DISTINCT l_shipdate) < 10
+UNION ALL SELECT 'dataset_types', 'regression', 'true' FROM lineitem
+  HAVING {' OR '.join(f'count(DISTINCT {c}) > 10' for c in LINEITEM_NUMBERS)}
+UNION ALL SELECT 'dataset_types', 'high_dimensional', 'true' FROM n WHERE {len(LINEITEM_NUMBERS)} > 5"""
+
+
+def _group_findings(load):
+    """Rows in groups on a line, told apart by a text."""
+    x = F.col("a")
+    line = _on_a_line(load, "o_orderkey").select(
+        F.concat(F.lit("o"), "o_orderkey").alias("name"), "a", "b", "c", *[(x * k + 1).alias(f"d{k}") for k in range(2, 6)])
+    return report.report_findings(profile.run_profile(line.sparkSession, line))
+
+
+GROUP_FINDINGS = f"""WITH RECURSIVE {LINE}
+SELECT 'dataset' AS section, 'rows' AS key, count(DISTINCT o_orderkey)::VARCHAR AS value FROM orders
+UNION ALL SELECT 'dataset', 'columns', '8' UNION ALL SELECT 'dataset', 'numeric_features', '7'
+UNION ALL SELECT 'dataset', 'categorical_features', '1' UNION ALL SELECT 'dataset_types', 'high_dimensional', 'true'
+UNION ALL SELECT 'clustering', 'optimal_clusters', k::VARCHAR FROM best UNION ALL SELECT 'dimensionality', 'total_features', '7'"""
+
 QUERIES = [
     Query("key_stats", _key_stats, KEY_STATS),
     Query("key_patterns", _key_patterns),
@@ -236,9 +270,6 @@ QUERIES = [
     Query("profile_density_grid", _chart(places, "spatial_distribution"), GRID),
     Query("profile_contours", _chart(places, "spatial_distribution_contours", density=9), CONTOURS),
     Query("report_findings", lambda load: report.report_findings(_run(load)), FINDINGS),
-    Query(
-        "report_findings_wide",
-        lambda load: report.report_findings(profile.run_profile(
-            load("lineitem").sparkSession, load("lineitem"), only=["basic_stats", "outliers", "correlations", "clustering", "dimensionality"])),
-    ),
+    Query("report_findings_wide", _wide_findings, WIDE_FINDINGS),
+    Query("report_findings_groups", _group_findings, GROUP_FINDINGS),
 ]
