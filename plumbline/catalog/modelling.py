@@ -19,23 +19,29 @@ from plumbline.catalog.columns import summary_sql
 from plumbline.catalog.relations import IMPUTED, LINKED, LINKED_SQL, _linked, matrix_sql
 from plumbline.operators import models, readiness, stats
 
-KEYED = ["l_orderkey", "l_linenumber"]
+KEYED = ["order_key", "line"]
+# Every numeric column of lineitem, some of them with gaps, and a constant: column -> (Spark, SQL).
+GAPS = {
+    "l_quantity": (lambda: F.when(F.col("l_quantity") < 40, F.col("l_quantity").cast("int")), "CASE WHEN l_quantity < 40 THEN CAST(l_quantity AS INTEGER) END"),
+    "l_extendedprice": (lambda: F.when(F.col("l_linenumber") > 1, F.col("l_extendedprice")), "CASE WHEN l_linenumber > 1 THEN l_extendedprice END"),
+    "l_discount": (lambda: F.nullif("l_discount", F.lit(0.05)), "nullif(l_discount, 0.05)"),
+    "l_tax": (lambda: F.when(F.col("l_quantity") < 40, F.col("l_tax")), "CASE WHEN l_quantity < 40 THEN l_tax END"),
+    "constant": (lambda: F.lit(3.0), "CAST(3.0 AS DOUBLE)"),
+}
+MEASURED = [*LINEITEM_NUMBERS, "constant"]
 
 
 def _keyed(load):
-    """Discount and tax with gaps, and a constant, next to the row keys."""
+    """All numeric columns next to the row keys, which are in the table a second time."""
     return load("lineitem").select(
-        *KEYED,
-        F.nullif("l_discount", F.lit(0.05)).alias("discount"),
-        F.when(F.col("l_quantity") < 40, F.col("l_quantity").cast("int")).alias("quantity"),
-        F.lit(3.0).alias("constant"),
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"),
+        *[(GAPS[c][0]() if c in GAPS else F.col(c)).alias(c) for c in MEASURED],
     )
 
 
-KEYED_SQL = """keyed AS (SELECT l_orderkey, l_linenumber, nullif(l_discount, 0.05) AS discount,
-  CASE WHEN l_quantity < 40 THEN CAST(l_quantity AS INTEGER) END AS quantity, CAST(3.0 AS DOUBLE) AS constant FROM lineitem)"""
-MEASURED = ["discount", "quantity", "constant"]
-FILLED = "filled AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, " + ", ".join(
+KEYED_SQL = "keyed AS (SELECT l_orderkey AS order_key, l_linenumber AS line, " + ", ".join(
+    f"{GAPS[c][1] if c in GAPS else c} AS {c}" for c in MEASURED) + " FROM lineitem)"
+FILLED = "filled AS (SELECT order_key, CAST(line AS BIGINT) AS line, " + ", ".join(
     f"coalesce({c}, (SELECT avg({c}) FROM keyed)) AS {c}" for c in MEASURED) + " FROM keyed)"
 STANDARDIZED = ", ".join(
     f"{r(f'coalesce(({c} - (SELECT avg({c}) FROM filled)) / nullif((SELECT stddev_pop({c}) FROM filled), 0), 0)', 5)} AS {c}"
@@ -238,8 +244,8 @@ CAUSED = "WITH caused AS (SELECT " + ", ".join(CAUSES) + ", l_linenumber * l_lin
 QUERIES = [
     Query(
         "impute_mean",
-        lambda load: rounded(models.impute_mean(_keyed(load), MEASURED)),
-        f"WITH {KEYED_SQL},\n{FILLED}\nSELECT l_orderkey, l_linenumber, " + ", ".join(f"{r(c)} AS {c}" for c in MEASURED) + " FROM filled",
+        lambda load: rounded(models.impute_mean(_keyed(load), MEASURED), 4),
+        f"WITH {KEYED_SQL},\n{FILLED}\nSELECT order_key, line, " + ", ".join(f"{r(c, 4)} AS {c}" for c in MEASURED) + " FROM filled",
     ),
     Query(
         "impute_mean_summary",
@@ -250,12 +256,12 @@ QUERIES = [
     Query(
         "standardize",
         lambda load: rounded(models.standardize(_keyed(load), MEASURED), 5),
-        f"WITH {KEYED_SQL},\n{FILLED}\nSELECT l_orderkey, l_linenumber, {STANDARDIZED} FROM filled",
+        f"WITH {KEYED_SQL},\n{FILLED}\nSELECT order_key, line, {STANDARDIZED} FROM filled",
     ),
     Query(
         "feature_matrix",
         _matrix,
-        f"WITH {KEYED_SQL},\n{FILLED}\nSELECT l_orderkey, l_linenumber, {STANDARDIZED} FROM filled",
+        f"WITH {KEYED_SQL},\n{FILLED}\nSELECT order_key, line, {STANDARDIZED} FROM filled",
     ),
     Query("kmeans_elbow", lambda load: rounded(models.kmeans_elbow(load("orders")))),
     Query("cluster_profile", lambda load: rounded(models.cluster_profile(load("orders")))),
