@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.expressions import col
 from plumbline.llm.bytesops import IS_SPACE, Hashing, mixed, text_bytes, text_groups, words_of
-from plumbline.llm.training import Sparse, counted, held_out, labelled_sample, row_sums, sigmoid, stacked
+from plumbline.llm.training import Sparse, counted, held_out, labelled_sample, row_sums, sigmoid
 
 BUCKET_BITS = 18
 DIMENSIONS = 16
-SAMPLE = 4_000  # labelled rows that are learned from, at most
+SAMPLE = 6_000  # labelled rows that are learned from, at most
 STEPS = 600  # of the descent, at least; whole epochs
 BATCH = 64
 RATE = 4.0
@@ -70,8 +70,8 @@ def bucket_parts(data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def document_features(texts) -> Sparse:
-    """Distinct buckets of each text with their shares."""
+def document_features(texts) -> list[Sparse]:
+    """Distinct buckets of each text with their shares, some texts at a time: together they would be twice as large while they are joined."""
     data, bounds = text_bytes(texts)
     parts = []
     for first, last in text_groups(bounds, TEXT_AT_A_TIME):
@@ -79,17 +79,17 @@ def document_features(texts) -> Sparse:
         row = np.concatenate([np.repeat(np.arange(last - first), np.diff(b)) for _, b in own])
         feature = np.concatenate([f for f, _ in own])
         order = np.argsort(row, kind="stable")
-        parts.append(counted(feature[order], np.searchsorted(row[order], np.arange(last - first + 1))))
-    out = stacked(parts)
-    total = row_sums(out.value, out.bounds)
-    out.value /= np.repeat(np.maximum(total, 1), np.diff(out.bounds)).astype(np.float32)
-    return out
+        found = counted(feature[order], np.searchsorted(row[order], np.arange(last - first + 1)))
+        total = row_sums(found.value, found.bounds)
+        found.value /= np.repeat(np.maximum(total, 1), np.diff(found.bounds)).astype(np.float32)
+        parts.append(found)
+    return parts
 
 
 class SubwordModel:
     """Bucket vectors and a softmax layer over averaged vectors, for two classes."""
 
-    def __init__(self, features: Sparse, label: np.ndarray):
+    def __init__(self, features: list[Sparse], label: np.ndarray):
         random = np.random.default_rng(SEED)
         size = 1 << BUCKET_BITS
         self.vectors = random.uniform(-1, 1, (size, DIMENSIONS)).astype(np.float32) / DIMENSIONS
@@ -102,18 +102,18 @@ class SubwordModel:
         self.margin = (self.vectors @ difference).astype(np.float32)
         self.offset = float(self.bias[1] - self.bias[0]) if len(label) else 60.0
 
-    def _train(self, features: Sparse, label: np.ndarray, random: np.random.Generator) -> None:
+    def _train(self, features: list[Sparse], label: np.ndarray, random: np.random.Generator) -> None:
         n, done, batches = len(label), 0, -(-len(label) // BATCH)
         epochs = -(-STEPS // batches)
-        lengths = np.diff(features.bounds)
+        lengths = np.concatenate([np.diff(f.bounds) for f in features])
+        places = [(f, slice(a, b)) for f in features for a, b in zip(f.bounds[:-1], f.bounds[1:])]
         target = np.eye(2)[label]
         for _ in range(epochs):
             order = random.permutation(n)
             for first in range(0, n, BATCH):
                 rows = order[first: first + BATCH]
-                spans = [slice(features.bounds[r], features.bounds[r + 1]) for r in rows]
-                index = np.concatenate([features.index[s] for s in spans])
-                value = np.concatenate([features.value[s] for s in spans])
+                index = np.concatenate([f.index[s] for f, s in map(places.__getitem__, rows)])
+                value = np.concatenate([f.value[s] for f, s in map(places.__getitem__, rows)])
                 bounds = np.concatenate([[0], np.cumsum(lengths[rows])])
                 mean = row_sums(self.vectors[index] * value[:, None], bounds)
                 logits = mean @ self.layer + self.bias
