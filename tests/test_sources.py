@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.plans.profile import run_profile
-from plumbline.sources.tables import _spans_lines, as_json, read_table, validate, write_findings
+from plumbline.sources.tables import _ends_inside, as_json, read_table, validate, write_findings
 
 
 def _write(path, text, encoding="utf-8"):
@@ -105,10 +105,56 @@ def test_line_breaks_between_even_quotes(spark, tmp_path):
         ('5" pipe', "two", '6" pipe'), ("x", "ong", "y")]
 
 
-def test_files_of_whole_lines_stay_splittable(spark, tmp_path):
+def test_long_cells_with_and_without_line_breaks(spark, tmp_path):
     whole, broken = '""'.join(["long "] * 20000), "two\nlines"
     for name, cell in (("whole", whole), ("broken", broken)):
         path = _write(tmp_path / f"{name}.csv", f'a,b,c\n1,"x, ""{cell}""",\n,,"y"\n')
-        assert _spans_lines(spark, path) == (cell == broken)
         rows = read_table(spark, path).orderBy(F.col("a").desc_nulls_last()).collect()
         assert [tuple(r) for r in rows] == [(1, f'x, "{cell.replace(chr(34) * 2, chr(34))}"', None), (None, None, "y")]
+
+
+@pytest.mark.parametrize("line, outside, inside", [
+    ("a,b", False, True), ('a,"b', True, False), ('a,"b"', False, False), ('5" pipe,x', False, False), ('end",x', False, False),
+    ('end","x', True, True), ('""', False, True), ('"a ""b"" c', True, False), ('"', True, False), ('a,"b""', True, False), ("", False, True),
+])
+def test_where_a_line_leaves_a_cell(line, outside, inside):
+    assert (_ends_inside(line, False), _ends_inside(line, True)) == (outside, inside)
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+
+    def set_to(size):
+        for n, v in zip(names, (size, 1)):
+            spark.conf.set(n, v)
+
+    yield set_to
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("size", [60, 500])
+def test_records_over_the_borders_of_splits(spark, tmp_path, small_splits, size):
+    cells = ['plain', '', '5" pipe', '"quoted, ""well"""', '"two\nlines"', '"a\n\n""b""\nc,d"', 'Zoë', '"long ' + "word\n" * 60 + '"']
+    rows = [(i, cells[i % len(cells)], cells[(i // 3) % len(cells)]) for i in range(60)]
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    for part in range(3):
+        own = rows[part::3]
+        _write(folder / f"part-{part}.csv", "id,a,b\n" + "".join(f"{i},{a},{b}\n" for i, a, b in own))
+    small_splits(size)
+    table = read_table(spark, str(folder))
+    plain = lambda c: None if c == "" else c[1:-1].replace('""', '"') if c[0] == '"' else c
+    assert sorted(tuple(r) for r in table.collect()) == [(i, plain(a), plain(b)) for i, a, b in rows]
+    latin = _write(tmp_path / "l.csv", "größe,b\n" + "".join(f'{i},"ü\n{i}"\n' for i in range(12)), "iso-8859-1")
+    assert sorted((r["größe"], r["b"]) for r in read_table(spark, latin).collect()) == [(i, f"ü\n{i}") for i in range(12)]
+
+
+def test_a_stray_quote_leaves_the_file_to_many_tasks(spark, tmp_path, small_splits):
+    path = _write(tmp_path / "t.csv", "id,a\n" + '0,5" pipe\n' + "".join(f'{i},"x\ny"\n' for i in range(1, 400)))
+    small_splits(500)
+    table = read_table(spark, path)
+    assert table.count() == 400 and len({r["f"] for r in table.select(F.input_file_name().alias("f")).distinct().collect()}) > 4
+    assert read_table(spark, path, multiline=False).count() == 1 + 2 * 399
