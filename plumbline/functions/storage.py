@@ -31,9 +31,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _session_folder(spark: SparkSession) -> str:
+    """One folder for all that a session writes, so that it can be released at once."""
+    return f"{_checkpoint_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, ending: str) -> str:
-    """A new path next to the checkpoints."""
-    return f"{_checkpoint_folder(spark)}/table-{uuid4().hex}{ending}"
+    """A new path in the session's folder next to the checkpoints."""
+    return f"{_session_folder(spark)}/table-{uuid4().hex}{ending}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Remove the tables that this session has stored; results that still read them cannot be computed again. False if there were none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Rows drawn in a pass for each cluster of the largest k, passes that draw, restarts on the drawn points.
 OVERSAMPLING, DRAWS, RESTARTS = 2, 4, 20
-STEPS = 60
-MOVED = 1e-4  # the centres of a k stand still below this
+STEPS, LOCAL_STEPS = 25, 100  # passes over the rows, and over the drawn points, at most
+MOVED = 1e-4  # squared way of all centres of a k together, in units of the columns' variance, below which they stand still
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -44,7 +44,7 @@ def _sums(points: DataFrame, centres: Sequence[np.ndarray]) -> list[tuple[np.nda
         count, total, cost = np.zeros(len(every), dtype=np.int64), np.zeros(every.shape), np.zeros(len(every))
         for batch in batches:
             x = _matrix(batch)
-            away = _distances(x, every)
+            away = np.maximum((x * x).sum(1)[:, None] - 2 * x @ every.T + (every * every).sum(1), 0)
             for a, b in zip(ends, ends[1:]):
                 nearest = away[:, a:b].argmin(1)
                 count[a:b] += np.bincount(nearest, minlength=b - a)
@@ -99,12 +99,12 @@ def _local(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator)
         while len(centres) < k:
             chance = weight * _distances(x, centres).min(1)
             centres = np.vstack([centres, x[rng.choice(len(x), p=chance / chance.sum())] if chance.sum() > 0 else centres[0]])
-        for _ in range(STEPS):
+        for _ in range(LOCAL_STEPS):
             nearest = _distances(x, centres).argmin(1)
             mass = np.bincount(nearest, weights=weight, minlength=k)
             moved = np.column_stack([np.bincount(nearest, weights=weight * x[:, d], minlength=k) for d in range(x.shape[1])])
             moved = np.where(mass[:, None] > 0, moved / np.maximum(mass, 1e-300)[:, None], centres)
-            still = np.abs(moved - centres).max() < MOVED
+            still = ((moved - centres) ** 2).sum() < MOVED
             centres = moved
             if still:
                 break
@@ -138,12 +138,13 @@ def fit(points: DataFrame, ks: Sequence[int], seed: int) -> dict[int, tuple[np.n
             break
         for k, (count, total, cost) in zip(moving, _sums(points, [centres[k] for k in moving])):
             moved = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres[k])
-            if np.abs(moved - centres[k]).max() < MOVED:
+            if ((moved - centres[k]) ** 2).sum() < MOVED:
                 found[k] = (centres[k], count, cost)
             centres[k] = moved
-    for k in [k for k in ks if k not in found]:
-        ((count, _, cost),) = _sums(points, [centres[k]])
-        found[k] = (centres[k], count, cost)
+    late = [k for k in ks if k not in found]
+    if late:
+        for k, (count, _, cost) in zip(late, _sums(points, [centres[k] for k in late])):
+            found[k] = (centres[k], count, cost)
     ordered = {}
     for k in ks:
         own, count, cost = found[k]
