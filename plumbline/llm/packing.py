@@ -12,7 +12,8 @@ the task that made it and nothing is shuffled. Within a task
    the tiers are powers of two, so only the last window of a partition can
    hold padding, and less than the shortest tier;
 5. windows are dealt to step groups of ``group_tokens`` tokens each, windows of
-   equal length side by side, so that every step of a training run costs the same.
+   equal length side by side, so that steps of a training run cost the same. Groups are formed
+   inside an input partition; the last one of a partition may be smaller than the others.
 """
 
 from __future__ import annotations
