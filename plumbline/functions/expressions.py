@@ -77,11 +77,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda token: token != "")
 
 
-def is_blank(text: Column) -> Column:
-    """No character but white space; decided at the first other character."""
-    return ~text.rlike(f"[^{WHITESPACE}]")
-
-
 def per_column(
     df: DataFrame,
     columns: Sequence[str],

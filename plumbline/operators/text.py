@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from plumbline.functions.expressions import col, is_blank, per_column, ratio, words
+from plumbline.functions.expressions import col, per_column, ratio, words
 from plumbline.functions.lexicon import NEGATIVE_WORDS, POSITIVE_WORDS
 from plumbline.operators.roles import detect_text_columns
 
@@ -49,8 +49,12 @@ def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     )
 
 
-def word_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, word, n) over all texts, words lower-cased.
+# Stand for a text among its words, which hold no space: one with words, and one without.
+WITH_WORDS, WITHOUT_WORDS = " ", "  "
+
+
+def word_counts(df: DataFrame, columns: Sequence[str] | None = None, marks: bool = False) -> DataFrame:
+    """(column, word, n) over all texts, words lower-cased; with ``marks`` also a mark for every text.
 
     Frequent words are added up on the map side, so the most common word costs
     one row per task in the shuffle.
@@ -64,9 +68,12 @@ def word_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             for c in columns
         ]
     )
+    tokens = F.col("tokens")
+    if marks:
+        tokens = F.array_append(tokens, F.when(F.size(tokens) > 0, WITH_WORDS).otherwise(WITHOUT_WORDS))
     return (
         df.select(F.inline(texts))
-        .select("column", F.explode("tokens").alias("word"))
+        .select("column", F.explode(tokens).alias("word"))
         .groupBy("column", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -75,15 +82,16 @@ def word_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def vocabulary_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, unique_words, total_words, vocabulary_density, empty_ratio)."""
     columns = text_columns(df) if columns is None else list(columns)
-    blank = per_column(
-        df,
-        columns,
-        {"empty_ratio": lambda c: F.avg(is_blank(col(c).cast("string")).cast("double"))},
-    ).select("column", "empty_ratio")
-    vocabulary = word_counts(df, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_words"), F.sum("n").alias("total_words")
+    # One pass: every text counts as a mark beside its words.
+    word, n = F.col("word"), F.col("n")
+    is_word = ~word.isin(WITH_WORDS, WITHOUT_WORDS)
+    counted = word_counts(df, columns, marks=True).groupBy("column").agg(
+        F.count(F.when(is_word, 1)).alias("unique_words"),
+        F.coalesce(F.sum(F.when(is_word, n)), F.lit(0)).alias("total_words"),
+        ratio(F.sum(F.when(word == WITHOUT_WORDS, n).otherwise(0)), F.sum(F.when(~is_word, n))).alias("empty_ratio"),
     )
-    return blank.join(F.broadcast(vocabulary), "column", "left").select(  # one row per column
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(F.broadcast(counted), "column", "left").select(  # one row per column
         "column",
         F.coalesce("unique_words", F.lit(0)).alias("unique_words"),
         F.coalesce("total_words", F.lit(0)).alias("total_words"),
