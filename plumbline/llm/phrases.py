@@ -35,6 +35,7 @@ PIECE_ENDS, BLANKS, NO_LANGUAGE = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09", "und"
 # Bytes of text in a block; a longer document is a block alone.
 BLOCK_BYTES = 5 << 20
 COMPARED = 1 << 18  # words compared at a time
+PARTS = 64  # of a language when its phrases are ranked
 
 BLOCK = "block long, lang string, words long, vocabulary binary, stream binary"
 # ``mark`` holds the 32 bits of the second polynomial above the place of the occurrence.
@@ -323,12 +324,18 @@ def collocations(
         .select("lang", F.array_join(F.slice("words", F.col("start"), F.col("length")), " ").alias("phrase"), "f")
         .groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    return (
+    best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    kept = (
         weakest.join(inner, ["lang", "phrase"], "left")
         .filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * covered))
         .select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
-        .withColumn("rank", F.row_number().over(order).cast("long"))
+    )
+    # The best of each part of a language first, so that the last ranking of a language sees a bounded number of rows.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("part")
+    ahead = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))
+    parts = kept.select("*", part).repartition("lang", "part").withColumn("ahead", ahead).filter(F.col("ahead") <= top)
+    return (
+        parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long"))
         .filter(F.col("rank") <= top)
         .select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     )
