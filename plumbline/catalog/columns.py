@@ -321,4 +321,11 @@ QUERIES = [
                                     (F.col("c_acctbal") * 2).alias("double_balance")))),
         WARNINGS,
     ),
+    Query(
+        "quality_warnings_one_column",
+        lambda load: rounded(readiness.quality_warnings(load("customer").select("c_name"))),
+        f"""SELECT 'one_column' AS kind, CAST(NULL AS VARCHAR) AS "column", CAST(NULL AS VARCHAR) AS other, 1.0::DOUBLE AS value
+UNION ALL SELECT 'no_numeric_column', NULL, NULL, 0.0
+UNION ALL SELECT 'high_cardinality', 'c_name', NULL, {r('count(DISTINCT c_name) / count(*)')} FROM customer HAVING count(DISTINCT c_name) / count(*) > 0.5""",
+    ),
 ]
