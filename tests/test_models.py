@@ -130,6 +130,36 @@ def test_trees_against_plain_ones(n):
     assert forest.grown(x, y, w) == pytest.approx(plain_gains(x, y, w))
 
 
+def test_draws_are_those_of_spark(spark):
+    found = spark.range(3000).crossJoin(spark.range(3).selectExpr("int(id) AS tree")).selectExpr(
+        "tree", "id", "xxhash64(7, tree) AS start", "pmod(xxhash64(7, tree, id), bigint(9007199254740992)) AS u").orderBy("tree", "id").toPandas()
+    for tree, rows in found.groupby("tree"):
+        w = forest._weights(int(rows["start"].iloc[0]), forest._rows_hashed(rows["id"].to_numpy()))
+        assert w.tolist() == (rows["u"].to_numpy()[:, None] >= forest.DRAWS.astype(np.int64)).sum(axis=1).tolist()
+        assert 0.9 < w.mean() < 1.1
+
+
+def test_rows_with_equal_columns_are_one_row_of_a_tree():
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 4, (2, 5000)).astype(float), rng.normal(size=5000)
+    merged, draws = forest._draws(x, y, np.arange(5000), [11, 12])
+    for d, tree_hash in zip(draws, (11, 12)):
+        w = forest._weights(tree_hash, forest._rows_hashed(np.arange(5000))).astype(float)
+        assert len(d.at) == 16 and d.w.sum() == w.sum()
+        seen = w > 0
+        whole = forest.grown(x[:, seen], y[seen], w[seen])
+        assert forest.grown(merged[:, d.at], d.y, d.w.astype(float), d.low, d.high) == pytest.approx(whole)
+
+
+def test_blocks_of_nodes_grow_as_one(monkeypatch):
+    rng = np.random.default_rng(10)
+    x, w = rng.normal(size=(3, 3000)).round(2), rng.integers(1, 4, 3000).astype(float)
+    y = x[0] * 2 + rng.normal(size=3000)
+    whole = forest.grown(x, y, w)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 100)
+    assert forest.grown(x, y, w) == pytest.approx(whole)
+
+
 def test_nodes_split_by_spark_as_by_a_task(spark, monkeypatch):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({c: rng.integers(0, k, 3000).astype(float) for c, k in (("a", 9), ("b", 5), ("c", 3))})
