@@ -160,6 +160,27 @@ def test_blocks_of_nodes_grow_as_one(monkeypatch):
     assert forest.grown(x, y, w) == pytest.approx(whole)
 
 
+def test_columns_of_few_values_are_added_up_by_value(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.stack([rng.integers(0, 3, 600).astype(float), rng.normal(size=600), rng.integers(0, 9, 600) * 0.5, rng.normal(size=600).round(1)])
+    y, w = x[0] + x[2] * x[1] + rng.normal(size=600).round(1) + 5, rng.integers(1, 4, 600).astype(float)
+    seen, level = set(), forest._level
+
+    def watched(nodes, *rest):
+        seen.add(sum(order is None for order in nodes.orders))
+        return level(nodes, *rest)
+
+    monkeypatch.setattr(forest, "_level", watched)
+    monkeypatch.setattr(forest, "FLOORS", (300, 40, 12))
+    for size in (60, 10_000):
+        monkeypatch.setattr(forest, "BLOCK_ROWS", size)
+        assert forest.grown(x, y, w) == pytest.approx(plain_gains(x, y - np.average(y, weights=w), w))
+    # While nodes are large no column is sorted but the one by which rows stand, at the end all are.
+    assert seen == {4, 3, 2, 1}
+    few = x[[0, 2]]
+    assert forest.grown(few, y, w) == pytest.approx(plain_gains(few, y - np.average(y, weights=w), w))
+
+
 def test_nodes_split_by_spark_as_by_a_task(spark, monkeypatch):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({c: rng.integers(0, k, 3000).astype(float) for c, k in (("a", 9), ("b", 5), ("c", 3))})
