@@ -181,6 +181,32 @@ def test_columns_of_few_values_are_added_up_by_value(monkeypatch):
     assert forest.grown(few, y, w) == pytest.approx(plain_gains(few, y - np.average(y, weights=w), w))
 
 
+def test_rows_stay_where_they_are_while_nodes_are_split(monkeypatch):
+    rng = np.random.default_rng(13)
+    x, w = np.stack([rng.normal(size=900), rng.integers(0, 5, 900).astype(float), rng.normal(size=900)]), rng.integers(1, 4, 900).astype(float)
+    y, level, seen = x[0] + x[1] * x[2], forest._level, []
+
+    def watched(nodes, gains, least):
+        large, small = level(nodes, gains, least)
+        seen.append((large.x is nodes.x, len(small.sums) == small.sizes.sum()))
+        return large, small
+
+    monkeypatch.setattr(forest, "_level", watched)
+    monkeypatch.setattr(forest, "FLOORS", (200, 30))
+    assert forest.grown(x, y, w) == pytest.approx(plain_gains(x, y - np.average(y, weights=w), w))
+    assert all(stay and packed for stay, packed in seen)
+
+
+def test_nodes_of_one_target_are_leaves():
+    rng = np.random.default_rng(14)
+    x, w = rng.normal(size=(3, 500)), rng.integers(1, 9, 500).astype(float)
+    # A third of a step of the target is no number of bits: sums of equal targets come near to nothing only.
+    y = np.where(x[0] > 0.2, 1 / 3, np.where(x[1] > 0, -1e6 / 3, 1e-3 / 3))
+    assert forest.grown(x, y, w) == pytest.approx(plain_gains(x, y - np.average(y, weights=w), w))
+    assert forest.grown(x, y, w)[2] == 0
+    assert forest.grown(x, np.full(500, 1e9 / 3), w).tolist() == [0, 0, 0]
+
+
 def test_nodes_split_by_spark_as_by_a_task(spark, monkeypatch):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({c: rng.integers(0, k, 3000).astype(float) for c, k in (("a", 9), ("b", 5), ("c", 3))})
