@@ -207,6 +207,37 @@ def test_nodes_of_one_target_are_leaves():
     assert forest.grown(x, np.full(500, 1e9 / 3), w).tolist() == [0, 0, 0]
 
 
+def test_large_nodes_are_split_from_sums_by_value(monkeypatch):
+    rng = np.random.default_rng(15)
+    x = np.stack([rng.normal(size=700), rng.integers(0, 40, 700) * 0.5, rng.integers(0, 3, 700).astype(float), rng.normal(size=700).round(1)])
+    w, level, seen = rng.integers(1, 4, 700).astype(float), forest._level, []
+
+    def watched(nodes, *rest):
+        seen.append(nodes.sizes.max())
+        return level(nodes, *rest)
+
+    monkeypatch.setattr(forest, "_level", watched)
+    monkeypatch.setattr(forest, "FLOORS", (8,))
+    monkeypatch.setattr(forest, "LARGE_ROWS", 30)
+    # Cuts in the middle, cuts that take off the ends, few targets and one.
+    for y in (x[0] + x[2] * x[1], np.exp(x[0]) + rng.normal(size=700), np.where(x[3] > 0.5, 1 / 3, x[2] * 1e5 / 3), np.full(700, 1 / 3)):
+        for size in (50, 10_000):
+            monkeypatch.setattr(forest, "BLOCK_ROWS", size)
+            assert forest.grown(x, y, w) == pytest.approx(plain_gains(x, y - np.average(y, weights=w), w), rel=1e-6, abs=1e-6)
+    # Their rows are not gone through for every cut that takes a few of them off.
+    assert max(seen) <= 30
+
+
+def test_large_nodes_of_rows_that_stand_for_several(monkeypatch):
+    rng = np.random.default_rng(16)
+    x, y = rng.integers(0, 12, (2, 5000)).astype(float), rng.normal(size=5000)
+    merged, draws = forest._draws(x, y, np.arange(5000), [11])
+    d = next(draws)
+    whole = forest.grown(merged[:, d.at], d.y, d.w.astype(float), d.low, d.high)
+    monkeypatch.setattr(forest, "LARGE_ROWS", 10)
+    assert forest.grown(merged[:, d.at], d.y, d.w.astype(float), d.low, d.high) == pytest.approx(whole)
+
+
 def test_nodes_split_by_spark_as_by_a_task(spark, monkeypatch):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({c: rng.integers(0, k, 3000).astype(float) for c, k in (("a", 9), ("b", 5), ("c", 3))})
