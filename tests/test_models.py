@@ -250,6 +250,19 @@ def test_nodes_split_by_spark_as_by_a_task(spark, monkeypatch):
     assert split == pytest.approx(whole, rel=1e-6) and sum(split.values()) == pytest.approx(1)
 
 
+def test_chunks_without_rows_of_large_nodes(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    pdf = pd.DataFrame(rng.normal(size=(3000, 2)), columns=["a", "b"])
+    # Chunks are ranges of the first column, and so are the large nodes.
+    pdf["y"] = np.exp(2 * pdf.a) + rng.normal(size=3000)
+    df = spark.createDataFrame(pdf)
+    whole = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=2).collect()}
+    monkeypatch.setattr(forest, "TASK_ROWS", 700)
+    split = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=2).collect()}
+    # Of large nodes not every cut is tried.
+    assert split == pytest.approx(whole, abs=0.02) and sum(split.values()) == pytest.approx(1)
+
+
 def test_forest_without_anything_to_learn(spark):
     df = spark.createDataFrame([(1.0, 2.0, None)] * 5, "a double, b double, c double")
     assert [tuple(r) for r in models.forest_importance(df, "b", trees=3).collect()] == [("a", 0.0)]
