@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 
-from plumbline.operators import forest, geo, models
+from plumbline.operators import clusters, forest, geo, models
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,27 @@ def test_clusters(blobs):
     features.release()
 
 
+def test_passes_over_packed_rows(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(500, 3))
+    x[100:200] = x[:100]
+    packed = clusters.packed(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]))).persist()
+    assert packed.count() < 500
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 64)
+    # Of equal centres the first counts.
+    sets = [x[:4], np.vstack([x[:2], x[:2]]), np.zeros((2, 3))]
+    for centres, (count, total, cost) in zip(sets, clusters._sums(packed, sets)):
+        away = ((x[:, None] - centres[None]) ** 2).sum(2)
+        nearest = away.argmin(1)
+        assert count.tolist() == np.bincount(nearest, minlength=len(centres)).tolist()
+        assert total == pytest.approx(np.stack([x[nearest == i].sum(0) for i in range(len(centres))]))
+        assert cost == pytest.approx(away.min(1).sum())
+    seeds = np.vstack([x[:9], x[:9] + 1e-9])
+    found = clusters._away(x.T, seeds)
+    assert found == pytest.approx(clusters._distances(x, seeds).min(1), rel=1e-5, abs=1e-20) and (found[:9] == 0).all()
+    packed.unpersist()
+
+
 def test_components_against_eigenvalues(blobs):
     pdf, df = blobs
     features = models.Features(df)
@@ -256,13 +277,24 @@ def test_chunks_without_rows_of_large_nodes(spark, monkeypatch):
     # Chunks are ranges of the first column, and so are the large nodes.
     pdf["y"] = np.exp(2 * pdf.a) + rng.normal(size=3000)
     df = spark.createDataFrame(pdf)
-    whole = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=2).collect()}
-    monkeypatch.setattr(forest, "TASK_ROWS", 700)
-    split = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=2).collect()}
+    whole = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=4).collect()}
+    monkeypatch.setattr(forest, "TASK_ROWS", 800)
+    split = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=4).collect()}
     # Of large nodes not every cut is tried.
     assert split == pytest.approx(whole, abs=0.02) and sum(split.values()) == pytest.approx(1)
 
 
+def test_no_large_nodes_are_looked_for_among_few_different_rows(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    pdf = pd.DataFrame(rng.normal(size=(700, 2)), columns=["a", "b"]).sample(3000, replace=True, random_state=1)
+    pdf["y"] = pdf.a + rng.normal(size=3000)
+    df = spark.createDataFrame(pdf)
+    whole = {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=2).collect()}
+    monkeypatch.setattr(forest, "TASK_ROWS", 1000)
+    monkeypatch.setattr(forest, "_edges", None)
+    assert {r["column"]: r["importance"] for r in models.forest_importance(df, "y", trees=2).collect()} == pytest.approx(whole)
+
+
 def test_forest_without_anything_to_learn(spark):
     df = spark.createDataFrame([(1.0, 2.0, None)] * 5, "a double, b double, c double")
     assert [tuple(r) for r in models.forest_importance(df, "b", trees=3).collect()] == [("a", 0.0)]
