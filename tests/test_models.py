@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 
@@ -271,6 +272,16 @@ def test_nodes_split_by_spark_as_by_a_task(spark, monkeypatch):
     assert split == pytest.approx(whole, rel=1e-6) and sum(split.values()) == pytest.approx(1)
 
 
+def test_rows_are_dealt_as_coded_columns():
+    rng = np.random.default_rng(20)
+    x = np.stack([
+        rng.integers(0, 7, 900) * 0.1, rng.permutation(900) - 450.0, rng.normal(size=900), rng.permutation(900) * 2.0**31, np.full(900, -3.5)])
+    coded = [forest._coded(v) for v in x]
+    assert [codes.itemsize for codes, _ in coded] == [1, 4, 8, 8, 1]
+    for rows in (np.arange(900), np.array([5, 5, 899]), np.arange(0)):
+        assert np.array_equal(forest._columns_read(pa.py_buffer(forest._written(coded, rows)), 5, len(rows)), x[:, rows])
+
+
 def test_chunks_without_rows_of_large_nodes(spark, monkeypatch):
     rng = np.random.default_rng(17)
     pdf = pd.DataFrame(rng.normal(size=(3000, 2)), columns=["a", "b"])
